@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from surveil.operators import bronze as B
 from surveil.operators import detectors as D
+from surveil.operators import govern as GV
+from surveil.operators import labels as LB
+from surveil.operators import links as L
 from surveil.operators import silver as S
 from surveil.plans import medallion as M
 from surveil.plans import oracle as O
+from surveil.schemas import DETECTORS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,6 +168,210 @@ def severity_hist(spark, sf):
                  F.max("rule_score").alias("max_score")))
 
 
+# ---------------------------------------------------------------------------
+# Sources / serialisation
+# ---------------------------------------------------------------------------
+
+def _json_sql() -> str:
+    kv = []
+    for n in O.RAW_COLS:
+        kv.append(f"CASE WHEN {n} IS NOT NULL THEN '\"{n}\":' || CAST(to_json({n}) AS VARCHAR) END")
+    return _sql("SELECT cl_ord_id, msg_type, transact_time, '{' || concat_ws(',', " + ", ".join(kv)
+                + ") || '}' AS event_json FROM feed")
+
+
+@query("event_json", _json_sql())
+def event_json(spark, sf):
+    from surveil.sources import raw as R
+    return R.to_event_json(M.raw(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Links
+# ---------------------------------------------------------------------------
+
+_LINK_CTES = [
+    "lc AS (SELECT cl_ord_id, orig_cl_ord_id, trader_id, symbol, transact_time AS cancel_time, order_qty, "
+    "cancel_reason FROM silver WHERE event_kind = 'CANCEL')",
+    "lo AS (SELECT cl_ord_id AS orig_cl_ord_id, trader_id AS o_trader_id, symbol AS o_symbol, "
+    "transact_time AS order_time, order_qty AS o_order_qty, price AS o_price, side AS o_side "
+    "FROM silver WHERE event_kind = 'NEW')",
+]
+
+
+@query("cancel_link", O.with_ctes(_BASE + _LINK_CTES,
+       "SELECT lc.cl_ord_id, lc.orig_cl_ord_id, trader_id, symbol, order_time, cancel_time, "
+       "cancel_time - order_time AS cancel_latency_ms, o_order_qty, o_price, o_side, "
+       "(trader_id = o_trader_id AND symbol = o_symbol) AS same_owner FROM lc JOIN lo USING (orig_cl_ord_id)"))
+def cancel_link(spark, sf):
+    return L.cancel_link(M.silver(spark, sf))
+
+
+@query("orphan_cancels", O.with_ctes(_BASE + _LINK_CTES,
+       "SELECT orig_cl_ord_id, cl_ord_id, trader_id, symbol, cancel_time, order_qty, cancel_reason FROM lc "
+       "WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.orig_cl_ord_id = lc.orig_cl_ord_id)"))
+def orphan_cancels(spark, sf):
+    return L.orphan_cancels(M.silver(spark, sf))
+
+
+@query("order_exec_join", _sql(
+    "SELECT o.cl_ord_id, o.trader_id, o.symbol, o.side, o.transact_time AS order_time, x.transact_time AS exec_time, "
+    "x.exec_id, x.transact_time - o.transact_time AS fill_latency_ms, o.order_qty, o.price, x.last_qty, x.last_px "
+    "FROM silver o JOIN silver x ON o.cl_ord_id = x.cl_ord_id AND x.transact_time >= o.transact_time "
+    "AND x.transact_time <= o.transact_time + 60000 WHERE o.event_kind = 'NEW' AND x.event_kind = 'EXEC'"))
+def order_exec_join(spark, sf):
+    return L.order_exec_join(M.silver(spark, sf), 60_000)
+
+
+# ---------------------------------------------------------------------------
+# Scenarios and labels
+# ---------------------------------------------------------------------------
+
+@query("scenario_events", _sql(f"SELECT {_RAW} FROM scen"))
+def scenario_events(spark, sf):
+    from surveil.sources import dims, feed
+    (orders,) = feed.read_tables(spark, sf, "orders")
+    return feed.scenario_events(feed.scenario_params(orders), dims.templates(spark))
+
+
+@query("scenario_labels", _sql("SELECT scenario_id, abuse_type, trader_id, instrument, window_start, window_end, "
+                               "array_to_string(injected_event_ids, ',') AS injected_event_ids FROM labels"))
+def scenario_labels(spark, sf):
+    from surveil.sources import feed
+    return feed.labels(spark, sf).withColumn("injected_event_ids", F.array_join("injected_event_ids", ","))
+
+
+@query("label_integrity", _sql(
+    "SELECT scenario_id, abuse_type, count(*) AS n_ids, count(_hit) AS n_found, count(*) = count(_hit) AS ok "
+    "FROM (SELECT scenario_id, abuse_type, unnest(list_distinct(injected_event_ids)) AS cl_ord_id FROM labels) i "
+    "LEFT JOIN (SELECT DISTINCT scenario_id, cl_ord_id, 1 AS _hit FROM feed WHERE scenario_id IS NOT NULL) e "
+    "USING (scenario_id, cl_ord_id) GROUP BY scenario_id, abuse_type"))
+def label_integrity(spark, sf):
+    from surveil.sources import feed
+    return L.label_integrity(feed.labels(spark, sf), M.raw(spark, sf))
+
+
+def _lw_cte(w: int) -> str:
+    ws, we = f"window_start - {O.pmod('window_start', w)}", f"window_end - {O.pmod('window_end', w)}"
+    return (f"lw AS (SELECT DISTINCT trader_id, symbol, abuse_type, window_start FROM ("
+            f"SELECT trader_id, instrument AS symbol, abuse_type, unnest(generate_series({ws}, {we}, {w})) "
+            f"AS window_start FROM labels))")
+
+
+@query("labelled_windows", O.with_ctes(_BASE + [_lw_cte(60_000)],
+       "SELECT g.*, CAST(CASE WHEN h._hit IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS label FROM gold g "
+       "LEFT JOIN (SELECT DISTINCT trader_id, symbol, window_start, 1 AS _hit FROM lw) h "
+       "USING (trader_id, symbol, window_start)"))
+def labelled_windows(spark, sf):
+    from surveil.sources import feed
+    return LB.labelled_windows(M.gold(spark, sf), feed.labels(spark, sf))
+
+
+@query("detection_matrix", O.with_ctes(_BASE + [_lw_cte(60_000)],
+       "SELECT abuse_type, " + ", ".join(f"count(*) FILTER (WHERE detector = '{d}') AS {d}" for d in DETECTORS)
+       + " FROM (SELECT a.detector, coalesce(l.abuse_type, 'BENIGN') AS abuse_type FROM alerts a LEFT JOIN lw l "
+       "ON a.trader_id = l.trader_id AND a.instrument = l.symbol AND a.window_start = l.window_start) "
+       "GROUP BY abuse_type"))
+def detection_matrix(spark, sf):
+    from surveil.sources import feed
+    return LB.detection_matrix(M.alerts(spark, sf), feed.labels(spark, sf))
+
+
+def _conformance_sql() -> str:
+    ab = "NOT ends_with(trader_id, '-client')"
+    new, fill, can = "msg_type = 'D'", "(msg_type = '8' AND exec_type = '2')", "msg_type = 'F'"
+    buy, sell = "side = '1'", "side = '2'"
+
+    def cnt(c):
+        return f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
+
+    def mn(c, v):
+        return f"min(CASE WHEN {c} THEN {v} END)"
+
+    def mx(c, v):
+        return f"max(CASE WHEN {c} THEN {v} END)"
+
+    sc = ("sc AS (SELECT *, CASE WHEN lag(msg_type = 'D') OVER w THEN lag(price) OVER w END AS _prev_px "
+          "FROM feed WHERE scenario_id IS NOT NULL "
+          "WINDOW w AS (PARTITION BY scenario_id ORDER BY msg_type = 'D', transact_time, cl_ord_id))")
+    agg = f"""ag AS (SELECT scenario_id, scenario_type AS abuse_type, count(*) AS n_events,
+  {cnt(f'{new} AND {buy} AND {ab}')} AS n_abuser_buys, {cnt(f'{new} AND {sell} AND {ab}')} AS n_abuser_sells,
+  {cnt(can)} AS n_cancels, {cnt(fill)} AS n_fills,
+  {mn(f'{new} AND {buy} AND {ab}', 'order_qty')} AS min_buy_qty,
+  {mn(f'{fill} AND {sell} AND {ab}', 'transact_time')} AS t_sell_fill,
+  {mn(f'{fill} AND {buy} AND {ab}', 'transact_time')} AS t_abuser_buy_fill,
+  {mn(f'{new} AND {buy} AND {ab}', 'transact_time')} AS t_abuser_buy,
+  {mn(f'{fill} AND NOT {ab}', 'transact_time')} AS t_client_fill,
+  {mx(f'{fill} AND {buy}', 'transact_time')} AS t_last_buy_fill,
+  {mn(can, 'transact_time')} AS t_first_cancel, {mx(new, 'transact_time')} AS t_last_new,
+  {mx(f'{fill} AND {buy} AND {ab}', 'last_px')} AS px_abuser_buy,
+  {mx(f'{fill} AND {sell} AND {ab}', 'last_px')} AS px_abuser_sell,
+  {mx(f'{new} AND {buy}', 'price')} AS px_peak_buy, {mx(new, 'price')} AS px_max_new, {mx(fill, 'last_px')} AS px_fill,
+  count(DISTINCT CASE WHEN {new} THEN price END) AS n_new_prices,
+  count(DISTINCT CASE WHEN {new} THEN order_qty END) AS n_new_qtys,
+  count(DISTINCT CASE WHEN {fill} THEN transact_time END) AS n_fill_times,
+  count(DISTINCT trader_id) AS n_traders,
+  {cnt(f'{new} AND _prev_px IS NOT NULL AND price <= _prev_px AND {buy}')} AS n_non_escalating,
+  {cnt(f'{new} AND NOT ({buy})')} AS n_new_sells, {cnt(f"{new} AND ord_type <> '2'")} AS n_new_non_limit
+  FROM sc GROUP BY scenario_id, scenario_type)"""
+    ok = """coalesce(CASE abuse_type
+  WHEN 'SPOOFING' THEN n_abuser_buys >= 4 AND min_buy_qty >= 5000 AND n_fills = 1 AND t_sell_fill < t_first_cancel
+  WHEN 'WASH_TRADE' THEN n_traders = 1 AND n_abuser_buys >= 1 AND n_abuser_sells >= 1 AND n_new_prices = 1
+       AND n_new_qtys = 1 AND n_fills = 2 AND n_fill_times = 1
+  WHEN 'FRONT_RUNNING' THEN t_abuser_buy < t_client_fill AND t_abuser_buy_fill < t_client_fill
+       AND px_abuser_sell > px_abuser_buy
+  WHEN 'MOMENTUM_IGNITION' THEN n_non_escalating = 0 AND t_sell_fill > t_last_buy_fill AND px_abuser_sell = px_peak_buy
+  WHEN 'MARKING_THE_CLOSE' THEN n_new_sells = 0 AND n_new_non_limit = 0 AND n_non_escalating = 0 AND n_fills = 1
+       AND px_fill >= px_max_new AND t_last_buy_fill > t_last_new
+  ELSE false END, false)"""
+    return O.with_ctes(_BASE + [sc, agg],
+                       "SELECT scenario_id, abuse_type, n_events, n_abuser_buys, n_abuser_sells, n_cancels, n_fills, "
+                       f"n_non_escalating, {ok} AS conformant FROM ag")
+
+
+@query("scenario_conformance", _conformance_sql())
+def scenario_conformance(spark, sf):
+    return LB.scenario_conformance(M.raw(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Governance
+# ---------------------------------------------------------------------------
+
+@query("masked_alerts", _sql(
+    "SELECT alert_id, detector, 'TRD-' || substr(sha256('surveil' || trader_id), 1, 16) AS trader_id, instrument, "
+    "window_start, window_end, severity, rule_score, desk, sha256(_body) AS audit_hash FROM alerts"))
+def masked_alerts(spark, sf):
+    return GV.masked_alerts(M.alerts(spark, sf), "surveil").select(
+        "alert_id", "detector", "trader_id", "instrument", "window_start", "window_end", "severity", "rule_score",
+        "desk", "audit_hash")
+
+
+def _violations_sql() -> str:
+    dets = ", ".join(f"'{d}'" for d in DETECTORS)
+    checks = [
+        ("detector_enum", f"NOT (detector IN ({dets}))"), ("desk_enum", "NOT (desk IN ('equity', 'derivatives'))"),
+        ("severity_range", "severity < 1 OR severity > 5"),
+        ("rule_score_range", "rule_score < 0.0 OR rule_score > 1.0"),
+        ("ml_score_range", "ml_score IS NOT NULL AND (ml_score < 0.0 OR ml_score > 1.0)"),
+        ("shap_rank", "false"), ("shap_direction", "false"),
+        ("audit_hash_format", "NOT regexp_full_match(sha256(_body), '[0-9a-f]{64}')"),
+        ("alert_id_format", "NOT regexp_full_match(alert_id, "
+                            "'[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')"),
+        ("window_order", "window_end <= window_start"),
+    ]
+    arr = "list_filter([" + ", ".join(f"CASE WHEN coalesce({c}, true) THEN '{n}' END" for n, c in checks)         + "], lambda x: x IS NOT NULL)"
+    return _sql(f"SELECT alert_id, detector, CAST(len(v) AS INTEGER) AS n_violations, array_to_string(v, ',') "
+                f"AS violations FROM (SELECT *, {arr} AS v FROM alerts)")
+
+
+@query("alert_violations", _violations_sql())
+def alert_violations(spark, sf):
+    v = GV.alert_violations(M.alerts(spark, sf))
+    return v.select("alert_id", "detector", F.size("violations").alias("n_violations"),
+                    F.array_join("violations", ",").alias("violations"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
