@@ -254,8 +254,8 @@ def alert_ctes(src: str = "gold", name: str = "alerts", created_at: int = 0) ->
     ]
 
 
-def with_ctes(ctes: list[str], select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+def with_ctes(ctes: list[str], select: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + select
 
 
 def base() -> list[str]:
@@ -269,3 +269,41 @@ ALERT_REPORT = ("alert_id, detector, trader_id, instrument, window_start, window
 GOLD_COLS = ("trader_id, symbol, window_start, desk, asset_class, n_orders, n_cancels, n_execs, buy_qty, sell_qty, "
              "distinct_prices, secs_to_close, first_px, last_px, min_px, max_px, buy_vwap, sell_vwap, window_end, "
              "cancel_ratio, order_to_trade_ratio, qty_imbalance, price_move_bps, round_trip_gain_bps")
+
+
+CHAIN_TARGET_LEN = 256
+_HEX8 = "CAST('0x' || substr(sha256(ref_id), 1, 8) AS BIGINT)"
+MERKLE_BLOCK = 16
+
+
+def chain_ctes(target_len: int = CHAIN_TARGET_LEN) -> list[str]:
+    """Audit entries from alerts, hash-bucketed chains, and the recursive link fold."""
+    body = f"subsystem || {US} || action || {US} || ref_id || {US} || CAST(ts AS VARCHAR) || {US} || " \
+           f"array_to_string(payload, {US})"
+    g = "repeat('0', 64)"
+    return [
+        "ent0 AS (SELECT 'detector' AS subsystem, 'ALERT_EMITTED' AS action, alert_id AS ref_id, created_at AS ts, "
+        f"[detector, CAST(severity AS VARCHAR), {f8('rule_score')}, sha256(_body)] AS payload FROM alerts)",
+        f"nch AS (SELECT greatest(1, CAST(ceil(count(*) / {float(target_len)}) AS BIGINT)) AS n FROM ent0)",
+        f"ent AS (SELECT *, {pmod(_HEX8, '(SELECT n FROM nch)')} AS chain_id FROM ent0)",
+        f"seqd AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY ts, ref_id) AS seq, {body} AS body "
+        "FROM ent)",
+        f"""chain(chain_id, seq, ref_id, prev_hash, entry_hash) AS (
+  SELECT chain_id, seq, ref_id, {g}, sha256({g} || '|' || body) FROM seqd WHERE seq = 1
+  UNION ALL
+  SELECT s.chain_id, s.seq, s.ref_id, c.entry_hash, sha256(c.entry_hash || '|' || s.body)
+  FROM chain c JOIN seqd s ON s.chain_id = c.chain_id AND s.seq = c.seq + 1)""",
+    ]
+
+
+def merkle_ctes(block: int = MERKLE_BLOCK) -> list[str]:
+    import math
+    depth = max(1, math.ceil(math.log2(block)))
+    out = [f"mk0 AS (SELECT chain_id, CAST((seq - 1) // {block} AS BIGINT) AS block, list(entry_hash ORDER BY seq) AS a, "
+           f"min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_leaves FROM chain GROUP BY 1, 2)"]
+    lvl = ("list_transform(range(0, CAST(ceil(len(a) / 2) AS BIGINT)), lambda i: CASE WHEN 2 * i + 1 < len(a) "
+           "THEN sha256(a[2 * i + 1] || a[2 * i + 2]) ELSE a[2 * i + 1] END)")
+    for k in range(1, depth + 1):
+        out.append(f"mk{k} AS (SELECT chain_id, block, first_seq, last_seq, n_leaves, {lvl} AS a FROM mk{k - 1})")
+    out.append(f"merkle AS (SELECT chain_id, block, n_leaves, first_seq, last_seq, a[1] AS merkle_root FROM mk{depth})")
+    return out

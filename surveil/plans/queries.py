@@ -372,6 +372,165 @@ def alert_violations(spark, sf):
                     F.array_join("violations", ",").alias("violations"))
 
 
+# ---------------------------------------------------------------------------
+# Audit chain
+# ---------------------------------------------------------------------------
+
+def _sequenced(spark, sf):
+    from surveil.operators import audit as AU
+    return AU.assign_chains(AU.entries_from_alerts(M.alerts(spark, sf)), O.CHAIN_TARGET_LEN)
+
+
+def _chain(spark, sf):
+    from surveil.operators import audit as AU
+    return AU.append(_sequenced(spark, sf))
+
+
+_CHAIN = _BASE + O.chain_ctes()
+
+
+@query("chain_body", O.with_ctes(_CHAIN, "SELECT chain_id, seq, ref_id, lower(hex(encode(body))) AS body_hex "
+                                         "FROM seqd", recursive=True))
+def chain_body(spark, sf):
+    from surveil.operators import audit as AU
+    return _sequenced(spark, sf).select("chain_id", "seq", "ref_id",
+                                        F.lower(F.hex(F.encode(AU.entry_body(), "UTF-8"))).alias("body_hex"))
+
+
+@query("chain_append", O.with_ctes(_CHAIN, "SELECT chain_id, seq, ref_id, prev_hash, entry_hash FROM chain",
+                                   recursive=True))
+def chain_append(spark, sf):
+    return _chain(spark, sf).select("chain_id", "seq", "ref_id", "prev_hash", "entry_hash")
+
+
+@query("chain_verify", O.with_ctes(_CHAIN + [
+    "vchk AS (SELECT c.chain_id, c.seq, c.entry_hash, (c.entry_hash = sha256(coalesce(lag(c.entry_hash) OVER w, "
+    "repeat('0', 64)) || '|' || s.body)) AND (c.prev_hash = coalesce(lag(c.entry_hash) OVER w, repeat('0', 64))) "
+    "AND (c.seq = row_number() OVER w) AS good FROM chain c JOIN seqd s USING (chain_id, seq) "
+    "WINDOW w AS (PARTITION BY c.chain_id ORDER BY c.seq))"],
+    "SELECT chain_id, count(*) AS n_entries, CAST(sum(CASE WHEN good THEN 0 ELSE 1 END) AS BIGINT) AS n_bad, "
+    "min(CASE WHEN NOT good THEN seq END) AS first_bad_seq, arg_max(entry_hash, seq) AS head_hash, "
+    "sum(CASE WHEN good THEN 0 ELSE 1 END) = 0 AS verified FROM vchk GROUP BY chain_id", recursive=True))
+def chain_verify(spark, sf):
+    from surveil.operators import audit as AU
+    return AU.verify(_chain(spark, sf))
+
+
+@query("merkle_roots", O.with_ctes(_CHAIN + O.merkle_ctes(), "SELECT * FROM merkle", recursive=True))
+def merkle_roots(spark, sf):
+    from surveil.operators import audit as AU
+    return AU.merkle_roots(_chain(spark, sf), O.MERKLE_BLOCK).withColumn("n_leaves", F.col("n_leaves").cast("long"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming spike, batch equivalent: per-instrument running quantity by day
+# ---------------------------------------------------------------------------
+
+@query("running_qty", _sql(
+    "SELECT instrument, batch_day, qty, CAST(sum(qty) OVER (PARTITION BY instrument ORDER BY batch_day "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM ("
+    f"SELECT symbol AS instrument, transact_time - {O.pmod('transact_time', 86_400_000)} AS batch_day, "
+    "CAST(sum(order_qty) AS BIGINT) AS qty FROM silver WHERE event_kind = 'NEW' GROUP BY 1, 2)"))
+def running_qty(spark, sf):
+    from surveil.streaming import running
+    return running.running_qty_batch(M.silver(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# ML operators on a deterministic stand-in probability (max rule score)
+# ---------------------------------------------------------------------------
+
+ALPHA = 0.1
+
+
+def _scored(spark, sf):
+    from surveil.operators import ml as ML
+    from surveil.sources import feed
+    g = D.score_all(LB.labelled_windows(M.gold(spark, sf), feed.labels(spark, sf)))
+    p1 = F.greatest(*[F.col(f"score_{d.lower()}") for d in DETECTORS])
+    return ML.split(g.withColumn("p1", p1), ["trader_id", "symbol", "window_start"], 0.7, 0)
+
+
+def _scored_sql() -> list[str]:
+    h = ("CAST('0x' || substr(sha256(trader_id || '|' || symbol || '|' || CAST(window_start AS VARCHAR) || '|0'), "
+         "1, 8) AS BIGINT)")
+    return _BASE + [_lw_cte(60_000),
+                    "lab AS (SELECT g.*, CAST(CASE WHEN h._hit IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS label "
+                    "FROM gold g LEFT JOIN (SELECT DISTINCT trader_id, symbol, window_start, 1 AS _hit FROM lw) h "
+                    "USING (trader_id, symbol, window_start))",
+                    "sc AS (SELECT *, greatest(" + ", ".join(f"({O.SCORES[d]})" for d in DETECTORS) + ") AS p1, "
+                    f"CASE WHEN {O.pmod(h, 10000)} < 7000 THEN 'train' ELSE 'cal' END AS split FROM lab)",
+                    "cal AS (SELECT CAST(1.0 AS DOUBLE) - CASE WHEN label = 1 THEN p1 ELSE CAST(1.0 AS DOUBLE) - p1 END "
+                    "AS nc FROM sc WHERE split = 'cal')",
+                    "calr AS (SELECT n, CAST(least(n - 1, ceil(least(1.0, ceil((n + 1) * (CAST(1.0 AS DOUBLE) - "
+                    f"CAST({ALPHA} AS DOUBLE))) / n) * (n - 1))) AS BIGINT) AS k0 FROM (SELECT count(*) AS n FROM cal))",
+                    "qh AS (SELECT (SELECT n FROM calr) AS n_cal, (SELECT k0 FROM calr) AS k0, nc AS qhat FROM "
+                    "(SELECT nc, row_number() OVER (ORDER BY nc) - 1 AS r FROM cal) WHERE r = (SELECT k0 FROM calr))"]
+
+
+@query("class_weights", O.with_ctes(_scored_sql(),
+       "SELECT label, count(*) AS n, CASE WHEN label = 1 THEN CAST(greatest((SELECT count(*) FROM sc WHERE "
+       "split = 'train' AND label = 0), 1) AS DOUBLE) / greatest((SELECT count(*) FROM sc WHERE split = 'train' "
+       "AND label = 1), 1) ELSE CAST(1.0 AS DOUBLE) END AS weight FROM sc WHERE split = 'train' GROUP BY label"))
+def class_weights(spark, sf):
+    from surveil.operators import ml as ML
+    return ML.class_weights(_scored(spark, sf).filter(F.col("split") == "train"))
+
+
+def _qhat(spark, sf):
+    from surveil.operators import ml as ML
+    cal = _scored(spark, sf).filter(F.col("split") == "cal")
+    return ML.qhat(cal, "p1", "label", ALPHA)
+
+
+@query("conformal_qhat", O.with_ctes(_scored_sql(), f"SELECT n_cal, k0, CAST({ALPHA} AS DOUBLE) AS alpha, qhat FROM qh"))
+def conformal_qhat(spark, sf):
+    from surveil.operators import ml as ML
+    cal = _scored(spark, sf).filter(F.col("split") == "cal")
+    nc = cal.select(ML.nonconformity(F.col("p1"), F.col("label")).alias("nc"))
+    n = nc.count()
+    k0 = ML.qhat_rank(n, ALPHA)
+    return ML.kth_smallest(nc, "nc", k0).select(
+        F.lit(n).cast("long").alias("n_cal"), F.lit(k0).cast("long").alias("k0"),
+        F.lit(ALPHA).alias("alpha"), F.col("nc").alias("qhat"))
+
+
+@query("conformal_set", O.with_ctes(_scored_sql(),
+       "SELECT trader_id, symbol, window_start, label, p1, array_to_string(cs, ',') AS conformal_set, "
+       "len(cs) <> 1 AS needs_human FROM (SELECT *, list_filter([CASE WHEN CAST(1.0 AS DOUBLE) - p1 >= "
+       "CAST(1.0 AS DOUBLE) - (SELECT qhat FROM qh) THEN 0 END, CASE WHEN p1 >= CAST(1.0 AS DOUBLE) - "
+       "(SELECT qhat FROM qh) THEN 1 END], lambda x: x IS NOT NULL) AS cs FROM sc)"))
+def conformal_set(spark, sf):
+    from surveil.operators import ml as ML
+    q, _, _ = _qhat(spark, sf)
+    out = ML.conformal_set(_scored(spark, sf), q, "p1")
+    return out.select("trader_id", "symbol", "window_start", "label", "p1",
+                      F.array_join(F.col("conformal_set").cast("array<string>"), ",").alias("conformal_set"),
+                      "needs_human")
+
+
+def _topk_sql(k: int = 5) -> str:
+    from surveil.schemas import FEATURES
+    un = " UNION ALL ".join(f"SELECT trader_id, symbol, window_start, {i} AS i, '{n}' AS feature_name, "
+                            f"CAST({n} AS DOUBLE) AS v FROM gold" for i, n in enumerate(FEATURES))
+    return _sql("SELECT trader_id, symbol, window_start, rank, feature_name, v AS feature_value, v AS shap_value, "
+                "CASE WHEN v >= 0 THEN 'increases' ELSE 'decreases' END AS direction FROM ("
+                "SELECT *, CAST(row_number() OVER (PARTITION BY trader_id, symbol, window_start "
+                f"ORDER BY abs(v) DESC, i) AS INTEGER) AS rank FROM ({un})) WHERE rank <= {k}")
+
+
+@query("topk_contrib", _topk_sql())
+def topk_contrib(spark, sf):
+    """Top-5 |attribution| with rank and direction; stand-in attributions = feature values."""
+    from surveil.operators import ml as ML
+    from surveil.schemas import FEATURES
+    g = M.gold(spark, sf)
+    t = g.select("trader_id", "symbol", "window_start",
+                 F.explode(ML.top_k(ML.feature_vector(FEATURES), FEATURES, 5)).alias("c"))
+    return t.select("trader_id", "symbol", "window_start", "c.rank", "c.feature_name", "c.feature_value",
+                    "c.shap_value", "c.direction")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
