@@ -122,7 +122,7 @@ def emit(cand: DataFrame, created_at: int | Column = 0) -> DataFrame:
         F.lit(None).cast("double").alias("ml_score"),
         F.array().cast(ArrayType(FEATURE_CONTRIBUTION)).alias("shap_top_features"),
         F.array().cast("array<string>").alias("triggering_event_ids"),
-        "regulation_refs", "desk",
+        F.col("regulation_refs").cast("array<string>").alias("regulation_refs"), "desk",
         created.cast("long").alias("created_at"),
     )
     body = grammar.canonical_body([
