@@ -50,7 +50,9 @@ def dedup(df: DataFrame, key: list[str] = DEDUP_KEY) -> DataFrame:
 
 
 def to_silver(bronze: DataFrame, asset_dim: DataFrame | None = None) -> DataFrame:
-    return dedup(enrich(bronze, asset_dim))
+    """Dedup first, then enrich: the derived columns are a projection of the survivor,
+    so they need not ride through the shuffle."""
+    return enrich(dedup(bronze), asset_dim)
 
 
 def dup_audit(bronze: DataFrame, key: list[str] = DEDUP_KEY) -> DataFrame:

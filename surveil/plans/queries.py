@@ -377,8 +377,13 @@ def alert_violations(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _sequenced(spark, sf):
+    """Audit entries cut from the alert lineage (checkpoint in the shared folder), so the
+    chain count and the fold read the entries once instead of recomputing the medallion."""
     from surveil.operators import audit as AU
-    return AU.assign_chains(AU.entries_from_alerts(M.alerts(spark, sf)), O.CHAIN_TARGET_LEN)
+    from surveil.session import checkpoint_dir
+    checkpoint_dir(spark)
+    entries = AU.entries_from_alerts(M.alerts(spark, sf)).checkpoint(eager=True)
+    return AU.assign_chains(entries, O.CHAIN_TARGET_LEN)
 
 
 def _chain(spark, sf):
@@ -443,12 +448,17 @@ def running_qty(spark, sf):
 ALPHA = 0.1
 
 
-def _scored(spark, sf):
+def _scored(spark, sf, cut: bool = False):
     from surveil.operators import ml as ML
+    from surveil.session import checkpoint_dir
     from surveil.sources import feed
     g = D.score_all(LB.labelled_windows(M.gold(spark, sf), feed.labels(spark, sf)))
     p1 = F.greatest(*[F.col(f"score_{d.lower()}") for d in DETECTORS])
-    return ML.split(g.withColumn("p1", p1), ["trader_id", "symbol", "window_start"], 0.7, 0)
+    out = ML.split(g.withColumn("p1", p1), ["trader_id", "symbol", "window_start"], 0.7, 0)
+    if cut:  # several actions follow (count, q-hat, scoring): read the windows once
+        checkpoint_dir(spark)
+        out = out.select("trader_id", "symbol", "window_start", "label", "p1", "split").checkpoint(eager=True)
+    return out
 
 
 def _scored_sql() -> list[str]:
@@ -477,16 +487,15 @@ def class_weights(spark, sf):
     return ML.class_weights(_scored(spark, sf).filter(F.col("split") == "train"))
 
 
-def _qhat(spark, sf):
+def _qhat(scored):
     from surveil.operators import ml as ML
-    cal = _scored(spark, sf).filter(F.col("split") == "cal")
-    return ML.qhat(cal, "p1", "label", ALPHA)
+    return ML.qhat(scored.filter(F.col("split") == "cal"), "p1", "label", ALPHA)
 
 
 @query("conformal_qhat", O.with_ctes(_scored_sql(), f"SELECT n_cal, k0, CAST({ALPHA} AS DOUBLE) AS alpha, qhat FROM qh"))
 def conformal_qhat(spark, sf):
     from surveil.operators import ml as ML
-    cal = _scored(spark, sf).filter(F.col("split") == "cal")
+    cal = _scored(spark, sf, cut=True).filter(F.col("split") == "cal")
     nc = cal.select(ML.nonconformity(F.col("p1"), F.col("label")).alias("nc"))
     n = nc.count()
     k0 = ML.qhat_rank(n, ALPHA)
@@ -502,8 +511,9 @@ def conformal_qhat(spark, sf):
        "(SELECT qhat FROM qh) THEN 1 END], lambda x: x IS NOT NULL) AS cs FROM sc)"))
 def conformal_set(spark, sf):
     from surveil.operators import ml as ML
-    q, _, _ = _qhat(spark, sf)
-    out = ML.conformal_set(_scored(spark, sf), q, "p1")
+    scored = _scored(spark, sf, cut=True)
+    q, _, _ = _qhat(scored)
+    out = ML.conformal_set(scored, q, "p1")
     return out.select("trader_id", "symbol", "window_start", "label", "p1",
                       F.array_join(F.col("conformal_set").cast("array<string>"), ",").alias("conformal_set"),
                       "needs_human")
