@@ -541,6 +541,41 @@ def topk_contrib(spark, sf):
                     "c.shap_value", "c.direction")
 
 
+# ---------------------------------------------------------------------------
+# Model scoring (rows-only: boosted trees are not SQL-expressible)
+# ---------------------------------------------------------------------------
+
+def _fitted(spark, sf):
+    from surveil.operators import scorer as SC
+    from surveil.sources import feed
+    lw = LB.labelled_windows(M.gold(spark, sf), feed.labels(spark, sf))
+    return SC.fit(lw, seed=0, alpha=ALPHA), lw
+
+
+@query("ml_scores")
+def ml_scores(spark, sf):
+    """Every gold window scored: calibrated ml_score, conformal set, top-5 SHAP features."""
+    from surveil.operators import scorer as SC
+    model, lw = _fitted(spark, sf)
+    s = SC.score(model, lw)
+    return s.select("trader_id", "symbol", "window_start", "label", "raw_score", "ml_score",
+                    F.array_join(F.col("conformal_set").cast("array<string>"), ",").alias("conformal_set"),
+                    "needs_human", F.lit(model.shap_base_value).alias("shap_base_value"),
+                    F.array_join(F.transform("shap_top_features", lambda x: x["feature_name"]), ",")
+                    .alias("top_features"))
+
+
+@query("ml_alerts")
+def ml_alerts(spark, sf):
+    """Alerts enriched with the model score and explanation (severity and digest unchanged)."""
+    from surveil.operators import scorer as SC
+    model, lw = _fitted(spark, sf)
+    a = SC.enrich_alerts(M.alerts(spark, sf), SC.score(model, M.gold(spark, sf)))
+    return a.select("alert_id", "detector", "trader_id", "instrument", "window_start", "severity", "rule_score",
+                    "ml_score", F.element_at("shap_top_features", 1)["feature_name"].alias("top_feature"),
+                    F.size("shap_top_features").alias("n_features"), "audit_hash")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
