@@ -52,3 +52,12 @@ def running_qty_stream(orders: DataFrame) -> DataFrame:
     """Streaming (instrument, qty) -> (instrument, running) in Update mode."""
     return (orders.groupBy("instrument")
             .transformWithStateInPandas(RunningQtyProcessor(), OUTPUT_SCHEMA, "Update", "None"))
+
+
+def write_updates(path: str):
+    """foreachBatch sink: append each micro-batch of updates, tagged with its batch id.
+
+    Re-running a batch after a failure rewrites that batch id's folder (idempotent)."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return sink
