@@ -78,3 +78,18 @@ def label_integrity(labels: DataFrame, raw: DataFrame) -> DataFrame:
     return (j.groupBy("scenario_id", "abuse_type")
             .agg(F.count(F.lit(1)).alias("n_ids"), F.count("_hit").alias("n_found"))
             .withColumn("ok", F.col("n_ids") == F.col("n_found")))
+
+
+def alert_events(alerts: DataFrame, silver: DataFrame, window_ms: int = 60_000) -> DataFrame:
+    """(alert_id, event) pairs: the events of each alert's window, as a long table.
+
+    An equi-join on (trader, instrument, window) instead of collecting ids into the
+    alert row, so a hot window never becomes one giant array; AQE splits a skewed
+    window partition of the event side at runtime."""
+    t = F.col("transact_time")
+    ev = silver.select(F.col("trader_id"), F.col("symbol").alias("instrument"),
+                       (t - F.pmod(t, F.lit(window_ms))).alias("window_start"),
+                       "cl_ord_id", "msg_type", "transact_time", "exec_id")
+    a = alerts.filter(F.col("window_end") - F.col("window_start") == window_ms) \
+        .select("alert_id", "detector", "trader_id", "instrument", "window_start")
+    return a.join(ev, ["trader_id", "instrument", "window_start"], "inner")

@@ -223,6 +223,31 @@ def order_exec_join(spark, sf):
     return L.order_exec_join(M.silver(spark, sf), 60_000)
 
 
+@query("uncancelled_orders", O.with_ctes(_BASE + _LINK_CTES,
+       "SELECT s.cl_ord_id, s.trader_id, s.symbol, s.side, s.transact_time, s.order_qty, s.price, s.scenario_type "
+       "FROM silver s WHERE s.event_kind = 'NEW' AND NOT EXISTS (SELECT 1 FROM lc WHERE lc.orig_cl_ord_id = s.cl_ord_id)"))
+def uncancelled_orders(spark, sf):
+    return L.uncancelled_orders(M.silver(spark, sf)).select(
+        "cl_ord_id", "trader_id", "symbol", "side", "transact_time", "order_qty", "price", "scenario_type")
+
+
+@query("alert_events", _sql(
+    "SELECT a.alert_id, a.detector, a.trader_id, a.instrument, a.window_start, s.cl_ord_id, s.msg_type, "
+    "s.transact_time, s.exec_id FROM alerts a JOIN silver s ON a.trader_id = s.trader_id AND a.instrument = s.symbol "
+    f"AND a.window_start = s.transact_time - {O.pmod('s.transact_time', 60_000)}"))
+def alert_events(spark, sf):
+    return L.alert_events(M.alerts(spark, sf), M.silver(spark, sf), 60_000)
+
+
+@query("qty_by_instrument", _sql(
+    "SELECT symbol AS instrument, CAST(sum(order_qty) AS BIGINT) AS qty, count(*) AS n_orders FROM silver "
+    "WHERE event_kind = 'NEW' GROUP BY symbol"))
+def qty_by_instrument(spark, sf):
+    """Simple keyed sum (partial aggregation before the shuffle)."""
+    return (M.silver(spark, sf).filter(F.col("event_kind") == "NEW").groupBy(F.col("symbol").alias("instrument"))
+            .agg(F.sum("order_qty").alias("qty"), F.count(F.lit(1)).alias("n_orders")))
+
+
 # ---------------------------------------------------------------------------
 # Scenarios and labels
 # ---------------------------------------------------------------------------
