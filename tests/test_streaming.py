@@ -74,3 +74,38 @@ def test_stream_stream_order_exec_join_equals_batch(spark):
     want = L.order_exec_join(M.silver(spark, SF_SMALL), 60_000)
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_streaming_chain_append_continues_across_batches(spark):
+    from surveil.operators import audit as AU
+    from surveil.streaming import audit_stream
+    d = _scratch(spark)
+    schema = "subsystem string, action string, ref_id string, ts long, payload array<string>"
+    rows = [("ml", "ML_SCORED", f"r{i:03d}", 100 + i, [str(i)]) for i in range(30)]
+    spark.createDataFrame(rows[:18], schema).coalesce(1).write.parquet(f"{d}/in/b=1")
+
+    def run():
+        s = spark.readStream.schema(schema + ", b int").parquet(f"{d}/in").drop("b")
+        q = (audit_stream.append_stream(s, n_chains=3).writeStream.outputMode("append")
+             .option("checkpointLocation", f"{d}/ck").foreachBatch(running.write_updates(f"{d}/out"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination(120)
+
+    run()
+    spark.createDataFrame(rows[18:], schema).coalesce(1).write.parquet(f"{d}/in/b=2")
+    run()
+    got = spark.read.parquet(f"{d}/out").select("chain_id", "seq", "ref_id", "prev_hash", "entry_hash")
+    batch = AU.append(AU.assign_chains(spark.createDataFrame(rows, schema), n_chains=3)) \
+        .select("chain_id", "seq", "ref_id", "prev_hash", "entry_hash")
+    assert got.count() == 30
+    assert got.exceptAll(batch).count() == 0
+
+
+def test_streamed_alerts_equal_batch_alerts(spark):
+    from surveil.operators import detectors as D
+    raw, d = _stream_raw(spark)
+    got = _drain(D.detect(SM.stream_gold(SM.stream_silver(raw))).drop("shap_top_features"), "update", d,
+                 "alerts_stream")
+    want = M.alerts(spark, SF_SMALL).drop("shap_top_features")
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0
