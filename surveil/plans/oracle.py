@@ -143,7 +143,7 @@ def gold_cte(name: str, w: int) -> str:
     t = "transact_time"
     fill = "event_kind = 'EXEC' AND last_px IS NOT NULL AND last_qty IS NOT NULL"
     units = f"last_qty * CAST(round(last_px * CAST({PX}.0 AS DOUBLE)) AS BIGINT)"
-    ordk = "(transact_time, cl_ord_id, msg_type, coalesce(exec_id, ''))"
+    ordk = "(transact_time, price)"
     return f"""{name}_g AS (
   SELECT trader_id, symbol, desk, asset_class, CAST({t} - {pmod(t, w)} AS BIGINT) AS window_start,
          CAST({CLOSE_MS_OF_DAY} - {pmod(t, DAY_MS)} AS DOUBLE) / CAST(1000.0 AS DOUBLE) AS _stc,
