@@ -30,7 +30,7 @@ def write_layer(df: DataFrame, root: str, layer: str, name: str, fmt: str = "par
     w = df
     parts: list[str] = []
     if time_col and time_col in df.columns:
-        w = df.withColumn("event_date", F.to_date(F.timestamp_millis(F.col(time_col))))
+        w = df.withColumn("event_date", F.date_from_unix_date(F.floor(F.col(time_col) / F.lit(86_400_000)).cast("int")))
         parts = ["event_date"]
     w.write.mode("overwrite").format(fmt).partitionBy(*parts).save(path)
     spark = df.sparkSession

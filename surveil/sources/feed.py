@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from surveil.schemas import CLOSE_MS_OF_DAY, RAW_FIX_FIELDS, RAW_FIX_SCHEMA
 from surveil.sources import dims
@@ -39,9 +40,15 @@ SCENARIO_MINUTES = 900      # scenario start spread over this many minutes of th
 MTC_LEAD_MS = 50_000        # marking-the-close starts this long before the close
 
 
-def _ms(ts: Column) -> Column:
-    """Epoch milliseconds (floor) of a timestamp / timestamp_ntz column, session TZ UTC."""
-    us = F.unix_micros(ts.cast("timestamp"))
+def _ms(df: DataFrame, col: str) -> Column:
+    """Epoch milliseconds (floor) of a timestamp column, independent of the session time zone.
+
+    timestamp_ntz is a wall-clock value read as UTC (micros since the NTZ epoch); a
+    timestamp (instant) is converted directly."""
+    if isinstance(df.schema[col].dataType, TimestampNTZType):
+        us = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+    else:
+        us = F.unix_micros(F.col(col).cast("timestamp"))
     return ((us - F.pmod(us, F.lit(1000))) / F.lit(1000)).cast("long")
 
 
@@ -86,7 +93,7 @@ def benign_events(events: DataFrame) -> DataFrame:
         "side": F.when(F.pmod(eid, F.lit(2)) == 0, F.lit("1")).otherwise(F.lit("2")),
         "order_qty": qty,
         "ord_type": F.lit("2"),
-        "transact_time": _ms(F.col("ts")),
+        "transact_time": _ms(events, "ts"),
         "exchange_id": F.lit(_EXCHANGE),
         "price": F.when(~is_cancel, price),
         "exec_type": F.when(is_exec, F.lit("2")),
@@ -105,7 +112,7 @@ def scenario_params(orders: DataFrame) -> DataFrame:
     archetype = F.element_at(_archetypes(), (F.pmod(ok, F.lit(len(dims.ARCHETYPES))) + 1).cast("int"))
     sym_idx = (F.pmod(ck, F.lit(len(dims.INSTRUMENTS))) + 1).cast("int")
     trader = F.concat(F.lit("A-"), F.lpad(F.pmod(ck, F.lit(dims.N_ABUSIVE_TRADERS)).cast("string"), 3, "0"))
-    day = _ms(F.col("o_orderdate"))
+    day = _ms(orders, "o_orderdate")
     t0 = F.when(archetype == "MARKING_THE_CLOSE", day + F.lit(CLOSE_MS_OF_DAY - MTC_LEAD_MS)) \
         .otherwise(day + F.pmod(ok * 7, F.lit(SCENARIO_MINUTES)) * 60_000)
     return orders.select(

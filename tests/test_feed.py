@@ -77,3 +77,13 @@ def test_json_round_trip_drops_nulls_and_reparses(spark):
     assert j.filter(F.col("event_json").contains("null")).count() == 0
     back = R.from_json_column(j, "event_json")
     assert back.exceptAll(M.raw(spark, SF_SMALL)).count() == 0
+
+
+def test_feed_is_independent_of_session_time_zone(spark):
+    utc = M.raw(spark, SF_SMALL).select("cl_ord_id", "msg_type", "transact_time").collect()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ny = M.raw(spark, SF_SMALL).select("cl_ord_id", "msg_type", "transact_time").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sorted(utc) == sorted(ny)
