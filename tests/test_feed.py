@@ -64,10 +64,12 @@ def test_order_exec_join_latency_bounds(spark):
     assert r["lo"] >= 0 and r["hi"] <= 60_000
 
 
-def test_label_sidecar_roundtrip(spark, tmp_path):
+def test_label_sidecar_roundtrip(spark):
+    import uuid
+    from surveil.session import checkpoint_dir
     from surveil.sources import raw as R
     lab = feed.labels(spark, SF_SMALL)
-    n = R.write_labels(lab, str(tmp_path / "labels"))
+    n = R.write_labels(lab, checkpoint_dir(spark, f"labels-{uuid.uuid4().hex}"))
     assert n == lab.count()
 
 
