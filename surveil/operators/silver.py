@@ -43,10 +43,12 @@ def dedup(df: DataFrame, key: list[str] = DEDUP_KEY) -> DataFrame:
 
     An aggregate rather than a window: the map side collapses copies before the
     shuffle, so even a group of copies holding a large share of all rows costs one
-    partial-aggregate row per task.  The survivor is the least row by value, which is
-    stable under recomputation.
+    partial-aggregate row per task.  The survivor is the earliest delivery (least
+    ``_ingest_ts``, like the streaming dedup which keeps the first arrival), then the
+    least row by value: stable under recomputation.
     """
     rest = [c for c in df.columns if c not in key]
+    rest = sorted(rest, key=lambda c: c != "_ingest_ts")  # ingest time first, order otherwise kept
     return (df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r"))
             .select(*key, "_r.*").select(*df.columns))
 
