@@ -51,3 +51,22 @@ def write_time_ordered(df: DataFrame, path: str, n_files: int | None = None, fmt
     keys = ["transact_time", "cl_ord_id", "msg_type"]
     n = n_files or df.sparkSession.sparkContext.defaultParallelism
     df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").format(fmt).save(path)
+
+
+WINDOW_KEYS = ["trader_id", "symbol", "window_start"]
+
+
+def write_bucketed(df: DataFrame, root: str, layer: str, name: str, keys: list[str] = WINDOW_KEYS,
+                   n_buckets: int = 64, prefix: str = "surveil") -> str:
+    """Write a layer table bucketed and sorted by ``keys`` (external table under ``root``).
+
+    Tables written with the same keys and bucket count join without a shuffle on either
+    side (storage-partitioned join), e.g. gold windows with label windows or alerts."""
+    if layer not in NAMESPACES:
+        raise ValueError(f"unknown layer {layer!r}")
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {prefix}_{layer}")
+    table = f"{prefix}_{layer}.{name}"
+    (df.write.mode("overwrite").format("parquet").option("path", f"{root.rstrip('/')}/{layer}/{name}")
+     .bucketBy(n_buckets, *keys).sortBy(*keys).saveAsTable(table))
+    return table
