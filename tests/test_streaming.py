@@ -109,3 +109,30 @@ def test_streamed_alerts_equal_batch_alerts(spark):
     want = M.alerts(spark, SF_SMALL).drop("shap_top_features")
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_late_events_beyond_the_watermark_are_dropped(spark):
+    from conftest import order, raw_df
+    d = _scratch(spark)
+    hour = 3_600_000
+    b1 = [order(cl_ord_id=f"a{i}", transact_time=hour + i * 1000) for i in range(5)]
+    b2 = [order(cl_ord_id="late", transact_time=hour - 20 * 60_000),      # 20 min behind: dropped
+          order(cl_ord_id="ok", transact_time=hour + 30_000)]               # inside the watermark
+    raw_df(spark, b1).coalesce(1).write.parquet(f"{d}/in/b=1")
+
+    def run():
+        from pyspark.sql.types import IntegerType, StructField, StructType
+        schema = StructType(RAW_FIX_SCHEMA.fields + [StructField("b", IntegerType())])
+        s = spark.readStream.schema(schema).parquet(f"{d}/in").drop("b")
+        q = (SM.stream_gold(SM.stream_silver(s, "10 minutes")).writeStream.outputMode("update")
+             .option("checkpointLocation", f"{d}/ck").foreachBatch(running.write_updates(f"{d}/out"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination(120)
+
+    run()
+    raw_df(spark, b2).coalesce(1).write.parquet(f"{d}/in/b=2")
+    run()
+    out = spark.read.parquet(f"{d}/out")
+    latest = out.groupBy("window_start").agg(F.max("n_orders").alias("n"))
+    got = {r["window_start"]: r["n"] for r in latest.collect()}
+    assert got == {hour: 6}  # the on-time event joined its window; the late one opened none
