@@ -21,16 +21,25 @@ def ensure_namespaces(spark: SparkSession, prefix: str = "surveil") -> list[str]
     return names
 
 
+def event_date(time_col: str, granularity: str = "day") -> F.Column:
+    """UTC day (or first day of the month) of an epoch-ms column, independent of the session TZ."""
+    d = F.date_from_unix_date(F.floor(F.col(time_col) / F.lit(86_400_000)).cast("int"))
+    return F.trunc(d, "month") if granularity == "month" else d
+
+
 def write_layer(df: DataFrame, root: str, layer: str, name: str, fmt: str = "parquet",
-                time_col: str | None = "transact_time", prefix: str = "surveil") -> str:
-    """Write ``df`` to ``root/layer/name`` partitioned by event day and register it."""
+                time_col: str | None = "transact_time", prefix: str = "surveil", granularity: str = "day") -> str:
+    """Write ``df`` to ``root/layer/name`` partitioned by event day (or month) and register it.
+
+    Daily partitions suit production volumes (each day holds a large slice); for sparse
+    data spread over years, ``granularity="month"`` avoids thousands of tiny partitions."""
     if layer not in NAMESPACES:
         raise ValueError(f"unknown layer {layer!r}")
     path = f"{root.rstrip('/')}/{layer}/{name}"
     w = df
     parts: list[str] = []
-    if time_col and time_col in df.columns:
-        w = df.withColumn("event_date", F.date_from_unix_date(F.floor(F.col(time_col) / F.lit(86_400_000)).cast("int")))
+    if time_col and time_col in df.columns and granularity in ("day", "month"):
+        w = df.withColumn("event_date", event_date(time_col, granularity))
         parts = ["event_date"]
     w.write.mode("overwrite").format(fmt).partitionBy(*parts).save(path)
     spark = df.sparkSession
