@@ -372,6 +372,15 @@ def masked_alerts(spark, sf):
         "desk", "audit_hash")
 
 
+@query("masked_events", _sql(
+    "SELECT cl_ord_id, msg_type, transact_time, 'TRD-' || substr(sha256('surveil' || trader_id), 1, 16) AS trader_id, "
+    "'ACC-' || substr(sha256('surveil' || account), 1, 16) AS account, symbol, side, order_qty, price FROM silver"))
+def masked_events(spark, sf):
+    """Governed view of silver: trader and account pseudonymised (salted SHA-256)."""
+    return GV.masked_events(M.silver(spark, sf), "surveil").select(
+        "cl_ord_id", "msg_type", "transact_time", "trader_id", "account", "symbol", "side", "order_qty", "price")
+
+
 def _violations_sql() -> str:
     dets = ", ".join(f"'{d}'" for d in DETECTORS)
     checks = [
