@@ -28,7 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", os.environ.get("SURVEIL_CLEAN_CHECKPOINTS", "true"))
          .config("spark.driver.memory", os.environ.get("SURVEIL_DRIVER_MEMORY", "16g"))
          .config("spark.sql.streaming.stateStore.providerClass",
                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))
