@@ -27,71 +27,97 @@ N_ABUSIVE_TRADERS = 5   # A-000 .. A-004, account ACC-<trader>
 ARCHETYPES = ["SPOOFING", "WASH_TRADE", "FRONT_RUNNING", "MOMENTUM_IGNITION", "MARKING_THE_CLOSE"]
 
 # ---------------------------------------------------------------------------
-# Scenario templates, one row per emitted event.
-# who: A = abuser, C = the front-running client. ticks: price offset from mid in
-# ticks (None = no price). dt: ms after t0. sfx: cl_ord_id suffix. orig: cancelled
-# order suffix. oid / eid: order and execution id suffixes of fills. Random
+# Scenario templates: one row per emitted event, built from the archetype parameters.
+# who: A = abuser, C = the front-running client. ticks: price offset from mid in ticks
+# (None = no price). dt: ms after t0. sfx: cl_ord_id suffix. orig: suffix of the order a
+# cancel refers to. oid / eid: order / execution id suffixes of fills. Random
 # quantities of the reference are replaced by fixed values inside their ranges.
 # ---------------------------------------------------------------------------
-# (archetype, step, msg, who, side, qty, ord_type, ticks, dt, sfx, orig, oid, eid, reason)
-TEMPLATES = [
-    ("SPOOFING", 0, "D", "A", "1", 5000, "2", -1, 0, "spoof-0", None, None, None, None),
-    ("SPOOFING", 1, "D", "A", "1", 5000, "2", -2, 50, "spoof-1", None, None, None, None),
-    ("SPOOFING", 2, "D", "A", "1", 5000, "2", -3, 100, "spoof-2", None, None, None, None),
-    ("SPOOFING", 3, "D", "A", "1", 5000, "2", -4, 150, "spoof-3", None, None, None, None),
-    ("SPOOFING", 4, "D", "A", "2", 200, "2", 0, 300, "genuine-sell", None, None, None, None),
-    ("SPOOFING", 5, "8", "A", "2", 200, "2", 0, 350, "genuine-sell", None, "oid", "eid", None),
-    ("SPOOFING", 6, "F", "A", "1", 5000, "2", None, 400, "cancel-0", "spoof-0", None, None, "SPOOF_CANCEL"),
-    ("SPOOFING", 7, "F", "A", "1", 5000, "2", None, 420, "cancel-1", "spoof-1", None, None, "SPOOF_CANCEL"),
-    ("SPOOFING", 8, "F", "A", "1", 5000, "2", None, 440, "cancel-2", "spoof-2", None, None, "SPOOF_CANCEL"),
-    ("SPOOFING", 9, "F", "A", "1", 5000, "2", None, 460, "cancel-3", "spoof-3", None, None, "SPOOF_CANCEL"),
-    ("WASH_TRADE", 0, "D", "A", "1", 1000, "2", 0, 0, "wash-buy", None, None, None, None),
-    ("WASH_TRADE", 1, "D", "A", "2", 1000, "2", 0, 100, "wash-sell", None, None, None, None),
-    ("WASH_TRADE", 2, "8", "A", "1", 1000, "2", 0, 150, "wash-buy", None, "boid", "beid", None),
-    ("WASH_TRADE", 3, "8", "A", "2", 1000, "2", 0, 150, "wash-sell", None, "soid", "seid", None),
-    ("FRONT_RUNNING", 0, "D", "C", "1", 10000, "1", None, 0, "client-buy", None, None, None, None),
-    ("FRONT_RUNNING", 1, "D", "A", "1", 600, "2", 0, 50, "abuser-buy", None, None, None, None),
-    ("FRONT_RUNNING", 2, "8", "A", "1", 600, "2", 0, 100, "abuser-buy", None, "abuser-oid", "abuser-eid", None),
-    ("FRONT_RUNNING", 3, "8", "C", "1", 10000, "1", 0, 200, "client-buy", None, "client-oid", "client-eid", None),
-    ("FRONT_RUNNING", 4, "D", "A", "2", 600, "2", 10, 300, "abuser-sell", None, None, None, None),
-    ("FRONT_RUNNING", 5, "8", "A", "2", 600, "2", 10, 350, "abuser-sell", None, "abuser-exit-oid", "abuser-exit-eid", None),
-    ("MOMENTUM_IGNITION", 0, "D", "A", "1", 250, "2", 1, 0, "burst-0", None, None, None, None),
-    ("MOMENTUM_IGNITION", 1, "8", "A", "1", 250, "2", 1, 20, "burst-0", None, "boid-0", "beid-0", None),
-    ("MOMENTUM_IGNITION", 2, "D", "A", "1", 250, "2", 2, 80, "burst-1", None, None, None, None),
-    ("MOMENTUM_IGNITION", 3, "8", "A", "1", 250, "2", 2, 100, "burst-1", None, "boid-1", "beid-1", None),
-    ("MOMENTUM_IGNITION", 4, "D", "A", "1", 250, "2", 3, 160, "burst-2", None, None, None, None),
-    ("MOMENTUM_IGNITION", 5, "8", "A", "1", 250, "2", 3, 180, "burst-2", None, "boid-2", "beid-2", None),
-    ("MOMENTUM_IGNITION", 6, "D", "A", "1", 250, "2", 4, 240, "burst-3", None, None, None, None),
-    ("MOMENTUM_IGNITION", 7, "8", "A", "1", 250, "2", 4, 260, "burst-3", None, "boid-3", "beid-3", None),
-    ("MOMENTUM_IGNITION", 8, "D", "A", "1", 250, "2", 5, 320, "burst-4", None, None, None, None),
-    ("MOMENTUM_IGNITION", 9, "8", "A", "1", 250, "2", 5, 340, "burst-4", None, "boid-4", "beid-4", None),
-    ("MOMENTUM_IGNITION", 10, "D", "A", "2", 2000, "2", 5, 550, "exit-sell", None, None, None, None),
-    ("MOMENTUM_IGNITION", 11, "8", "A", "2", 2000, "2", 5, 580, "exit-sell", None, "soid", "seid", None),
-    ("MARKING_THE_CLOSE", 0, "D", "A", "1", 600, "2", 1, 0, "mtc-0", None, None, None, None),
-    ("MARKING_THE_CLOSE", 1, "D", "A", "1", 600, "2", 2, 15000, "mtc-1", None, None, None, None),
-    ("MARKING_THE_CLOSE", 2, "D", "A", "1", 600, "2", 3, 30000, "mtc-2", None, None, None, None),
-    ("MARKING_THE_CLOSE", 3, "8", "A", "1", 600, "2", 3, 30500, "mtc-2", None, "oid", "eid", None),
-    ("MARKING_THE_CLOSE", 4, "F", "A", "1", 600, "2", None, 30700, "mtc-cancel-0", "mtc-0", None, None, "POST_CLOSE_CLEANUP"),
-    ("MARKING_THE_CLOSE", 5, "F", "A", "1", 600, "2", None, 30750, "mtc-cancel-1", "mtc-1", None, None, "POST_CLOSE_CLEANUP"),
-]
+# Fixed values (timing in ms, quantities) of the archetypes.
+SPOOF_QTY, SPOOF_LAYER_GAP, SPOOF_SELL_QTY, SPOOF_SELL_DT, SPOOF_FILL_DT, SPOOF_CANCEL_DT, SPOOF_CANCEL_GAP = \
+    5000, 50, 200, 300, 350, 400, 20
+WASH_SELL_DT, WASH_FILL_DT = 100, 150
+FR_ABUSER_QTY, FR_BUY_DT, FR_BUY_FILL_DT, FR_CLIENT_FILL_DT, FR_SELL_DT, FR_SELL_FILL_DT, FR_EXIT_TICKS = \
+    600, 50, 100, 200, 300, 350, 10
+MOM_QTY, MOM_GAP, MOM_FILL_LAG, MOM_EXIT_PAUSE, MOM_EXIT_FILL_LAG = 250, 80, 20, 150, 30
+MTC_QTY, MTC_GAP, MTC_FILL_LAG, MTC_CANCEL_LAG, MTC_CANCEL_GAP = 600, 15_000, 500, 200, 50
+
 TEMPLATE_COLUMNS = ["archetype", "step", "t_msg", "who", "t_side", "t_qty", "t_ord_type", "ticks",
                     "dt", "sfx", "orig_sfx", "oid_sfx", "eid_sfx", "reason"]
 TEMPLATE_DDL = ("archetype string, step int, t_msg string, who string, t_side string, t_qty bigint, "
                 "t_ord_type string, ticks int, dt bigint, sfx string, orig_sfx string, oid_sfx string, "
                 "eid_sfx string, reason string")
-
-# Label window end (ms after t0) and injected id suffixes, in list order.
-LABEL_TEMPLATES = [
-    ("SPOOFING", 480, ["spoof-0", "spoof-1", "spoof-2", "spoof-3",
-                       "cancel-0", "cancel-1", "cancel-2", "cancel-3", "genuine-sell"]),
-    ("WASH_TRADE", 150, ["wash-buy", "wash-sell"]),
-    ("FRONT_RUNNING", 350, ["abuser-buy"]),
-    ("MOMENTUM_IGNITION", 580, ["burst-0", "burst-1", "burst-2", "burst-3", "burst-4", "exit-sell"]),
-    ("MARKING_THE_CLOSE", 30750, ["mtc-0", "mtc-1", "mtc-2", "mtc-2"]),
-]
 LABEL_TEMPLATE_DDL = "archetype string, end_dt bigint, id_sfx array<string>"
 
 
+def build_templates(layers: int = 4, wash_qty: int = 1000, client_qty: int = 10_000, burst_size: int = 5,
+                    exit_qty: int = 2000, waves: int = 3) -> tuple[list[tuple], list[tuple]]:
+    """(event template rows, label template rows) for the five archetypes."""
+    ev: list[tuple] = []
+
+    def add(arch, msg, who, side, qty, ord_type, ticks, dt, sfx, orig=None, oid=None, eid=None, reason=None):
+        step = sum(1 for r in ev if r[0] == arch)
+        ev.append((arch, step, msg, who, side, qty, ord_type, ticks, dt, sfx, orig, oid, eid, reason))
+
+    a = "SPOOFING"
+    for i in range(layers):
+        add(a, "D", "A", "1", SPOOF_QTY, "2", -(i + 1), SPOOF_LAYER_GAP * i, f"spoof-{i}")
+    add(a, "D", "A", "2", SPOOF_SELL_QTY, "2", 0, SPOOF_SELL_DT, "genuine-sell")
+    add(a, "8", "A", "2", SPOOF_SELL_QTY, "2", 0, SPOOF_FILL_DT, "genuine-sell", oid="oid", eid="eid")
+    for i in range(layers):
+        add(a, "F", "A", "1", SPOOF_QTY, "2", None, SPOOF_CANCEL_DT + SPOOF_CANCEL_GAP * i, f"cancel-{i}",
+            orig=f"spoof-{i}", reason="SPOOF_CANCEL")
+    spoof_end = SPOOF_CANCEL_DT + SPOOF_CANCEL_GAP * layers
+    spoof_ids = [f"spoof-{i}" for i in range(layers)] + [f"cancel-{i}" for i in range(layers)] + ["genuine-sell"]
+
+    a = "WASH_TRADE"
+    add(a, "D", "A", "1", wash_qty, "2", 0, 0, "wash-buy")
+    add(a, "D", "A", "2", wash_qty, "2", 0, WASH_SELL_DT, "wash-sell")
+    add(a, "8", "A", "1", wash_qty, "2", 0, WASH_FILL_DT, "wash-buy", oid="boid", eid="beid")
+    add(a, "8", "A", "2", wash_qty, "2", 0, WASH_FILL_DT, "wash-sell", oid="soid", eid="seid")
+
+    a = "FRONT_RUNNING"
+    add(a, "D", "C", "1", client_qty, "1", None, 0, "client-buy")
+    add(a, "D", "A", "1", FR_ABUSER_QTY, "2", 0, FR_BUY_DT, "abuser-buy")
+    add(a, "8", "A", "1", FR_ABUSER_QTY, "2", 0, FR_BUY_FILL_DT, "abuser-buy", oid="abuser-oid", eid="abuser-eid")
+    add(a, "8", "C", "1", client_qty, "1", 0, FR_CLIENT_FILL_DT, "client-buy", oid="client-oid", eid="client-eid")
+    add(a, "D", "A", "2", FR_ABUSER_QTY, "2", FR_EXIT_TICKS, FR_SELL_DT, "abuser-sell")
+    add(a, "8", "A", "2", FR_ABUSER_QTY, "2", FR_EXIT_TICKS, FR_SELL_FILL_DT, "abuser-sell",
+        oid="abuser-exit-oid", eid="abuser-exit-eid")
+
+    a = "MOMENTUM_IGNITION"
+    for i in range(burst_size):
+        add(a, "D", "A", "1", MOM_QTY, "2", i + 1, MOM_GAP * i, f"burst-{i}")
+        add(a, "8", "A", "1", MOM_QTY, "2", i + 1, MOM_GAP * i + MOM_FILL_LAG, f"burst-{i}",
+            oid=f"boid-{i}", eid=f"beid-{i}")
+    t_exit = MOM_GAP * burst_size + MOM_EXIT_PAUSE
+    add(a, "D", "A", "2", exit_qty, "2", burst_size, t_exit, "exit-sell")
+    add(a, "8", "A", "2", exit_qty, "2", burst_size, t_exit + MOM_EXIT_FILL_LAG, "exit-sell", oid="soid", eid="seid")
+
+    a = "MARKING_THE_CLOSE"
+    for i in range(waves):
+        add(a, "D", "A", "1", MTC_QTY, "2", i + 1, MTC_GAP * i, f"mtc-{i}")
+    t_fill = MTC_GAP * (waves - 1) + MTC_FILL_LAG
+    add(a, "8", "A", "1", MTC_QTY, "2", waves, t_fill, f"mtc-{waves - 1}", oid="oid", eid="eid")
+    for i in range(waves - 1):
+        add(a, "F", "A", "1", MTC_QTY, "2", None, t_fill + MTC_CANCEL_LAG + MTC_CANCEL_GAP * i, f"mtc-cancel-{i}",
+            orig=f"mtc-{i}", reason="POST_CLOSE_CLEANUP")
+    mtc_end = t_fill + MTC_CANCEL_LAG + max(waves - 2, 0) * MTC_CANCEL_GAP
+
+    labels = [
+        ("SPOOFING", spoof_end, spoof_ids),
+        ("WASH_TRADE", WASH_FILL_DT, ["wash-buy", "wash-sell"]),
+        ("FRONT_RUNNING", FR_SELL_FILL_DT, ["abuser-buy"]),
+        ("MOMENTUM_IGNITION", t_exit + MOM_EXIT_FILL_LAG, [f"burst-{i}" for i in range(burst_size)] + ["exit-sell"]),
+        # the last wave id appears twice, as the label lists the waves and then the filled order
+        ("MARKING_THE_CLOSE", mtc_end, [f"mtc-{i}" for i in range(waves)] + [f"mtc-{waves - 1}"]),
+    ]
+    return ev, labels
+
+
+TEMPLATES, LABEL_TEMPLATES = build_templates()
+
+
 def instruments(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(INSTRUMENTS, "symbol string, exchange_id string, mid_cents bigint, tick_cents bigint")
 
@@ -104,12 +130,13 @@ def traders(spark: SparkSession) -> DataFrame:
             .withColumn("account", F.concat(F.lit("ACC-"), F.col("trader_id"))))
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, TEMPLATE_DDL)
+def templates(spark: SparkSession, **params) -> DataFrame:
+    """Event templates (defaults, or archetype parameters such as layers=6, waves=5)."""
+    return spark.createDataFrame(build_templates(**params)[0] if params else TEMPLATES, TEMPLATE_DDL)
 
 
-def label_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LABEL_TEMPLATES, LABEL_TEMPLATE_DDL)
+def label_templates(spark: SparkSession, **params) -> DataFrame:
+    return spark.createDataFrame(build_templates(**params)[1] if params else LABEL_TEMPLATES, LABEL_TEMPLATE_DDL)
 
 
 def asset_classes(spark: SparkSession, rows: list[tuple[str, str, str]] | None = None) -> DataFrame:

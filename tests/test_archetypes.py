@@ -57,3 +57,35 @@ def test_marking_the_close_window_sits_in_the_closing_period(windows):
     w = windows["MARKING_THE_CLOSE"]
     assert w["secs_to_close"] == 19.25 and 0 <= w["secs_to_close"] <= 120
     assert w["last_px"] == w["max_px"]
+
+
+def test_custom_archetype_parameters(spark):
+    from surveil.operators import labels as LB
+    from surveil.operators import links as L
+    params = dict(layers=6, burst_size=3, waves=5, client_qty=25_000)
+    orders = spark.createDataFrame(
+        [(k, 0, dt.datetime(2024, 3, 1 + k)) for k in range(5)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz")
+    p = feed.scenario_params(orders)
+    raw = feed.scenario_events(p, dims.templates(spark, **params))
+    labels = feed.scenario_labels(p, dims.label_templates(spark, **params))
+    news = {r["scenario_type"]: r["n"] for r in raw.filter((F.col("msg_type") == "D") & (F.col("side") == "1")
+                                                           & ~F.col("trader_id").endswith("-client"))
+            .groupBy("scenario_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert news["SPOOFING"] == 6 and news["MOMENTUM_IGNITION"] == 3 and news["MARKING_THE_CLOSE"] == 5
+    client = raw.filter(F.col("trader_id").endswith("-client") & (F.col("msg_type") == "D")).first()
+    assert client["order_qty"] == 25_000
+    ids = {r["abuse_type"]: r["injected_event_ids"] for r in labels.collect()}
+    assert len(ids["MOMENTUM_IGNITION"]) == 4 and ids["MOMENTUM_IGNITION"][-1].endswith("-exit-sell")
+    assert LB.scenario_conformance(raw).filter(~F.col("conformant")).count() == 0
+    assert L.label_integrity(labels, raw).filter(~F.col("ok")).count() == 0
+
+
+def test_default_templates_equal_the_fixture_table():
+    # FIXTURES §4 rows, spot-checked: first spoof layer, wash fills, client order, exit, last cancel
+    t = {(r[0], r[1]): r for r in dims.TEMPLATES}
+    assert t[("SPOOFING", 0)][2:10] == ("D", "A", "1", 5000, "2", -1, 0, "spoof-0")
+    assert t[("WASH_TRADE", 3)][8] == 150 and t[("WASH_TRADE", 2)][8] == 150
+    assert t[("FRONT_RUNNING", 0)][5:8] == (10_000, "1", None)
+    assert t[("MOMENTUM_IGNITION", 11)][5:9] == (2000, "2", 5, 580)
+    assert t[("MARKING_THE_CLOSE", 5)][8:11] == (30_750, "mtc-cancel-1", "mtc-1")
+    assert len(dims.TEMPLATES) == 38
