@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app: str = "surveil") -> SparkSession:
+                  app: str = "surveil", extra: dict[str, str] | None = None) -> SparkSession:
     """Session with the settings this library is tuned for.
 
     On a cluster the master and most sizing come from spark-submit; locally we pin
@@ -32,6 +32,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.driver.memory", os.environ.get("SURVEIL_DRIVER_MEMORY", "16g"))
          .config("spark.sql.streaming.stateStore.providerClass",
                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))
+    for k, v in (extra or {}).items():
+        b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

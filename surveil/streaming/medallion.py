@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveil.operators import bronze as B
+from surveil.operators import detectors as D
 from surveil.operators import gold as G
 from surveil.operators import silver as S
 from surveil.schemas import DEDUP_KEY, DEFAULT_WINDOW_MS
@@ -61,3 +62,10 @@ def stream_order_exec_join(silver: DataFrame, max_latency_ms: int = 60_000) -> D
         "cl_ord_id", "trader_id", "symbol", "side", "order_time", "exec_time", "exec_id",
         (F.col("exec_time") - F.col("order_time")).alias("fill_latency_ms"),
         "order_qty", "price", "last_qty", "last_px")
+
+
+def stream_alerts(raw: DataFrame, watermark: str = "10 minutes", window_ms: int = DEFAULT_WINDOW_MS,
+                  created_at: int = 0) -> DataFrame:
+    """Raw event stream -> alerts (run in update mode; append mode emits a window once the
+    watermark has passed its end).  The detectors stay a narrow projection of gold."""
+    return D.detect(stream_gold(stream_silver(raw, watermark), window_ms), created_at=created_at)

@@ -104,7 +104,7 @@ def test_streaming_chain_append_continues_across_batches(spark):
 def test_streamed_alerts_equal_batch_alerts(spark):
     from surveil.operators import detectors as D
     raw, d = _stream_raw(spark)
-    got = _drain(D.detect(SM.stream_gold(SM.stream_silver(raw))).drop("shap_top_features"), "update", d,
+    got = _drain(SM.stream_alerts(raw).drop("shap_top_features"), "update", d,
                  "alerts_stream")
     want = M.alerts(spark, SF_SMALL).drop("shap_top_features")
     assert got.count() == want.count()
