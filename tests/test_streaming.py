@@ -1,8 +1,6 @@
 """Structured Streaming: state across micro-batches and restarts, batch == stream."""
-import os
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -102,7 +100,6 @@ def test_streaming_chain_append_continues_across_batches(spark):
 
 
 def test_streamed_alerts_equal_batch_alerts(spark):
-    from surveil.operators import detectors as D
     raw, d = _stream_raw(spark)
     got = _drain(SM.stream_alerts(raw).drop("shap_top_features"), "update", d,
                  "alerts_stream")
