@@ -25,7 +25,8 @@ from surveil.sources import catalog, feed
 
 
 def run(spark: SparkSession, sf_dir: str, root: str, window_ms: int = 60_000, created_at: int = 0,
-        chain_target_len: int = 256, prefix: str = "surveil", granularity: str = "day") -> dict[str, str]:
+        chain_target_len: int = 256, prefix: str = "surveil", granularity: str = "day",
+        score: bool = False, ml_max_iter: int = 100) -> dict[str, str]:
     tables: dict[str, str] = {}
     writes: list[tuple[str, str, int, int]] = []
 
@@ -44,15 +45,39 @@ def run(spark: SparkSession, sf_dir: str, root: str, window_ms: int = 60_000, cr
     gold = write(G.to_gold(silver, window_ms), "gold", "windows", time_col="window_start")
     alerts = write(D.detect(gold, created_at=created_at), "alerts", "alerts", time_col="window_start")
     entries = AU.entries_from_alerts(alerts)
-    chain = write(AU.append(AU.assign_chains(entries, chain_target_len)), "governed_output", "audit_chain",
+    n_chains = AU.n_chains_for(entries, chain_target_len)
+    chain = write(AU.append(AU.assign_chains(entries, n_chains=n_chains)), "governed_output", "audit_chain",
                   time_col=None)
-    write(AU.anchor(chain), "governed_output", "audit_anchors", time_col=None)
+    anchors = write(AU.anchor(chain, n_chains), "governed_output", "audit_anchors", time_col=None)
+    if score:
+        from surveil.operators import labels as LB
+        from surveil.operators import scorer as SC
+        model = SC.fit(LB.labelled_windows(gold, feed.labels(spark, sf_dir), window_ms), max_iter=ml_max_iter)
+        scored = write(SC.score(model, gold).drop("shap_values"), "ml", "scores", time_col="window_start")
+        enriched = write(SC.enrich_alerts(alerts, scored), "alerts", "alerts_scored", time_col="window_start")
+        # scoring is its own audit entry, appended to the same chains (the emission digest is untouched)
+        ml_entries = _ml_entries(enriched)
+        new = AU.append(AU.assign_chains(ml_entries, n_chains=n_chains), anchors=anchors)
+        catalog.write_layer(new, root, "governed_output", "audit_chain", time_col=None, prefix=prefix, mode="append")
+        chain = spark.table(tables["audit_chain"])
+        write(AU.anchor(chain, n_chains), "governed_output", "audit_anchors", time_col=None)
     lineage = AU.append(AU.assign_chains(AU.table_written_entries(spark, writes), n_chains=1))
     catalog.write_layer(lineage, root, "governed_output", "lineage_chain", time_col=None, prefix=prefix)
     tables["lineage_chain"] = f"{prefix}_governed_output.lineage_chain"
     return tables
 
 
+def _ml_entries(enriched):
+    """One ML_SCORED entry per alert: payload = rendered ml_score and top feature name."""
+    from pyspark.sql.types import DoubleType, StringType
+    from surveil.functions import grammar
+    top = F.element_at("shap_top_features", 1)["feature_name"]
+    return enriched.select(F.lit("ml").alias("subsystem"), F.lit("ML_SCORED").alias("action"),
+                           F.col("alert_id").alias("ref_id"), F.col("created_at").alias("ts"),
+                           F.array(grammar.canonical_field(F.col("ml_score"), DoubleType()),
+                                   grammar.canonical_field(top, StringType())).alias("payload"))
+
+
 def main() -> None:
     from surveil.session import build_session, checkpoint_dir
     spark = build_session(app="surveil-batch")

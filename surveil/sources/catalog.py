@@ -28,7 +28,8 @@ def event_date(time_col: str, granularity: str = "day") -> F.Column:
 
 
 def write_layer(df: DataFrame, root: str, layer: str, name: str, fmt: str = "parquet",
-                time_col: str | None = "transact_time", prefix: str = "surveil", granularity: str = "day") -> str:
+                time_col: str | None = "transact_time", prefix: str = "surveil", granularity: str = "day",
+                mode: str = "overwrite") -> str:
     """Write ``df`` to ``root/layer/name`` partitioned by event day (or month) and register it.
 
     Daily partitions suit production volumes (each day holds a large slice); for sparse
@@ -41,7 +42,7 @@ def write_layer(df: DataFrame, root: str, layer: str, name: str, fmt: str = "par
     if time_col and time_col in df.columns and granularity in ("day", "month"):
         w = df.withColumn("event_date", event_date(time_col, granularity))
         parts = ["event_date"]
-    w.write.mode("overwrite").format(fmt).partitionBy(*parts).save(path)
+    w.write.mode(mode).format(fmt).partitionBy(*parts).save(path)
     spark = df.sparkSession
     table = f"{prefix}_{layer}.{name}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {prefix}_{layer}")

@@ -116,3 +116,17 @@ def test_from_records_mirrors_dict_ingest(spark):
     assert [r["cl_ord_id"] for r in B.to_bronze(df).collect()] == ["o1"]
     assert B.to_bronze(df).first()["price"] == 140.0
     assert [r["cl_ord_id"] for r in B.bronze_quarantine(df).collect()] == ["bad"]
+
+
+def test_batch_job_with_scoring_appends_ml_entries_to_the_chain(spark):
+    from surveil.operators import audit as AU
+    from surveil.plans import batch
+    d = _scratch(spark)
+    t = batch.run(spark, SF_SMALL, d, prefix="bs", granularity="month", score=True, ml_max_iter=10)
+    scored = spark.table(t["alerts_scored"])
+    assert scored.filter(F.col("ml_score").isNull()).count() == 0
+    chain = spark.table(t["audit_chain"])
+    n_alerts = spark.table(t["alerts"]).count()
+    assert chain.count() == 2 * n_alerts
+    assert chain.filter(F.col("action") == "ML_SCORED").count() == n_alerts
+    assert all(r["verified"] for r in AU.verify(chain, spark.table(t["audit_anchors"])).collect())
