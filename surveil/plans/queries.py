@@ -414,9 +414,8 @@ def _sequenced(spark, sf):
     """Audit entries cut from the alert lineage (checkpoint in the shared folder), so the
     chain count and the fold read the entries once instead of recomputing the medallion."""
     from surveil.operators import audit as AU
-    from surveil.session import checkpoint_dir
-    checkpoint_dir(spark)
-    entries = AU.entries_from_alerts(M.alerts(spark, sf)).checkpoint(eager=True)
+    from surveil.session import cut_lineage
+    entries = cut_lineage(AU.entries_from_alerts(M.alerts(spark, sf)))
     return AU.assign_chains(entries, O.CHAIN_TARGET_LEN)
 
 
@@ -484,14 +483,13 @@ ALPHA = 0.1
 
 def _scored(spark, sf, cut: bool = False):
     from surveil.operators import ml as ML
-    from surveil.session import checkpoint_dir
+    from surveil.session import cut_lineage
     from surveil.sources import feed
     g = D.score_all(LB.labelled_windows(M.gold(spark, sf), feed.labels(spark, sf)))
     p1 = F.greatest(*[F.col(f"score_{d.lower()}") for d in DETECTORS])
     out = ML.split(g.withColumn("p1", p1), ["trader_id", "symbol", "window_start"], 0.7, 0)
     if cut:  # several actions follow (count, q-hat, scoring): read the windows once
-        checkpoint_dir(spark)
-        out = out.select("trader_id", "symbol", "window_start", "label", "p1", "split").checkpoint(eager=True)
+        out = cut_lineage(out.select("trader_id", "symbol", "window_start", "label", "p1", "split"))
     return out
 
 

@@ -52,3 +52,16 @@ def checkpoint_dir(spark: SparkSession, sub: str = "") -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/") + ("/" + sub if sub else "")
+
+
+def cut_lineage(df):
+    """Checkpoint ``df`` into the shared checkpoint folder and return the checkpointed frame.
+
+    The frame is persisted first so the checkpoint write reuses the computed partitions
+    instead of running the plan a second time; the cache is dropped once written.
+    Survives executor loss (files, not executor memory); never a local checkpoint."""
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
