@@ -90,7 +90,7 @@ ALERT_HASH_FIELD_ORDER = [
 # Byte grammar separators and the chain genesis.
 US = "\x1f"   # between fields
 RS = "\x1e"   # between list elements
-NUL = "\x00"  # null sentinel
+NUL = "\x00"  # null marker
 GENESIS_HASH = "0" * 64
 
 # Medallion namespaces: one catalog, seven schemas.
