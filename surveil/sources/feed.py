@@ -6,7 +6,8 @@
   into events by one broadcast join with the fixed template table.
 
 Both paths are narrow (projection, explode, broadcast join), so the feed scales with
-its inputs and adds no shuffle.
+its inputs; the only shuffle is ``spread`` for an input that scans as fewer splits than
+cores (a no-op for any large table).
 """
 
 from __future__ import annotations
