@@ -120,3 +120,58 @@ def test_grammar_matches_python_rendering(spark, s, i, x, lst):
     got = spark.range(1).select(Gm.digest(body).alias("d")).first()["d"]
     want = hashlib.sha256("\x1f".join(py_field(v) for v in (s, i, x, lst)).encode()).hexdigest()
     assert got == want
+
+
+def py_scores(f):
+    """The five rules restated in plain Python (rule table of the survey, same operation order)."""
+    out = {}
+    ott = min(f["order_to_trade_ratio"] / 10.0, 1.0)
+    out["SPOOFING"] = 0.0 if f["n_orders"] < 4 else max(0.0, min(1.0, 0.7 * f["cancel_ratio"] + 0.3 * ott))
+    imb, gain = f["qty_imbalance"], f["round_trip_gain_bps"]
+    if f["buy_qty"] <= 0 or f["sell_qty"] <= 0 or f["n_execs"] < 2 or abs(imb) > 0.1 or abs(gain) > 1.0:
+        out["WASH_TRADE"] = 0.0
+    else:
+        out["WASH_TRADE"] = max(0.0, min(1.0, 0.6 * (1.0 - min(abs(imb), 1.0))
+                                         + 0.4 * (1.0 if f["distinct_prices"] <= 2 else 0.5)))
+    if f["n_execs"] < 2 or abs(imb) > 0.1 or gain <= 1.0 or f["buy_qty"] <= 0 or f["sell_qty"] <= 0:
+        out["FRONT_RUNNING"] = 0.0
+    else:
+        out["FRONT_RUNNING"] = min(1.0, 0.6 + 0.4 * min(gain / 10.0, 1.0))
+    mv = f["price_move_bps"]
+    if f["n_execs"] < 4 or mv <= 0.0 or f["cancel_ratio"] > 0.2 or f["sell_qty"] <= 0:
+        out["MOMENTUM_IGNITION"] = 0.0
+    else:
+        out["MOMENTUM_IGNITION"] = min(1.0, 0.4 * min(f["n_execs"] / 6.0, 1.0) + 0.3 + 0.1 * min(mv / 5.0, 1.0))
+    stc = f["secs_to_close"]
+    if stc < 0.0 or stc > 120.0 or mv <= 0.0 or f["n_execs"] < 1 or f["buy_qty"] <= 0:
+        out["MARKING_THE_CLOSE"] = 0.0
+    else:
+        high = 1.0 if f["last_px"] >= f["max_px"] - 1e-9 and f["max_px"] > 0 else 0.5
+        out["MARKING_THE_CLOSE"] = min(1.0, 0.3 + 0.3 * (1.0 - min(stc / 120.0, 1.0)) + 0.2 * min(mv / 5.0, 1.0)
+                                       + 0.2 * high)
+    return out
+
+
+feature_row = st.fixed_dictionaries({
+    "n_orders": st.integers(0, 12), "n_execs": st.integers(0, 8), "buy_qty": st.integers(0, 3000),
+    "sell_qty": st.integers(0, 3000), "distinct_prices": st.integers(0, 6),
+    "cancel_ratio": st.floats(0, 2), "order_to_trade_ratio": st.floats(0, 20), "qty_imbalance": st.floats(-1, 1),
+    "round_trip_gain_bps": st.one_of(st.floats(-5, 20), st.sampled_from([1.0, -1.0, 0.0])),
+    "price_move_bps": st.one_of(st.floats(-5, 10), st.sampled_from([0.0])),
+    "secs_to_close": st.one_of(st.floats(-10, 200), st.sampled_from([0.0, 120.0])),
+    "last_px": st.floats(0, 2), "max_px": st.floats(0, 2),
+})
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(feature_row, min_size=1, max_size=20))
+def test_detector_scores_match_plain_python_rules(spark, rows):
+    from surveil.operators import detectors as D
+    cols = list(rows[0])
+    ddl = ", ".join(f"{c} {'long' if isinstance(rows[0][c], int) else 'double'}" for c in cols)
+    df = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], ddl)
+    got = D.score_all(df).collect()
+    for g, r in zip(sorted(got, key=lambda x: tuple(x[c] for c in cols)), sorted(rows, key=lambda x: tuple(x[c] for c in cols))):
+        want = py_scores(r)
+        for name, v in want.items():
+            assert g[f"score_{name.lower()}"] == v, (name, r)
