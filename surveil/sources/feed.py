@@ -66,6 +66,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a narrow input over the cluster when the scan yields fewer splits than
     cores (e.g. one small file with one row group).  Large inputs already have many splits
     and pass through untouched, so this adds no shuffle at scale."""
+    if df.isStreaming:  # micro-batches are split by the source; nothing to spread
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 

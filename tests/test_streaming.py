@@ -145,3 +145,14 @@ def test_json_value_stream_to_alerts_equals_batch(spark):
     got = _drain(SM.stream_alerts(stream).drop("shap_top_features"), "update", d, "json_alerts")
     want = M.alerts(spark, SF_SMALL).drop("shap_top_features")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_feed_adapter_runs_on_streams(spark):
+    from surveil.sources import dims, feed
+    d = _scratch(spark)
+    spark.read.parquet(f"{SF_SMALL}/orders.parquet").write.parquet(f"{d}/orders")
+    orders = spark.readStream.schema(spark.read.parquet(f"{d}/orders").schema).parquet(f"{d}/orders")
+    sc = feed.scenario_events(feed.spread(feed.scenario_params(orders)), dims.templates(spark))
+    got = _drain(sc, "append", d, "scen_stream")
+    (batch_orders,) = feed.read_tables(spark, SF_SMALL, "orders")
+    assert got.count() == feed.scenario_events(feed.scenario_params(batch_orders), dims.templates(spark)).count()
