@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,18 +44,35 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession, sub: str = "") -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) do we pick a scratch folder.
+    Unset on a cluster this raises: executors and driver share no local folder. Only a local
+    master (tests, bench) falls back to a scratch folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="surveil-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            base = os.path.dirname(current.get())
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            base = tempfile.mkdtemp(prefix="surveil-ckpt-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/") + ("/" + sub if sub else "")
 
 
+def stored(df, name: str = "table"):
+    """Write ``df`` once as a table in the shared checkpoint folder and return a scan of it.
+
+    Cuts lineage like a checkpoint, but keeps column pruning and file-size statistics, so the
+    planner sees how large the table really is."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Checkpoint ``df`` into the shared checkpoint folder and return the checkpointed frame.
 
