@@ -133,9 +133,11 @@ def redact(text: str, spans: list[tuple]) -> str:
     return "".join(out) + text[at:]
 
 
-def find(docs: DataFrame, window: int = 40, min_score: float = 0.6) -> DataFrame:
+def find(docs: DataFrame, window: int = 40, min_score: float = 0.6, text_out: bool = True) -> DataFrame:
     """(doc_id, spans array<struct<kind,start,end,score>>, redacted) for each row of ``docs``.
 
+    ``text_out=False`` leaves ``redacted`` null: for callers that need the spans alone.
+
     Uses doc_id and text only, so other columns may have any name. Null or empty text: no spans,
     ``redacted`` stays null or empty. Null doc_id and repeated rows: a result per row. No shuffle.
     """
@@ -146,7 +148,7 @@ def find(docs: DataFrame, window: int = 40, min_score: float = 0.6) -> DataFrame
             yield pa.RecordBatch.from_arrays([
                 ids,
                 pa.array([[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in x] for x in spans], _SPANS),
-                pa.array([redact(t, x) if x else t for t, x in zip(texts, spans)], pa.string())],
+                pa.array([(redact(t, x) if x else t) if text_out else None for t, x in zip(texts, spans)], pa.string())],
                 ["doc_id", "spans", "redacted"])
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surveil.llm import neardup, pii
+from surveil.llm import neardup, pii, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,15 +14,19 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find(_read(spark, sf_dir, "documents")))
+    return pii.digest(pii.find(_read(spark, sf_dir, "documents"), text_out=False))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_near_duplicates)}
+    return {f.__name__: f for f in (op1_pii, op2_near_duplicates, op5_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
