@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surveil.llm import neardup, pii, quality
+from surveil.llm import neardup, packing, pii, quality
+
+
+def tokenizer_path() -> str:
+    """The tokenizer that the packing contract names (installed on every machine, never copied)."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,12 +27,16 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_near_duplicates, op5_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_near_duplicates, op4_packing, op5_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
