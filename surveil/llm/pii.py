@@ -155,6 +155,18 @@ def find(docs: DataFrame, window: int = 40, min_score: float = 0.6, text_out: bo
              "spans array<struct<kind:string,start:bigint,end:bigint,score:double>>, redacted string")
 
 
+def redacted(docs: DataFrame, window: int = 40, min_score: float = 0.6, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with personal data in ``text_col`` replaced by ``<KIND>``; ``size_col``, if present, is recounted."""
+    @F.arrow_udf("string")
+    def clean(text: pa.Array) -> pa.Array:
+        return pa.array([redact(t, x) if t and (x := scored_spans(t, window, min_score)) else t for t in text.to_pylist()], pa.string())
+
+    out = docs.withColumn(text_col, clean(docs[text_col]))
+    if size_col in docs.columns:
+        out = out.withColumn(size_col, F.char_length(text_col).cast(docs.schema[size_col].dataType))
+    return out.select(*docs.columns)
+
+
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surveil.llm import neardup, packing, pii, quality
+from surveil.llm import mixing, neardup, packing, pii, quality
 
 
 def tokenizer_path() -> str:
@@ -27,6 +27,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,8 +39,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline              # stands at the repository top; it imports this module
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OPERATORS = {f.__name__: f for f in (
+    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_near_duplicates, op4_packing, op5_quality)}
+    return OPERATORS | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
