@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, shingle: int
     members = stored(keyed.join(buckets, "key"), "members")
 
     ids = members.select("rep").distinct()
-    sets = stored(docs.join(ids, docs.doc_id == ids.rep, "left_semi").mapInArrow(
+    # a merge join at every size: the text is shuffled once, whatever the number of ids
+    sets = stored(docs.join(ids.hint("merge"), docs.doc_id == ids.rep, "left_semi").mapInArrow(
         _sets(shingle), "rep long, shingles array<long>"), "sets")
 
     regs = reps.select("doc_id", "regs", "n_shingles")
