@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surveil.llm import mixing, neardup, packing, pii, quality
+from surveil.llm import mixing, neardup, outliers, packing, pii, quality
 
 
 def tokenizer_path() -> str:
@@ -39,13 +39,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline              # stands at the repository top; it imports this module
     return corpus_pipeline.run(spark, sf_dir)
 
 
 OPERATORS = {f.__name__: f for f in (
-    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality)}
+    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality, op7_quality_rules)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
