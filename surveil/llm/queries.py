@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveil.llm import mixing, mtree, neardup, outliers, packing, pii, quality
+from surveil.llm import licenses, mixing, mtree, neardup, outliers, packing, pii, quality
 
 
 def tokenizer_path() -> str:
@@ -48,13 +48,17 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline              # stands at the repository top; it imports this module
     return corpus_pipeline.run(spark, sf_dir)
 
 
 OPERATORS = {f.__name__: f for f in (
-    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality, op7_quality_rules, op8_top_k)}
+    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality, op7_quality_rules, op8_top_k, op9_licenses)}
 
 
 #: DuckDB SQL where SQL can express an operator over its whole table; the others have brute-force tests.
