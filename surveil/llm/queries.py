@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveil.llm import licenses, mixing, mtree, neardup, outliers, packing, pii, quality
+from surveil.llm import licenses, mixing, mtree, neardup, outliers, packing, passages, pii, quality
 
 
 def tokenizer_path() -> str:
@@ -40,6 +40,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_read(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = {f.__name__: f for f in (
-    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality, op7_quality_rules, op8_top_k, op9_licenses)}
+    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality, op6_repeated_passages, op7_quality_rules, op8_top_k, op9_licenses)}
 
 
 #: DuckDB SQL where SQL can express an operator over its whole table; the others have brute-force tests.
