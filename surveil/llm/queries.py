@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveil.llm import licenses, mixing, mtree, neardup, outliers, packing, passages, pii, quality
+from surveil.llm import licenses, mixing, mtree, neardup, ngram_lm, outliers, packing, passages, pii, quality
 
 
 def tokenizer_path() -> str:
@@ -56,13 +56,17 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline              # stands at the repository top; it imports this module
     return corpus_pipeline.run(spark, sf_dir)
 
 
 OPERATORS = {f.__name__: f for f in (
-    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality, op6_repeated_passages, op7_quality_rules, op8_top_k, op9_licenses)}
+    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality, op6_repeated_passages, op7_quality_rules, op8_top_k, op9_licenses, op10_lm_scores)}
 
 
 #: DuckDB SQL where SQL can express an operator over its whole table; the others have brute-force tests.
