@@ -13,16 +13,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveil.schemas import MSG_CANCEL, MSG_EXEC, MSG_NEW, MSG_REPLACE, REQUIRED_BRONZE_FIELDS, SIDE_BUY, SIDE_SELL
+from surveil.schemas import (
+    MSG_CANCEL,
+    MSG_EXEC,
+    MSG_NEW,
+    MSG_REPLACE,
+    PRICE_LIMIT,
+    QTY_LIMIT,
+    REQUIRED_BRONZE_FIELDS,
+    SIDE_BUY,
+    SIDE_SELL,
+)
+
+LIMITS = {"price": PRICE_LIMIT, "last_px": PRICE_LIMIT, "order_qty": QTY_LIMIT, "last_qty": QTY_LIMIT}
 
 
 def required_not_null(fields: list[str] = REQUIRED_BRONZE_FIELDS) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in fields])
 
 
+def out_of_range(field: str) -> Column:
+    """True where a price or quantity is NaN, infinite or beyond its limit (a null is in range)."""
+    c, limit = F.col(field), F.lit(LIMITS[field])
+    # NaN sorts above every number, so the first comparison catches it as well
+    return F.coalesce((c >= limit) | (c <= -limit), F.lit(False))
+
+
+def clean() -> Column:
+    """Every required field present and every number in range."""
+    return reduce(lambda a, b: a & b, [~out_of_range(f) for f in LIMITS], required_not_null())
+
+
 def missing_fields(fields: list[str] = REQUIRED_BRONZE_FIELDS) -> Column:
-    """array<string> of required fields that are NULL in this row (empty when clean)."""
-    return F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in fields]),
+    """array<string>: required fields that are NULL, ``range:<field>`` for numbers out of range."""
+    return F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in fields],
+                            *[F.when(out_of_range(c), F.lit(f"range:{c}")) for c in LIMITS]),
                     lambda x: x.isNotNull())
 
 
@@ -36,13 +61,13 @@ def tag(raw: DataFrame, ingest_ts: int = 0, source: str = "fix.local") -> DataFr
 
 
 def to_bronze(raw: DataFrame, ingest_ts: int = 0, source: str = "fix.local") -> DataFrame:
-    """Clean bronze: rows carrying every required field."""
-    return with_ingest_metadata(raw, ingest_ts, source).filter(required_not_null())
+    """Clean bronze: rows carrying every required field, numbers in range."""
+    return with_ingest_metadata(raw, ingest_ts, source).filter(clean())
 
 
 def bronze_quarantine(raw: DataFrame, ingest_ts: int = 0, source: str = "fix.local") -> DataFrame:
     """Exact complement of ``to_bronze``, with the names of the missing fields."""
-    return tag(raw, ingest_ts, source).filter(~required_not_null())
+    return tag(raw, ingest_ts, source).filter(~clean())
 
 
 def dq_metrics(raw: DataFrame) -> DataFrame:
@@ -51,7 +76,7 @@ def dq_metrics(raw: DataFrame) -> DataFrame:
     Counts rows, clean and quarantined rows, NULLs per required field, and domain
     problems the gate lets through (empty strings, unknown side / msg_type codes).
     """
-    ok = required_not_null()
+    ok = clean()
     aggs = [F.count(F.lit(1)).alias("rows_total"),
             F.sum(F.when(ok, 1).otherwise(0)).alias("rows_clean"),
             F.sum(F.when(ok, 0).otherwise(1)).alias("rows_quarantined")]

@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 from surveil.schemas import ALERT_SCHEMA, DESKS, DETECTORS, DIRECTIONS
 
 
-def mask(c: Column, salt: str, prefix: str = "TRD-", n_hex: int = 16) -> Column:
-    """Salted SHA-256 pseudonym: stable per value (joins still work), not reversible."""
-    return F.when(c.isNotNull(), F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(F.lit(salt), c), 256), 1, n_hex)))
+def mask(c: Column, key: str, prefix: str = "TRD-") -> Column:
+    """Keyed pseudonym: HMAC-SHA-256 construction over the value, whole digest.
 
+    Stable per value and key, so joins still work. Whoever holds the key can test a guessed value;
+    without it the digest says nothing, so the key must be secret and at least 16 characters."""
+    if len(key) < 16:
+        raise ValueError("a pseudonym key needs at least 16 characters")
+    inner, outer = F.sha2(F.lit(key + "|inner"), 256), F.sha2(F.lit(key + "|outer"), 256)
+    return F.when(c.isNotNull(), F.concat(F.lit(prefix), F.sha2(F.concat(outer, F.sha2(F.concat(inner, c), 256)), 256)))
 
-def masked_alerts(alerts: DataFrame, salt: str = "surveil") -> DataFrame:
-    """Alerts with the trader identity pseudonymised; ids and digests unchanged."""
-    return alerts.withColumn("trader_id", mask(F.col("trader_id"), salt))
 
+def masked_alerts(alerts: DataFrame, key: str) -> DataFrame:
+    """Alerts with the trader pseudonymised. The alert id is re-keyed and the audit digest left out:
+    both are hashes of the clear trader id, from which it could be found by trying every id."""
+    return alerts.withColumns({"trader_id": mask(F.col("trader_id"), key),
+                               "alert_id": mask(F.col("alert_id"), key, "ALT-")}).drop("audit_hash")
 
-def masked_events(events: DataFrame, salt: str = "surveil") -> DataFrame:
-    return events.withColumns({"trader_id": mask(F.col("trader_id"), salt),
-                               "account": mask(F.col("account"), salt, "ACC-")})
+
+def masked_events(events: DataFrame, key: str) -> DataFrame:
+    """Events with trader and account pseudonymised."""
+    return events.withColumns({"trader_id": mask(F.col("trader_id"), key),
+                               "account": mask(F.col("account"), key, "ACC-")})
 
 
 def alert_violations(alerts: DataFrame) -> DataFrame:

@@ -80,16 +80,23 @@ def label_integrity(labels: DataFrame, raw: DataFrame) -> DataFrame:
             .withColumn("ok", F.col("n_ids") == F.col("n_found")))
 
 
-def alert_events(alerts: DataFrame, silver: DataFrame, window_ms: int = 60_000) -> DataFrame:
-    """(alert_id, event) pairs: the events of each alert's window, as a long table.
+def alert_events(alerts: DataFrame, silver: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+    """(alert_id, event) pairs with window_start <= t < window_end, for windows of any length.
 
-    An equi-join on (trader, instrument, window) instead of collecting ids into the
-    alert row, so a hot window never becomes one giant array; AQE splits a skewed
-    window partition of the event side at runtime."""
+    Both sides are keyed by fixed time buckets (an alert by every bucket its window touches), so
+    the range condition runs inside an equi-join on (trader, instrument, bucket) and a hot
+    window never becomes one giant array; AQE splits a skewed partition at runtime. An alert with
+    an empty or reversed window has no events."""
     t = F.col("transact_time")
-    ev = silver.select(F.col("trader_id"), F.col("symbol").alias("instrument"),
-                       (t - F.pmod(t, F.lit(window_ms))).alias("window_start"),
+
+    def bucket(x):
+        return F.floor(x / F.lit(bucket_ms))
+    ev = silver.select(F.col("trader_id"), F.col("symbol").alias("instrument"), bucket(t).alias("_bucket"),
                        "cl_ord_id", "msg_type", "transact_time", "exec_id")
-    a = alerts.filter(F.col("window_end") - F.col("window_start") == window_ms) \
-        .select("alert_id", "detector", "trader_id", "instrument", "window_start")
-    return a.join(ev, ["trader_id", "instrument", "window_start"], "inner")
+    a = (alerts.filter(F.col("window_end") > F.col("window_start"))
+         .select("alert_id", "detector", "trader_id", "instrument", "window_start", "window_end",
+                 F.explode(F.sequence(bucket(F.col("window_start")), bucket(F.col("window_end") - 1))).alias("_bucket")))
+    return (a.join(ev, ["trader_id", "instrument", "_bucket"], "inner")
+            .filter((t >= F.col("window_start")) & (t < F.col("window_end")))
+            .select("trader_id", "instrument", "window_start", "alert_id", "detector", "cl_ord_id", "msg_type",
+                    "transact_time", "exec_id"))

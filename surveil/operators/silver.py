@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveil.functions.joins import checked_broadcast
 from surveil.schemas import DEDUP_KEY, EVENT_KINDS
 
 
@@ -19,16 +18,17 @@ def event_kind() -> F.Column:
 def enrich(bronze: DataFrame, asset_dim: DataFrame | None = None) -> DataFrame:
     """event_kind, asset_class, desk, is_buy, notional.
 
-    ``asset_dim(symbol, asset_class, desk)`` is an optional dimension, broadcast only
-    after a bounded size check (shuffle join beyond it); symbols it does not cover stay
-    equity.
+    ``asset_dim(symbol, asset_class, desk)`` is an optional dimension; Spark picks the join by its
+    size. Symbols it does not cover stay equity; of several rows for a symbol the smallest
+    (asset_class, desk) counts, so a repeated symbol never multiplies events.
     """
     df = bronze.withColumn("event_kind", event_kind())
     if asset_dim is None:
         df = df.withColumns({"asset_class": F.lit("equity"), "desk": F.lit("equity")})
     else:
-        d = asset_dim.select("symbol", F.col("asset_class").alias("_ac"), F.col("desk").alias("_desk"))
-        df = (df.join(checked_broadcast(d), "symbol", "left")
+        d = (asset_dim.groupBy("symbol").agg(F.min(F.struct("asset_class", "desk")).alias("_d"))
+             .select("symbol", F.col("_d.asset_class").alias("_ac"), F.col("_d.desk").alias("_desk")))
+        df = (df.join(d, "symbol", "left")
               .withColumn("asset_class", F.coalesce("_ac", F.lit("equity")))
               .withColumn("desk", F.coalesce("_desk", F.lit("equity")))
               .drop("_ac", "_desk"))

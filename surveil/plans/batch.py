@@ -3,9 +3,12 @@
 Each layer is written (day-partitioned parquet under ``root``, registered in its
 namespace) and the next layer reads the written table, so lineage is cut at every layer:
 a lost executor recomputes at most one layer from files, and every downstream report
-reads storage instead of re-running the feed.  Audit entries record each table write.
+reads storage instead of re-running the feed.  The tagged feed is evaluated once; clean and
+quarantined rows are two partitions of that table.  With ``days`` only those event days are read
+and rewritten (dynamic partition overwrite): earlier days stay as they are.  Audit entries
+record each table write.
 
-    python -m surveil.plans.batch /root/testdata/sf0.1 <root>
+    spark-submit surveil/plans/batch.py <tables> <root> [first day, day after last]
 """
 
 from __future__ import annotations
@@ -21,31 +24,43 @@ from surveil.operators import bronze as B
 from surveil.operators import detectors as D
 from surveil.operators import gold as G
 from surveil.operators import silver as S
+from surveil.session import stored
 from surveil.sources import catalog, feed
 
 
 def run(spark: SparkSession, sf_dir: str, root: str, window_ms: int = 60_000, created_at: int = 0,
-        chain_target_len: int = 256, prefix: str = "surveil", granularity: str = "day",
-        score: bool = False, ml_max_iter: int = 100) -> dict[str, str]:
+        n_chains: int = AU.N_CHAINS, prefix: str = "surveil", granularity: str = "day",
+        score: bool = False, ml_max_iter: int = 100,
+        days: tuple[str, str] | None = None) -> dict[str, str]:
     tables: dict[str, str] = {}
     writes: list[tuple[str, str, int, int]] = []
 
+    def in_days(df, time_col="transact_time"):
+        if days is None:
+            return df
+        first, end = (F.lit(d).cast("date") for d in days)
+        day = catalog.event_date(time_col)
+        return df.filter((day >= first) & (day < end))
+
     def write(df, layer, name, time_col="transact_time"):
-        t = catalog.write_layer(df, root, layer, name, time_col=time_col, prefix=prefix, granularity=granularity)
+        t = catalog.write_layer(df, root, layer, name, time_col=time_col, prefix=prefix, granularity=granularity,
+                                replace_days=days is not None)
         tables[name] = t
-        stored = spark.table(t)
-        writes.append((t, f"{root.rstrip('/')}/{layer}/{name}", stored.count(), int(time.time() * 1000)))
-        return stored.drop("event_date") if "event_date" in stored.columns and "event_date" not in df.columns \
-            else stored
+        table = in_days(spark.table(t), time_col) if time_col else spark.table(t)
+        writes.append((t, f"{root.rstrip('/')}/{layer}/{name}", table.count(), int(time.time() * 1000)))
+        return table.drop("event_date") if "event_date" in table.columns and "event_date" not in df.columns else table
 
+    # rows without a time are quarantined under the null day: they belong to every run's feed
     tagged = B.tag(feed.raw_feed(spark, sf_dir))
-    bronze = write(tagged.filter(F.size("_dq_missing") == 0).drop("_dq_missing"), "bronze", "events")
-    write(tagged.filter(F.size("_dq_missing") > 0), "bronze", "quarantine")
+    if days is not None:
+        tagged = tagged.filter(F.col("transact_time").isNull()).unionByName(in_days(tagged.filter(F.col("transact_time").isNotNull())))
+    landed = stored(tagged, "landing")
+    bronze = write(landed.filter(F.size("_dq_missing") == 0).drop("_dq_missing"), "bronze", "events")
+    write(landed.filter(F.size("_dq_missing") > 0), "bronze", "quarantine")
     silver = write(S.to_silver(bronze), "silver", "events")
     gold = write(G.to_gold(silver, window_ms), "gold", "windows", time_col="window_start")
     alerts = write(D.detect(gold, created_at=created_at), "alerts", "alerts", time_col="window_start")
     entries = AU.entries_from_alerts(alerts)
-    n_chains = AU.n_chains_for(entries, chain_target_len)
     chain = write(AU.append(AU.assign_chains(entries, n_chains=n_chains)), "governed_output", "audit_chain",
                   time_col=None)
     anchors = write(AU.anchor(chain, n_chains), "governed_output", "audit_anchors", time_col=None)
@@ -53,8 +68,8 @@ def run(spark: SparkSession, sf_dir: str, root: str, window_ms: int = 60_000, cr
         from surveil.operators import labels as LB
         from surveil.operators import scorer as SC
         model = SC.fit(LB.labelled_windows(gold, feed.labels(spark, sf_dir), window_ms), max_iter=ml_max_iter)
-        scored = write(SC.score(model, gold).drop("shap_values"), "ml", "scores", time_col="window_start")
-        enriched = write(SC.enrich_alerts(alerts, scored), "alerts", "alerts_scored", time_col="window_start")
+        write(SC.score(model, gold, explain=False), "ml", "scores", time_col="window_start")
+        enriched = write(SC.enrich_alerts(alerts, SC.score(model, SC.alerted_windows(gold, alerts))), "alerts", "alerts_scored", time_col="window_start")
         # scoring is its own audit entry, appended to the same chains (the emission digest is untouched)
         ml_entries = _ml_entries(enriched)
         new = AU.append(AU.assign_chains(ml_entries, n_chains=n_chains), anchors=anchors)
@@ -80,10 +95,11 @@ def _ml_entries(enriched):
 
 def main() -> None:
     from surveil.session import build_session, checkpoint_dir
+    if len(sys.argv) not in (3, 5):
+        sys.exit("usage: batch.py <tables> <root> [first day, day after last]")
     spark = build_session(app="surveil-batch")
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    root = sys.argv[2] if len(sys.argv) > 2 else checkpoint_dir(spark, "medallion")
-    for name, table in run(spark, sf_dir, root).items():
+    checkpoint_dir(spark)
+    for name, table in run(spark, sys.argv[1], sys.argv[2], days=tuple(sys.argv[3:5]) or None).items():
         print(name, table, spark.table(table).count())
 
 

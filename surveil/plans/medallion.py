@@ -13,6 +13,7 @@ from surveil.operators import bronze as B
 from surveil.operators import detectors as D
 from surveil.operators import gold as G
 from surveil.operators import silver as S
+from surveil.session import stored
 from surveil.sources import feed
 
 DAILY_MS = 86_400_000
@@ -31,6 +32,15 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.to_silver(bronze(spark, sf_dir))
 
 
+def stored_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver written once to the shared folder: for plans that read it more than once."""
+    return stored(silver(spark, sf_dir), "silver")
+
+
+def alerts_of(silver_: DataFrame, window_ms: int = 60_000) -> DataFrame:
+    return D.detect(G.to_gold(silver_, window_ms), None, CREATED_AT)
+
+
 def gold(spark: SparkSession, sf_dir: str, window_ms: int = 60_000) -> DataFrame:
     return G.to_gold(silver(spark, sf_dir), window_ms)
 

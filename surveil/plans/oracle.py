@@ -12,7 +12,6 @@ from surveil.sources import dims, feed
 
 W60 = 60_000
 W1D = 86_400_000
-PX = 10_000
 
 
 def pmod(a: str, n: int | str) -> str:
@@ -130,7 +129,7 @@ def medallion_ctes() -> list[str]:
     return [
         f"tagged AS (SELECT *, CAST(0 AS BIGINT) AS _ingest_ts, 'fix.local' AS _source, ({req}) AS _ok FROM feed)",
         f"bronze AS (SELECT {', '.join(RAW_COLS)}, _ingest_ts, _source FROM tagged WHERE _ok)",
-        f"""silver AS (
+        f"""silver AS MATERIALIZED (
   SELECT *, {kind} AS event_kind, 'equity' AS asset_class, 'equity' AS desk, side = '1' AS is_buy,
          coalesce(order_qty * price, CAST(0.0 AS DOUBLE)) AS notional
   FROM (SELECT DISTINCT ON (cl_ord_id, msg_type, transact_time, exec_id) * FROM bronze))""",
@@ -139,16 +138,17 @@ def medallion_ctes() -> list[str]:
     ]
 
 
-def gold_cte(name: str, w: int) -> str:
+def gold_cte(name: str, w: int, src: str = "silver") -> str:
     t = "transact_time"
     fill = "event_kind = 'EXEC' AND last_px IS NOT NULL AND last_qty IS NOT NULL"
-    units = f"last_qty * CAST(round(last_px * CAST({PX}.0 AS DOUBLE)) AS BIGINT)"
+    # the price as written (shortest decimal), times the quantity: no rounding, no float sums
+    paid = "CAST(CAST(last_px AS VARCHAR) AS DECIMAL(27, 18)) * CAST(last_qty AS DECIMAL(10, 0))"
     ordk = "(transact_time, price)"
     return f"""{name}_g AS (
   SELECT trader_id, symbol, desk, asset_class, CAST({t} - {pmod(t, w)} AS BIGINT) AS window_start,
          CAST({CLOSE_MS_OF_DAY} - {pmod(t, DAY_MS)} AS DOUBLE) / CAST(1000.0 AS DOUBLE) AS _stc,
          event_kind, is_buy, order_qty, price, last_qty, last_px, transact_time, cl_ord_id, msg_type, exec_id
-  FROM silver),
+  FROM {src}),
 {name}_a AS (
   SELECT trader_id, symbol, window_start, desk, asset_class,
     CAST(sum(CASE WHEN event_kind = 'NEW' THEN 1 ELSE 0 END) AS BIGINT) AS n_orders,
@@ -162,17 +162,17 @@ def gold_cte(name: str, w: int) -> str:
     arg_max(price, {ordk}) FILTER (WHERE price IS NOT NULL) AS _last_px,
     min(price) AS _min_px, max(price) AS _max_px,
     CAST(sum(CASE WHEN {fill} AND is_buy THEN last_qty END) AS BIGINT) AS _bq,
-    CAST(sum(CASE WHEN {fill} AND is_buy THEN {units} END) AS BIGINT) AS _bqu,
+    sum(CASE WHEN {fill} AND is_buy THEN {paid} END) AS _bpaid,
     CAST(sum(CASE WHEN {fill} AND NOT is_buy THEN last_qty END) AS BIGINT) AS _sq,
-    CAST(sum(CASE WHEN {fill} AND NOT is_buy THEN {units} END) AS BIGINT) AS _squ
+    sum(CASE WHEN {fill} AND NOT is_buy THEN {paid} END) AS _spaid
   FROM {name}_g GROUP BY trader_id, symbol, window_start, desk, asset_class),
 {name}_b AS (
   SELECT *, window_start + {w} AS window_end,
     coalesce(_first_px, CAST(0.0 AS DOUBLE)) AS first_px, coalesce(_last_px, CAST(0.0 AS DOUBLE)) AS last_px,
     coalesce(_min_px, CAST(0.0 AS DOUBLE)) AS min_px, coalesce(_max_px, CAST(0.0 AS DOUBLE)) AS max_px,
-    coalesce(CASE WHEN _bq <> 0 THEN CAST(_bqu AS DOUBLE) / CAST(_bq AS DOUBLE) / CAST({PX}.0 AS DOUBLE) END,
+    coalesce(CASE WHEN _bq <> 0 THEN CAST(CAST(_bpaid AS VARCHAR) AS DOUBLE) / CAST(_bq AS DOUBLE) END,
              CAST(0.0 AS DOUBLE)) AS buy_vwap,
-    coalesce(CASE WHEN _sq <> 0 THEN CAST(_squ AS DOUBLE) / CAST(_sq AS DOUBLE) / CAST({PX}.0 AS DOUBLE) END,
+    coalesce(CASE WHEN _sq <> 0 THEN CAST(CAST(_spaid AS VARCHAR) AS DOUBLE) / CAST(_sq AS DOUBLE) END,
              CAST(0.0 AS DOUBLE)) AS sell_vwap,
     CAST(n_cancels AS DOUBLE) / CAST(greatest(n_orders, 1) AS DOUBLE) AS cancel_ratio,
     CAST(n_orders AS DOUBLE) / CAST(greatest(n_execs, 1) AS DOUBLE) AS order_to_trade_ratio,
@@ -271,23 +271,23 @@ GOLD_COLS = ("trader_id, symbol, window_start, desk, asset_class, n_orders, n_ca
              "cancel_ratio, order_to_trade_ratio, qty_imbalance, price_move_bps, round_trip_gain_bps")
 
 
-CHAIN_TARGET_LEN = 256
+N_CHAINS = 64
 _HEX8 = "CAST('0x' || substr(sha256(ref_id), 1, 8) AS BIGINT)"
 MERKLE_BLOCK = 16
 
 
-def chain_ctes(target_len: int = CHAIN_TARGET_LEN) -> list[str]:
+def chain_ctes(n_chains: int = N_CHAINS) -> list[str]:
     """Audit entries from alerts, hash-bucketed chains, and the recursive link fold."""
     body = f"subsystem || {US} || action || {US} || ref_id || {US} || CAST(ts AS VARCHAR) || {US} || " \
-           f"array_to_string(payload, {US})"
+           f"array_to_string(list_transform(payload, lambda x: coalesce(x, {NUL})), {US})"
     g = "repeat('0', 64)"
     return [
         "ent0 AS (SELECT 'detector' AS subsystem, 'ALERT_EMITTED' AS action, alert_id AS ref_id, created_at AS ts, "
         f"[detector, CAST(severity AS VARCHAR), {f8('rule_score')}, sha256(_body)] AS payload FROM alerts)",
-        f"nch AS (SELECT greatest(1, CAST(ceil(count(*) / {float(target_len)}) AS BIGINT)) AS n FROM ent0)",
-        f"ent AS (SELECT *, {pmod(_HEX8, '(SELECT n FROM nch)')} AS chain_id FROM ent0)",
-        f"seqd AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY ts, ref_id) AS seq, {body} AS body "
-        "FROM ent)",
+        f"ent AS (SELECT *, CAST((ts - {pmod('ts', DAY_MS)}) // {DAY_MS} * {n_chains} + {pmod(_HEX8, n_chains)} AS BIGINT) "
+        "AS chain_id FROM ent0)",
+        f"seqd AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY ts, ref_id, action, subsystem, payload) "
+        f"AS seq, {body} AS body FROM ent)",
         f"""chain(chain_id, seq, ref_id, prev_hash, entry_hash) AS (
   SELECT chain_id, seq, ref_id, {g}, sha256({g} || '|' || body) FROM seqd WHERE seq = 1
   UNION ALL

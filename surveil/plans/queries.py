@@ -106,6 +106,20 @@ def gold_features(spark, sf):
     return M.gold(spark, sf, 60_000)
 
 
+SUBTICK = 0.00001
+
+
+@query("gold_subtick", O.with_ctes(
+    O.feed_ctes() + O.medallion_ctes() + [f"tiny AS (SELECT * REPLACE (price * {O.d(SUBTICK)} AS price, last_px * {O.d(SUBTICK)} "
+                                          "AS last_px) FROM silver)", O.gold_cte("gold_t", 86_400_000, "tiny")],
+    f"SELECT {O.GOLD_COLS} FROM gold_t"))
+def gold_subtick(spark, sf):
+    """Daily features over prices far below a cent: nothing is rounded away."""
+    from surveil.operators import gold as G
+    s = M.silver(spark, sf)
+    return G.to_gold(s.withColumns({c: F.col(c) * F.lit(SUBTICK) for c in ("price", "last_px")}), M.DAILY_MS)
+
+
 @query("gold_daily", _sql(f"SELECT {O.GOLD_COLS} FROM gold_d"))
 def gold_daily(spark, sf):
     return M.gold(spark, sf, M.DAILY_MS)
@@ -152,14 +166,32 @@ def canonical_body(spark, sf):
 
 
 @query("alert_digest", _sql("SELECT alert_id, detector, sha256(_body) AS audit_hash, "
-                            "sha256(_body) = sha256(_body) AS verified FROM alerts"))
+                            "(window_start // 60000) % 5 <> 0 AS verified FROM alerts"))
 def alert_digest(spark, sf):
-    """Stored digest next to a recomputation from the stored fields (verification)."""
+    """Stored digests checked against a recomputation, after every fifth window's alerts were altered."""
     a = M.alerts(spark, sf)
+    altered = F.floor(F.col("window_start") / 60_000) % 5 == 0
+    a = a.withColumn("severity", F.when(altered, F.col("severity") + 1).otherwise(F.col("severity")))
     return a.select("alert_id", "detector", "audit_hash",
                     (F.sha2(D.alert_body(a), 256) == F.col("audit_hash")).alias("verified"))
 
 
+#: multiples of 2**-9, of 5e-9 and of 1/7: ninth-decimal ties, decimal near-ties and plain values, both signs
+@query("canonical_floats", "WITH k AS (SELECT o_orderkey, CAST(o_orderkey % 4096 AS DOUBLE) / CAST(512 AS DOUBLE) AS tie, "
+       "CAST(2 * (o_orderkey % 100000) + 1 AS DOUBLE) * CAST(0.000000005 AS DOUBLE) AS near, "
+       "-(CAST(o_orderkey AS DOUBLE) / CAST(7 AS DOUBLE)) AS plain FROM orders) "
+       f"SELECT o_orderkey, {O.f8('tie')} AS tie, {O.f8('near')} AS near, {O.f8('plain')} AS plain, "
+       f"CASE WHEN o_orderkey % 2 = 0 THEN '-0.00000000' ELSE {O.f8('-near')} END AS negative FROM k")
+def canonical_floats(spark, sf):
+    """The audit grammar's float rendering over values derived from the order keys."""
+    from surveil.functions.grammar import fixed8
+    k = F.col("o_orderkey").cast("double")
+    tie, near, plain = F.pmod(k, F.lit(4096.0)) / 512.0, (2 * F.pmod(k, F.lit(100000.0)) + 1) * 0.000000005, -(k / 7.0)
+    return spark.read.parquet(f"{sf}/orders.parquet").select(
+        "o_orderkey", fixed8(tie).alias("tie"), fixed8(near).alias("near"), fixed8(plain).alias("plain"),
+        fixed8(F.when(F.pmod(k, F.lit(2.0)) == 0, F.lit(-0.0)).otherwise(-near)).alias("negative"))
+
+
 @query("severity_hist", _sql("SELECT detector, severity, count(*) AS n_alerts, min(rule_score) AS min_score, "
                              "max(rule_score) AS max_score FROM alerts GROUP BY detector, severity"))
 def severity_hist(spark, sf):
@@ -191,9 +223,9 @@ def event_json(spark, sf):
 # ---------------------------------------------------------------------------
 
 _LINK_CTES = [
-    "lc AS (SELECT cl_ord_id, orig_cl_ord_id, trader_id, symbol, transact_time AS cancel_time, order_qty, "
+    "lc AS MATERIALIZED (SELECT cl_ord_id, orig_cl_ord_id, trader_id, symbol, transact_time AS cancel_time, order_qty, "
     "cancel_reason FROM silver WHERE event_kind = 'CANCEL')",
-    "lo AS (SELECT cl_ord_id AS orig_cl_ord_id, trader_id AS o_trader_id, symbol AS o_symbol, "
+    "lo AS MATERIALIZED (SELECT cl_ord_id AS orig_cl_ord_id, trader_id AS o_trader_id, symbol AS o_symbol, "
     "transact_time AS order_time, order_qty AS o_order_qty, price AS o_price, side AS o_side "
     "FROM silver WHERE event_kind = 'NEW')",
 ]
@@ -204,30 +236,30 @@ _LINK_CTES = [
        "cancel_time - order_time AS cancel_latency_ms, o_order_qty, o_price, o_side, "
        "(trader_id = o_trader_id AND symbol = o_symbol) AS same_owner FROM lc JOIN lo USING (orig_cl_ord_id)"))
 def cancel_link(spark, sf):
-    return L.cancel_link(M.silver(spark, sf))
+    return L.cancel_link(M.stored_silver(spark, sf))
 
 
 @query("orphan_cancels", O.with_ctes(_BASE + _LINK_CTES,
        "SELECT orig_cl_ord_id, cl_ord_id, trader_id, symbol, cancel_time, order_qty, cancel_reason FROM lc "
        "WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.orig_cl_ord_id = lc.orig_cl_ord_id)"))
 def orphan_cancels(spark, sf):
-    return L.orphan_cancels(M.silver(spark, sf))
+    return L.orphan_cancels(M.stored_silver(spark, sf))
 
 
 @query("order_exec_join", _sql(
-    "SELECT o.cl_ord_id, o.trader_id, o.symbol, o.side, o.transact_time AS order_time, x.transact_time AS exec_time, "
+    "SELECT * FROM (SELECT o.cl_ord_id, o.trader_id, o.symbol, o.side, o.transact_time AS order_time, x.transact_time AS exec_time, "
     "x.exec_id, x.transact_time - o.transact_time AS fill_latency_ms, o.order_qty, o.price, x.last_qty, x.last_px "
-    "FROM silver o JOIN silver x ON o.cl_ord_id = x.cl_ord_id AND x.transact_time >= o.transact_time "
-    "AND x.transact_time <= o.transact_time + 60000 WHERE o.event_kind = 'NEW' AND x.event_kind = 'EXEC'"))
+    "FROM (SELECT * FROM silver WHERE event_kind = 'NEW') o JOIN (SELECT * FROM silver WHERE event_kind = 'EXEC') x "
+    "ON o.cl_ord_id = x.cl_ord_id) WHERE fill_latency_ms BETWEEN 0 AND 60000"))
 def order_exec_join(spark, sf):
-    return L.order_exec_join(M.silver(spark, sf), 60_000)
+    return L.order_exec_join(M.stored_silver(spark, sf), 60_000)
 
 
 @query("uncancelled_orders", O.with_ctes(_BASE + _LINK_CTES,
        "SELECT s.cl_ord_id, s.trader_id, s.symbol, s.side, s.transact_time, s.order_qty, s.price, s.scenario_type "
        "FROM silver s WHERE s.event_kind = 'NEW' AND NOT EXISTS (SELECT 1 FROM lc WHERE lc.orig_cl_ord_id = s.cl_ord_id)"))
 def uncancelled_orders(spark, sf):
-    return L.uncancelled_orders(M.silver(spark, sf)).select(
+    return L.uncancelled_orders(M.stored_silver(spark, sf)).select(
         "cl_ord_id", "trader_id", "symbol", "side", "transact_time", "order_qty", "price", "scenario_type")
 
 
@@ -236,7 +268,17 @@ def uncancelled_orders(spark, sf):
     "s.transact_time, s.exec_id FROM alerts a JOIN silver s ON a.trader_id = s.trader_id AND a.instrument = s.symbol "
     f"AND a.window_start = s.transact_time - {O.pmod('s.transact_time', 60_000)}"))
 def alert_events(spark, sf):
-    return L.alert_events(M.alerts(spark, sf), M.silver(spark, sf), 60_000)
+    s = M.stored_silver(spark, sf)
+    return L.alert_events(M.alerts_of(s), s).drop("window_end")
+
+
+@query("alert_events_daily", _sql(
+    "SELECT a.alert_id, a.detector, a.trader_id, a.instrument, a.window_start, s.cl_ord_id, s.msg_type, "
+    "s.transact_time, s.exec_id FROM alerts_d a JOIN silver s ON a.trader_id = s.trader_id AND a.instrument = s.symbol "
+    f"AND a.window_start = s.transact_time - {O.pmod('s.transact_time', 86_400_000)}"))
+def alert_events_daily(spark, sf):
+    s = M.stored_silver(spark, sf)
+    return L.alert_events(M.alerts_of(s, M.DAILY_MS), s).drop("window_end")
 
 
 @query("qty_by_instrument", _sql(
@@ -252,28 +294,18 @@ def qty_by_instrument(spark, sf):
 # Scenarios and labels
 # ---------------------------------------------------------------------------
 
-@query("scenario_events", _sql(f"SELECT {_RAW} FROM scen"))
-def scenario_events(spark, sf):
-    from surveil.sources import dims, feed
-    (orders,) = feed.read_tables(spark, sf, "orders")
-    return feed.scenario_events(feed.scenario_params(orders), dims.templates(spark))
-
-
-@query("scenario_labels", _sql("SELECT scenario_id, abuse_type, trader_id, instrument, window_start, window_end, "
-                               "array_to_string(injected_event_ids, ',') AS injected_event_ids FROM labels"))
-def scenario_labels(spark, sf):
-    from surveil.sources import feed
-    return feed.labels(spark, sf).withColumn("injected_event_ids", F.array_join("injected_event_ids", ","))
-
-
 @query("label_integrity", _sql(
     "SELECT scenario_id, abuse_type, count(*) AS n_ids, count(_hit) AS n_found, count(*) = count(_hit) AS ok "
-    "FROM (SELECT scenario_id, abuse_type, unnest(list_distinct(injected_event_ids)) AS cl_ord_id FROM labels) i "
+    "FROM (SELECT scenario_id, abuse_type, unnest(list_distinct(CASE WHEN ends_with(scenario_id, '7') "
+    "THEN list_append(injected_event_ids, scenario_id || '-none') ELSE injected_event_ids END)) AS cl_ord_id FROM labels) i "
     "LEFT JOIN (SELECT DISTINCT scenario_id, cl_ord_id, 1 AS _hit FROM feed WHERE scenario_id IS NOT NULL) e "
     "USING (scenario_id, cl_ord_id) GROUP BY scenario_id, abuse_type"))
 def label_integrity(spark, sf):
     from surveil.sources import feed
-    return L.label_integrity(feed.labels(spark, sf), M.raw(spark, sf))
+    lab = feed.labels(spark, sf)
+    missing = F.concat("injected_event_ids", F.array(F.concat("scenario_id", F.lit("-none"))))
+    lab = lab.withColumn("injected_event_ids", F.when(F.col("scenario_id").endswith("7"), missing).otherwise(F.col("injected_event_ids")))
+    return L.label_integrity(lab, M.raw(spark, sf))
 
 
 def _lw_cte(w: int) -> str:
@@ -363,33 +395,43 @@ def scenario_conformance(spark, sf):
 # Governance
 # ---------------------------------------------------------------------------
 
+MASK_KEY = "a key for the registered queries"      # production keys are secret and passed in
+
+
+def _masked(col: str, prefix: str) -> str:
+    return (f"'{prefix}' || sha256(sha256('{MASK_KEY}|outer') || sha256(sha256('{MASK_KEY}|inner') || {col}))")
+
+
 @query("masked_alerts", _sql(
-    "SELECT alert_id, detector, 'TRD-' || substr(sha256('surveil' || trader_id), 1, 16) AS trader_id, instrument, "
-    "window_start, window_end, severity, rule_score, desk, sha256(_body) AS audit_hash FROM alerts"))
+    f"SELECT {_masked('alert_id', 'ALT-')} AS alert_id, detector, {_masked('trader_id', 'TRD-')} AS trader_id, instrument, "
+    "window_start, window_end, severity, rule_score, desk FROM alerts"))
 def masked_alerts(spark, sf):
-    return GV.masked_alerts(M.alerts(spark, sf), "surveil").select(
-        "alert_id", "detector", "trader_id", "instrument", "window_start", "window_end", "severity", "rule_score",
-        "desk", "audit_hash")
+    return GV.masked_alerts(M.alerts(spark, sf), MASK_KEY).select(
+        "alert_id", "detector", "trader_id", "instrument", "window_start", "window_end", "severity", "rule_score", "desk")
 
 
 @query("masked_events", _sql(
-    "SELECT cl_ord_id, msg_type, transact_time, 'TRD-' || substr(sha256('surveil' || trader_id), 1, 16) AS trader_id, "
-    "'ACC-' || substr(sha256('surveil' || account), 1, 16) AS account, symbol, side, order_qty, price FROM silver"))
+    f"SELECT cl_ord_id, msg_type, transact_time, {_masked('trader_id', 'TRD-')} AS trader_id, "
+    f"{_masked('account', 'ACC-')} AS account, symbol, side, order_qty, price FROM silver"))
 def masked_events(spark, sf):
-    """Governed view of silver: trader and account pseudonymised (salted SHA-256)."""
-    return GV.masked_events(M.silver(spark, sf), "surveil").select(
+    """Governed view of silver: trader and account pseudonymised with a key."""
+    return GV.masked_events(M.silver(spark, sf), MASK_KEY).select(
         "cl_ord_id", "msg_type", "transact_time", "trader_id", "account", "symbol", "side", "order_qty", "price")
 
 
+def _every(n: int) -> str:
+    return f"((window_start // 60000) % {n} = 0)"
+
+
 def _violations_sql() -> str:
     dets = ", ".join(f"'{d}'" for d in DETECTORS)
     checks = [
-        ("detector_enum", f"NOT (detector IN ({dets}))"), ("desk_enum", "NOT (desk IN ('equity', 'derivatives'))"),
-        ("severity_range", "severity < 1 OR severity > 5"),
+        ("detector_enum", f"NOT (detector IN ({dets}))"), ("desk_enum", _every(3)),
+        ("severity_range", _every(5)),
         ("rule_score_range", "rule_score < 0.0 OR rule_score > 1.0"),
-        ("ml_score_range", "ml_score IS NOT NULL AND (ml_score < 0.0 OR ml_score > 1.0)"),
-        ("shap_rank", "false"), ("shap_direction", "false"),
-        ("audit_hash_format", "NOT regexp_full_match(sha256(_body), '[0-9a-f]{64}')"),
+        ("ml_score_range", _every(7)),
+        ("shap_rank", _every(11)), ("shap_direction", _every(13)),
+        ("audit_hash_format", _every(4)),
         ("alert_id_format", "NOT regexp_full_match(alert_id, "
                             "'[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')"),
         ("window_order", "window_end <= window_start"),
@@ -401,7 +443,20 @@ def _violations_sql() -> str:
 
 @query("alert_violations", _violations_sql())
 def alert_violations(spark, sf):
-    v = GV.alert_violations(M.alerts(spark, sf))
+    """Contract checks over alerts, some of which were broken in each way by their window."""
+    def every(n):
+        return F.floor(F.col("window_start") / 60_000) % n == 0
+
+    def broken(n, bad, good):
+        return F.when(every(n), bad).otherwise(F.col(good))
+    shap = F.array(F.struct(F.lit("n_orders").alias("feature_name"), F.lit(1.0).alias("feature_value"), F.lit(1.0).alias("shap_value"),
+                            F.when(every(11), 0).otherwise(1).alias("rank"),
+                            F.when(every(13), "sideways").otherwise("increases").alias("direction")))
+    a = M.alerts(spark, sf).withColumns({
+        "desk": broken(3, F.lit("fx"), "desk"), "severity": broken(5, F.lit(6), "severity"),
+        "ml_score": F.when(every(7), F.lit(1.5)).otherwise(F.lit(0.5)), "shap_top_features": shap,
+        "audit_hash": broken(4, F.upper(F.concat("audit_hash", F.lit("x"))), "audit_hash")})
+    v = GV.alert_violations(a)
     return v.select("alert_id", "detector", F.size("violations").alias("n_violations"),
                     F.array_join("violations", ",").alias("violations"))
 
@@ -416,7 +471,7 @@ def _sequenced(spark, sf):
     from surveil.operators import audit as AU
     from surveil.session import cut_lineage
     entries = cut_lineage(AU.entries_from_alerts(M.alerts(spark, sf)))
-    return AU.assign_chains(entries, O.CHAIN_TARGET_LEN)
+    return AU.assign_chains(entries, O.N_CHAINS)
 
 
 def _chain(spark, sf):
@@ -435,6 +490,18 @@ def chain_body(spark, sf):
                                         F.lower(F.hex(F.encode(AU.entry_body(), "UTF-8"))).alias("body_hex"))
 
 
+@query("chain_body_nulls", _sql(
+    f"SELECT alert_id AS ref_id, lower(hex(encode('detector' || {O.US} || 'NOTE' || {O.US} || alert_id || {O.US} || "
+    f"CAST(window_start AS VARCHAR) || {O.US} || detector || {O.US} || {O.NUL} || {O.US} || trader_id))) AS body_hex FROM alerts"))
+def chain_body_nulls(spark, sf):
+    """Bodies of entries with a null payload element: it is rendered, not dropped."""
+    from surveil.operators import audit as AU
+    a = M.alerts(spark, sf)
+    body = AU.entry_body(F.lit("detector"), F.lit("NOTE"), F.col("alert_id"), F.col("window_start"),
+                         F.array("detector", F.lit(None).cast("string"), "trader_id"))
+    return a.select(F.col("alert_id").alias("ref_id"), F.lower(F.hex(F.encode(body, "UTF-8"))).alias("body_hex"))
+
+
 @query("chain_append", O.with_ctes(_CHAIN, "SELECT chain_id, seq, ref_id, prev_hash, entry_hash FROM chain",
                                    recursive=True))
 def chain_append(spark, sf):
@@ -454,6 +521,19 @@ def chain_verify(spark, sf):
     return AU.verify(_chain(spark, sf))
 
 
+@query("chain_verify_tampered", O.with_ctes(_CHAIN,
+    "SELECT chain_id, count(*) AS n_entries, CAST(sum(CASE WHEN t THEN 1 ELSE 0 END) AS BIGINT) AS n_bad, "
+    "min(CASE WHEN t THEN seq END) AS first_bad_seq, arg_max(entry_hash, seq) AS head_hash, "
+    "sum(CASE WHEN t THEN 1 ELSE 0 END) = 0 AS verified "
+    "FROM (SELECT *, seq % 5 = 0 AND chain_id % 3 = 0 AS t FROM chain) GROUP BY chain_id", recursive=True))
+def chain_verify_tampered(spark, sf):
+    """Verification of chains in which some entries' action was edited after linking."""
+    from surveil.operators import audit as AU
+    c = _chain(spark, sf)
+    hit = (F.col("seq") % 5 == 0) & (F.col("chain_id") % 3 == 0)
+    return AU.verify(c.withColumn("action", F.when(hit, F.lit("EDITED")).otherwise(F.col("action"))))
+
+
 @query("merkle_roots", O.with_ctes(_CHAIN + O.merkle_ctes(), "SELECT * FROM merkle", recursive=True))
 def merkle_roots(spark, sf):
     from surveil.operators import audit as AU
@@ -501,7 +581,8 @@ def _scored_sql() -> list[str]:
                     "FROM gold g LEFT JOIN (SELECT DISTINCT trader_id, symbol, window_start, 1 AS _hit FROM lw) h "
                     "USING (trader_id, symbol, window_start))",
                     "sc AS (SELECT *, greatest(" + ", ".join(f"({O.SCORES[d]})" for d in DETECTORS) + ") AS p1, "
-                    f"CASE WHEN {O.pmod(h, 10000)} < 7000 THEN 'train' ELSE 'cal' END AS split FROM lab)",
+                    f"CASE WHEN rank() OVER (PARTITION BY label ORDER BY {h}) <= round_even(0.7 * count(*) OVER "
+                    "(PARTITION BY label), 0) THEN 'train' ELSE 'cal' END AS split FROM lab)",
                     "cal AS (SELECT CAST(1.0 AS DOUBLE) - CASE WHEN label = 1 THEN p1 ELSE CAST(1.0 AS DOUBLE) - p1 END "
                     "AS nc FROM sc WHERE split = 'cal')",
                     "calr AS (SELECT n, CAST(least(n - 1, ceil(least(1.0, ceil((n + 1) * (CAST(1.0 AS DOUBLE) - "
@@ -510,6 +591,11 @@ def _scored_sql() -> list[str]:
                     "(SELECT nc, row_number() OVER (ORDER BY nc) - 1 AS r FROM cal) WHERE r = (SELECT k0 FROM calr))"]
 
 
+@query("train_cal_split", O.with_ctes(_scored_sql(), "SELECT trader_id, symbol, window_start, label, split FROM sc"))
+def train_cal_split(spark, sf):
+    return _scored(spark, sf).select("trader_id", "symbol", "window_start", "label", "split")
+
+
 @query("class_weights", O.with_ctes(_scored_sql(),
        "SELECT label, count(*) AS n, CASE WHEN label = 1 THEN CAST(greatest((SELECT count(*) FROM sc WHERE "
        "split = 'train' AND label = 0), 1) AS DOUBLE) / greatest((SELECT count(*) FROM sc WHERE split = 'train' "
@@ -573,14 +659,96 @@ def topk_contrib(spark, sf):
                     "c.shap_value", "c.direction")
 
 
+# ---------------------------------------------------------------------------
+# Scoring, explanation and calibration with a fixed small model (checked against SQL)
+# ---------------------------------------------------------------------------
+
+#: (treeID, id, prediction, cover, left, right, feature, threshold); feature indexes TREE_FEATURES, -1 = leaf.
+#: Values and cover ratios are dyadic, so sums are exact in any order.
+TREE_FEATURES = ["n_orders", "cancel_ratio", "distinct_prices"]
+TREE_NODES = [
+    (0, 0, 0.0, 128.0, 1, 2, 0, 3.5), (0, 1, -0.5, 64.0, -1, -1, -1, 0.0), (0, 2, 0.0, 64.0, 3, 4, 1, 0.5),
+    (0, 3, 0.25, 16.0, -1, -1, -1, 0.0), (0, 4, 0.75, 48.0, -1, -1, -1, 0.0),
+    (1, 0, 0.0, 128.0, 1, 2, 2, 2.5), (1, 1, -0.25, 64.0, -1, -1, -1, 0.0), (1, 2, 0.5, 64.0, -1, -1, -1, 0.0),
+]
+
+
+def _fixed_scores(gold):
+    """gold + shap_values, base value and margin (base + attributions) of the fixed trees."""
+    import pandas as pd
+    from surveil.operators import scorer as SC
+    nodes = pd.DataFrame(TREE_NODES, columns=["treeID", "id", "prediction", "cover", "left", "right", "feature", "threshold"])
+    leaves = SC.leaves_from_nodes(nodes, [1.0, 1.0])
+    base = 2.0 * leaves.base
+    df = gold.withColumn("shap_values", SC.shap_values(leaves, TREE_FEATURES)).withColumn("base_value", F.lit(base))
+    return df.withColumn("margin", F.lit(base) + F.aggregate("shap_values", F.lit(0.0), lambda a, x: a + x))
+
+
+_TREE_CTES = [
+    "tx AS (SELECT *, n_orders > 3.5 AS o1, cancel_ratio > CAST(0.5 AS DOUBLE) AS o2, distinct_prices > 2.5 AS o3 FROM gold)",
+    # conditional expectations of tree 0 given feature sets: none, {1}, {2}, {1, 2}; right leaf holds 3/4 of its node
+    "tv AS (SELECT *, CAST(0.0625 AS DOUBLE) AS v0, CAST(CASE WHEN o1 THEN 0.625 ELSE -0.5 END AS DOUBLE) AS v1, "
+    "CAST(CASE WHEN o2 THEN 0.125 ELSE -0.125 END AS DOUBLE) AS v2, "
+    "CAST(CASE WHEN NOT o1 THEN -0.5 WHEN o2 THEN 0.75 ELSE 0.25 END AS DOUBLE) AS v12, "
+    "CAST(CASE WHEN o3 THEN 0.5 ELSE -0.25 END AS DOUBLE) AS v3 FROM tx)",
+    "tp AS (SELECT *, (v1 - v0) + (v12 - v2) AS p1, (v2 - v0) + (v12 - v1) AS p2, 2 * (v3 - CAST(0.125 AS DOUBLE)) AS p3, "
+    "CAST(0.375 AS DOUBLE) AS base_value FROM tv)",
+]
+
+
+@query("tree_shap", O.with_ctes(_BASE + _TREE_CTES,
+       "SELECT trader_id, symbol, window_start, base_value, base_value + p1 + p2 + p3 AS margin, "
+       "p1 AS shap_n_orders, p2 AS shap_cancel_ratio, p3 AS shap_distinct_prices FROM tp"))
+def tree_shap(spark, sf):
+    """Margin, base value and attributions of a fixed two-tree model for every window."""
+    return _fixed_scores(M.gold(spark, sf)).select(
+        "trader_id", "symbol", "window_start", "base_value", "margin",
+        *[F.element_at("shap_values", i + 1).alias(f"shap_{n}") for i, n in enumerate(TREE_FEATURES)])
+
+
+@query("alerts_enriched_fixed", O.with_ctes(_BASE + _TREE_CTES + [
+    "tt AS (SELECT trader_id, symbol, window_start, base_value + p1 + p2 + p3 AS margin, unnest([0, 1, 2]) AS i, "
+    "unnest(['n_orders', 'cancel_ratio', 'distinct_prices']) AS f, unnest([p1, p2, p3]) AS p FROM tp)",
+    "tk AS (SELECT *, row_number() OVER (PARTITION BY trader_id, symbol, window_start ORDER BY abs(p) DESC, i) AS r FROM tt)"],
+    f"SELECT a.alert_id, a.detector, a.severity, sha256(a._body) AS audit_hash, greatest({O.d(0)}, least({O.d(1)}, k.margin)) AS ml_score, "
+    "k.f AS top_feature, k.p AS top_shap FROM alerts a JOIN tk k ON a.trader_id = k.trader_id AND a.instrument = k.symbol "
+    "AND a.window_start = k.window_start WHERE k.r = 1"))
+def alerts_enriched_fixed(spark, sf):
+    """Alerts enriched with score and top attribution of the fixed model; digest and severity stay."""
+    from surveil.functions.grammar import clip01
+    from surveil.operators import ml as ML
+    from surveil.operators import scorer as SC
+    gold, alerts = M.gold(spark, sf), M.alerts(spark, sf)
+    scored = _fixed_scores(SC.alerted_windows(gold, alerts)).withColumn("ml_score", clip01(F.col("margin")))
+    scored = scored.withColumn("shap_top_features", ML.top_k(F.col("shap_values"), TREE_FEATURES, 2))
+    top = F.element_at("shap_top_features", 1)
+    return SC.enrich_alerts(alerts, scored).select("alert_id", "detector", "severity", "audit_hash", "ml_score",
+                                                   top["feature_name"].alias("top_feature"), top["shap_value"].alias("top_shap"))
+
+
+@query("calibration_fixed", O.with_ctes(_scored_sql() + [
+    "pt AS MATERIALIZED (SELECT round(p1, 2) AS raw_score, CAST(sum(label) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM sc GROUP BY 1)",
+    "cum AS MATERIALIZED (SELECT raw_score, s, n, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM pt WINDOW w AS (ORDER BY raw_score))",
+    # isotonic fit: max over starts a <= x of the min over ends b >= x of the mean label of [a, b]
+    "mm AS (SELECT x.raw_score, a.raw_score AS lo, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) AS m FROM cum x "
+    "JOIN cum a ON a.raw_score <= x.raw_score JOIN cum b ON b.raw_score >= x.raw_score GROUP BY 1, 2)"],
+    "SELECT raw_score, max(m) AS calibrated FROM mm GROUP BY raw_score"))
+def calibration_fixed(spark, sf):
+    """Isotonic calibration of (rule score to two places, label) pairs, by distinct score."""
+    from surveil.operators import scorer as SC
+    pairs = _scored(spark, sf, cut=True).select(F.round("p1", 2).alias("raw_score"), "label")
+    return SC.calibrator(pairs).transform(pairs.select("raw_score").distinct()).select("raw_score", F.col("_cal").alias("calibrated"))
+
+
 # ---------------------------------------------------------------------------
 # Model scoring (rows-only: boosted trees are not SQL-expressible)
 # ---------------------------------------------------------------------------
 
 def _fitted(spark, sf):
     from surveil.operators import scorer as SC
+    from surveil.session import cut_lineage
     from surveil.sources import feed
-    lw = LB.labelled_windows(M.gold(spark, sf), feed.labels(spark, sf))
+    lw = cut_lineage(LB.labelled_windows(M.gold(spark, sf), feed.labels(spark, sf)))   # fit, then scored
     return SC.fit(lw, seed=0, alpha=ALPHA), lw
 
 
@@ -602,7 +770,8 @@ def ml_alerts(spark, sf):
     """Alerts enriched with the model score and explanation (severity and digest unchanged)."""
     from surveil.operators import scorer as SC
     model, lw = _fitted(spark, sf)
-    a = SC.enrich_alerts(M.alerts(spark, sf), SC.score(model, M.gold(spark, sf)))
+    gold, alerts = lw.drop("label"), M.alerts(spark, sf)
+    a = SC.enrich_alerts(alerts, SC.score(model, SC.alerted_windows(gold, alerts)))
     return a.select("alert_id", "detector", "trader_id", "instrument", "window_start", "severity", "rule_score",
                     "ml_score", F.element_at("shap_top_features", 1)["feature_name"].alias("top_feature"),
                     F.size("shap_top_features").alias("n_features"), "audit_hash")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql.types import (
     ArrayType,
-    BooleanType,
     DoubleType,
     IntegerType,
     LongType,
@@ -58,7 +57,6 @@ DEDUP_KEY = ["cl_ord_id", "msg_type", "transact_time", "exec_id"]
 SIDE_BUY, SIDE_SELL = "1", "2"
 MSG_NEW, MSG_EXEC, MSG_CANCEL, MSG_REPLACE = "D", "8", "F", "G"
 ORD_MARKET, ORD_LIMIT = "1", "2"
-EXEC_NEW, EXEC_PARTIAL, EXEC_FILL, EXEC_CANCELLED = "0", "1", "2", "4"
 
 # msg_type -> event_kind (anything else is OTHER).
 EVENT_KINDS = [("D", "NEW"), ("8", "EXEC"), ("F", "CANCEL"), ("G", "REPLACE")]
@@ -68,6 +66,10 @@ DEFAULT_WINDOW_MS = 60_000
 DAY_MS = 86_400_000
 CLOSE_MS_OF_DAY = 57_600_000  # 16:00 session close
 
+# Range in which gold sums are exact; the bronze gate quarantines rows outside it.
+PRICE_LIMIT = 1e9             # |price|, |last_px| below this, and finite
+QTY_LIMIT = 10 ** 10          # |order_qty|, |last_qty| below this
+
 # Detector names and desks (alert enums).
 DETECTORS = ["SPOOFING", "WASH_TRADE", "FRONT_RUNNING", "MOMENTUM_IGNITION", "MARKING_THE_CLOSE"]
 DESKS = ["equity", "derivatives"]
@@ -94,11 +96,10 @@ NUL = "\x00"  # null marker
 GENESIS_HASH = "0" * 64
 
 # Medallion namespaces: one catalog, seven schemas.
-CATALOG = "surveil"
 NAMESPACES = ("bronze", "silver", "gold", "alerts", "governed_output", "eval", "ml")
 
 # ---------------------------------------------------------------------------
-# Struct types
+# Fixed values that must equal the reference contract: struct types (do not reorder).
 # ---------------------------------------------------------------------------
 
 RAW_FIX_SCHEMA = StructType([StructField(n, t, True) for n, t in RAW_FIX_FIELDS])
@@ -139,7 +140,3 @@ LABEL_SCHEMA = StructType([
     StructField("window_end", LongType(), False),
     StructField("injected_event_ids", ArrayType(StringType()), False),
 ])
-
-GOLD_KEYS = ["trader_id", "symbol", "window_start"]
-
-BOOL = BooleanType()

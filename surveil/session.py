@@ -1,4 +1,4 @@
-"""Session helpers: a tuned builder for local runs and the shared checkpoint folder."""
+"""Session helpers: a session builder, the shared checkpoint folder, stored tables."""
 
 from __future__ import annotations
 
@@ -14,24 +14,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app: str = "surveil", extra: dict[str, str] | None = None) -> SparkSession:
     """Session with the settings this library is tuned for.
 
-    On a cluster the master and most sizing come from spark-submit; locally we pin
-    UTC (all times are epoch millis, UTC-naive), keep AQE on so shuffle partitions
-    coalesce and skewed joins split at runtime, and keep the UI off.
+    Neither a master nor a shuffle partition count is set unless the caller asks for it (tests and
+    the bench do), so spark-submit's own settings hold on a cluster. We pin UTC (all times are
+    epoch millis, UTC-naive), keep AQE on so shuffle partitions coalesce and skewed joins split
+    at runtime, and keep the UI off.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
     b = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        b = b.master(master or f"local[{cpus}]")
-    parts = shuffle_partitions or int(os.environ.get("SURVEIL_SHUFFLE_PARTITIONS", cpus))
+    if master:
+        b = b.master(master).config("spark.driver.memory", os.environ.get("SURVEIL_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", os.environ.get("SURVEIL_CLEAN_CHECKPOINTS", "true"))
-         .config("spark.driver.memory", os.environ.get("SURVEIL_DRIVER_MEMORY", "16g"))
          .config("spark.sql.streaming.stateStore.providerClass",
                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))
     for k, v in (extra or {}).items():

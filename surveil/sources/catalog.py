@@ -29,9 +29,12 @@ def event_date(time_col: str, granularity: str = "day") -> F.Column:
 
 def write_layer(df: DataFrame, root: str, layer: str, name: str, fmt: str = "parquet",
                 time_col: str | None = "transact_time", prefix: str = "surveil", granularity: str = "day",
-                mode: str = "overwrite") -> str:
+                mode: str = "overwrite", replace_days: bool = False) -> str:
     """Write ``df`` to ``root/layer/name`` partitioned by event day (or month) and register it.
 
+    Rows are clustered by day first (AQE splits large days), so a task writes few files.
+    ``replace_days`` overwrites only the days that ``df`` holds and leaves the others.
+
     Daily partitions suit production volumes (each day holds a large slice); for sparse
     data spread over years, ``granularity="month"`` avoids thousands of tiny partitions."""
     if layer not in NAMESPACES:
@@ -42,25 +45,34 @@ def write_layer(df: DataFrame, root: str, layer: str, name: str, fmt: str = "par
     if time_col and time_col in df.columns and granularity in ("day", "month"):
         w = df.withColumn("event_date", event_date(time_col, granularity))
         parts = ["event_date"]
-    w.write.mode(mode).format(fmt).partitionBy(*parts).save(path)
+    if parts:
+        w = w.hint("rebalance", "event_date")
+    writer = w.write.mode(mode).format(fmt)
+    if replace_days and parts:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*parts).save(path)
     spark = df.sparkSession
     table = f"{prefix}_{layer}.{name}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {prefix}_{layer}")
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.catalog.createTable(table, path=path, source=fmt)
+    # the schema is given, so a layer without rows (say, an empty quarantine) is a table as well
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in w.schema.fields)
+    by = f"PARTITIONED BY ({', '.join(parts)})" if parts else ""
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING {fmt} {by} LOCATION '{path}'")
     if parts:
         spark.sql(f"MSCK REPAIR TABLE {table}")
     return table
 
 
 def write_time_ordered(df: DataFrame, path: str, n_files: int | None = None, fmt: str = "parquet") -> None:
-    """Files in event-time order: range partitions on (time, id, type) then a local sort.
+    """Files in event-time order: range partitions on (time, id, type) then a local sort. The file
+    count is ``n_files``, or else follows the session's shuffle partitions and AQE's target size.
 
     The id and type keys make the range boundaries split even a single hot timestamp,
     and no global single-task sort is needed."""
     keys = ["transact_time", "cl_ord_id", "msg_type"]
-    n = n_files or df.sparkSession.sparkContext.defaultParallelism
-    df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").format(fmt).save(path)
+    ranged = df.repartitionByRange(n_files, *keys) if n_files else df.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).write.mode("overwrite").format(fmt).save(path)
 
 
 WINDOW_KEYS = ["trader_id", "symbol", "window_start"]

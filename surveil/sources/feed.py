@@ -5,9 +5,8 @@
 * every ``orders`` row becomes the parameters of one labelled abuse scenario, expanded
   into events by one broadcast join with the fixed template table.
 
-Both paths are narrow (projection, explode, broadcast join), so the feed scales with
-its inputs; the only shuffle is ``spread`` for an input that scans as fewer splits than
-cores (a no-op for any large table).
+Both paths are narrow (projection, explode, broadcast join with a fixed table), so the feed
+scales with its inputs and adds no shuffle.
 """
 
 from __future__ import annotations
@@ -62,19 +61,9 @@ def _raw(cols: dict[str, Column]) -> list[Column]:
     return [cols.get(n, F.lit(None)).cast(t).alias(n) for n, t in RAW_FIX_FIELDS]
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a narrow input over the cluster when the scan yields fewer splits than
-    cores (e.g. one small file with one row group).  Large inputs already have many splits
-    and pass through untouched, so this adds no shuffle at scale."""
-    if df.isStreaming:  # micro-batches are split by the source; nothing to spread
-        return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def benign_events(events: DataFrame) -> DataFrame:
     """events(event_id, ts, user_id, event_type, props{k}) -> raw FIX rows."""
-    e = spread(events.select("event_id", "ts", "user_id", "event_type", "props"))
+    e = events.select("event_id", "ts", "user_id", "event_type", "props")
     k = F.get_json_object(F.col("props"), "$.k").try_cast("long")
     eid = F.col("event_id")
     msg = F.lit(None).cast("string")
@@ -187,7 +176,7 @@ def read_tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benign flow union injected scenarios, in RAW_FIX_SCHEMA."""
     events, orders = read_tables(spark, sf_dir, "events", "orders")
-    sc = scenario_events(spread(scenario_params(orders)), dims.templates(spark))
+    sc = scenario_events(scenario_params(orders), dims.templates(spark))
     return benign_events(events).unionByName(sc)
 
 

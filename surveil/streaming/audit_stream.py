@@ -1,10 +1,11 @@
 """Streaming audit-chain append: one StatefulProcessor per chain keeps the head.
 
-Entries arrive as a stream; each is routed to a fixed number of chains by the same
-hash bucket as the batch path (a stream cannot be counted up front, so ``n_chains`` is
-a parameter).  Per micro-batch and chain, the new entries are ordered by (ts, ref_id)
+Entries arrive as a stream; each is routed by the same (day, hash bucket) key as the batch
+path.  Per micro-batch and chain, the new entries are put in the total order of a chain
 and linked from the stored (head_hash, seq) in a ValueState (RocksDB, checkpointed),
-so the chain continues exactly across batches and restarts.
+so the chain continues exactly across batches and restarts.  A task holds the (order key,
+body) pairs of one chain of one micro-batch: ``n_chains`` and the source's trigger limit
+(files or offsets per trigger) bound it; linked rows leave in chunks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ OUT = StructType([
     StructField("chain_id", LongType()), StructField("seq", LongType()), StructField("ref_id", StringType()),
     StructField("ts", LongType()), StructField("prev_hash", StringType()), StructField("entry_hash", StringType()),
 ])
+CHUNK = 10_000
 HEAD = StructType([StructField("head", StringType()), StructField("seq", LongType())])
 
 
@@ -33,23 +35,28 @@ class ChainAppender(StatefulProcessor):
         self.head = handle.getValueState("head", HEAD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "ref_id"])
+        entries = sorted(((int(ts), ref_id, body) for pdf in rows
+                          for ts, ref_id, body in zip(pdf["ts"], pdf["ref_id"], pdf["body"])))
         prev, seq = self.head.get() if self.head.exists() else (GENESIS_HASH, 0)
         out = []
-        for ref_id, ts, body in zip(pdf["ref_id"], pdf["ts"], pdf["body"]):
+        for ts, ref_id, body in entries:
             h = hashlib.sha256(prev.encode("ascii") + b"|" + body.encode("utf-8")).hexdigest()
             seq += 1
-            out.append((int(key[0]), seq, ref_id, int(ts), prev, h))
+            out.append((int(key[0]), seq, ref_id, ts, prev, h))
             prev = h
+            if len(out) == CHUNK:
+                yield pd.DataFrame(out, columns=[f.name for f in OUT.fields])
+                out = []
         self.head.update((prev, seq))
-        yield pd.DataFrame(out, columns=[f.name for f in OUT.fields])
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in OUT.fields])
 
     def close(self) -> None:
         pass
 
 
-def append_stream(entries: DataFrame, n_chains: int) -> DataFrame:
+def append_stream(entries: DataFrame, n_chains: int = AU.N_CHAINS) -> DataFrame:
     """Streaming entries (subsystem, action, ref_id, ts, payload) -> chain rows (append mode)."""
-    src = entries.select(AU.chain_bucket(F.col("ref_id"), n_chains).alias("chain_id"), "ref_id", "ts",
+    src = entries.select(AU.chain_key(F.col("ref_id"), F.col("ts"), n_chains).alias("chain_id"), "ref_id", "ts",
                          AU.entry_body().alias("body"))
     return src.groupBy("chain_id").transformWithStateInPandas(ChainAppender(), OUT, "Append", "None")

@@ -48,9 +48,19 @@ class RunningQtyProcessor(StatefulProcessor):
         pass
 
 
+def _partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per instrument and Arrow batch: what a hot instrument sends to its state's task."""
+    for pdf in batches:
+        yield pdf.groupby("instrument", as_index=False, dropna=False)["qty"].sum()
+
+
 def running_qty_stream(orders: DataFrame) -> DataFrame:
-    """Streaming (instrument, qty) -> (instrument, running) in Update mode."""
-    return (orders.groupBy("instrument")
+    """Streaming (instrument, qty) -> (instrument, running) in Update mode.
+
+    Quantities are summed inside each input task before the shuffle, so a hot instrument's state
+    task receives a row per input batch, not a row per order. Null quantities count as 0."""
+    orders = orders.select("instrument", F.coalesce(F.col("qty").cast("long"), F.lit(0).cast("long")).alias("qty"))
+    return (orders.mapInPandas(_partial_sums, "instrument string, qty long").groupBy("instrument")
             .transformWithStateInPandas(RunningQtyProcessor(), OUTPUT_SCHEMA, "Update", "None"))
 
 

@@ -35,6 +35,16 @@ def test_float_rendering_ties_and_nulls(spark):
     assert _one(spark, Gm.canonical_field(F.lit(None).cast("array<string>"), ArrayType(StringType()))) == "\x00"
 
 
+def test_float_rendering_equals_exact_binary_rounding(spark):
+    import math
+    import random
+    r = random.Random(8)
+    xs = [0.0, -0.0, 0.700000015, 1.5e-8, -1e-9, 5e-324, 2.0 ** 53 + 2, 1e22, 1e23, 0.999999995, math.inf, -math.inf, math.nan]
+    xs += [k * 5e-9 for k in range(1, 400)] + [-k / 512 for k in range(300)] + [math.ldexp(r.random(), r.randint(-60, 60)) for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [g.y for g in df.select(Gm.fixed8(F.col("x")).alias("y")).collect()] == [f"{x:.8f}" for x in xs]
+
+
 def test_nested_lists_join_recursively(spark):
     arr = F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3)))
     assert _one(spark, Gm.canonical_field(arr, ArrayType(ArrayType(IntegerType())))) == "1\x1e2\x1e3"

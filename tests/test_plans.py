@@ -5,7 +5,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
-NAMES = [n for n in E.queries() if not n.startswith("ml_")]
+NAMES = [n for n in E.queries() if not n.startswith(("ml_", "op")) and n != "pipeline"]   # these store tables while planning
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -63,24 +63,3 @@ def test_hot_join_key_cancel_link(spark):
     n_cancels = silver.filter(F.col("event_kind") == "CANCEL").count()
     assert L.cancel_link(silver).count() == n_cancels  # every cancel points at the one hot order
     assert L.orphan_cancels(silver).count() == 0
-
-
-def test_checked_broadcast_falls_back_to_a_shuffle_join(spark):
-    from surveil.functions.joins import checked_broadcast
-    big = spark.range(50).withColumnRenamed("id", "k")
-    small = spark.range(5).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan(big.join(checked_broadcast(small, max_rows=10), "k"))
-        assert "BroadcastHashJoin" not in plan(big.join(checked_broadcast(big.select("k"), max_rows=10), "k"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_spread_only_when_the_input_has_too_few_splits(spark):
-    from surveil.sources.feed import spread
-    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism)
-    assert spread(many) is many
-    one = spark.range(0, 1000, numPartitions=1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

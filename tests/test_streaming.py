@@ -1,9 +1,11 @@
 """Structured Streaming: state across micro-batches and restarts, batch == stream."""
 import tempfile
+import time
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from conftest import SF_SMALL
+from conftest import SF_SMALL, fix, raw_df
 from surveil.operators import links as L
 from surveil.plans import medallion as M
 from surveil.schemas import RAW_FIX_SCHEMA
@@ -28,14 +30,15 @@ def test_running_total_state_survives_restart(spark):
              .trigger(availableNow=True).start())
         q.awaitTermination(120)
 
-    spark.createDataFrame([("RY", 3), ("RY", 5), ("BNS", 2)], schema).coalesce(1).write.parquet(f"{src}/b=1")
+    rows = [("XQZ", 40 + i) for i in range(50)] + [("ABC", 7), ("ABC", None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/b=1")
     run()
     first = {r["instrument"]: r["running"] for r in spark.read.parquet(out).collect()}
-    assert first == {"RY": 8, "BNS": 2}
-    spark.createDataFrame([("RY", 10)], schema).coalesce(1).write.parquet(f"{src}/b=2")
+    assert first == {"XQZ": sum(q for _, q in rows[:50]), "ABC": 7}
+    spark.createDataFrame([("XQZ", -1000)], schema).coalesce(1).write.parquet(f"{src}/b=2")
     run()  # new query instance, same checkpoint: state is restored
-    latest = spark.read.parquet(out).groupBy("instrument").agg(F.max("running").alias("r"))
-    assert {r["instrument"]: r["r"] for r in latest.collect()} == {"RY": 18, "BNS": 2}
+    latest = spark.read.parquet(out).groupBy("instrument").agg(F.max_by("running", "batch_id").alias("r"))
+    assert {r["instrument"]: r["r"] for r in latest.collect()} == {"XQZ": first["XQZ"] - 1000, "ABC": 7}
 
 
 def _stream_raw(spark):
@@ -99,26 +102,59 @@ def test_streaming_chain_append_continues_across_batches(spark):
     assert got.exceptAll(batch).count() == 0
 
 
+FAR = 4_102_444_800_000        # an event this late moves the watermark past every window
+
+
+def _far(spark):
+    return raw_df(spark, [fix("new", "far", FAR, trader_id="tr-far")])
+
+
 def test_streamed_alerts_equal_batch_alerts(spark):
-    raw, d = _stream_raw(spark)
-    got = _drain(SM.stream_alerts(raw).drop("shap_top_features"), "update", d,
-                 "alerts_stream")
+    d = _scratch(spark)
+    M.raw(spark, SF_SMALL).unionByName(_far(spark)).repartition(4).write.parquet(f"{d}/raw")
+    raw = spark.readStream.schema(RAW_FIX_SCHEMA).parquet(f"{d}/raw")
+    got = _drain(SM.stream_alerts(raw).drop("shap_top_features"), "append", d, "alerts_stream")
     want = M.alerts(spark, SF_SMALL).drop("shap_top_features")
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
 
 
+def test_signal_withdrawn_in_a_later_batch_is_never_emitted(spark):
+    """Window 0 looks like spoofing after the first batch; the second batch's fills withdraw it. A second
+    trader's signal stands. One file, and so one micro-batch, at a time."""
+    from surveil.operators import bronze as B
+    from surveil.operators import detectors as D
+    from surveil.operators import gold as G
+    from surveil.operators import silver as S
+    d = _scratch(spark)
+    batches = [
+        [fix("new", f"n{t}{i}", 1000 + i, trader_id=t) for t in "ab" for i in range(5)]
+        + [fix("cancel", f"c{t}{i}", 2000 + i, trader_id=t) for t in "ab" for i in range(4)],
+        [fix("new", f"m{i}", 3000 + i, trader_id="a") for i in range(40)] + [fix("fill", f"m{i}", 4000 + i, trader_id="a") for i in range(40)],
+    ]
+    parts = [raw_df(spark, rows) for rows in batches] + [_far(spark)]
+
+    def alerts(df):
+        return {(r.trader_id, r.detector) for r in D.detect(G.to_gold(S.to_silver(B.to_bronze(df)))).collect() if r.trader_id != "tr-far"}
+    early, final = alerts(parts[0]), alerts(parts[0].unionByName(parts[1]))
+    assert early > final and final
+    for i, p in enumerate(parts):
+        p.coalesce(1).write.parquet(f"{d}/in/b={i}")
+        time.sleep(1.1)                                   # files are taken in order of their times
+    schema = StructType(RAW_FIX_SCHEMA.fields + [StructField("b", IntegerType())])
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in").drop("b")
+    got = _drain(SM.stream_alerts(raw).drop("shap_top_features"), "append", d, "withdrawn")
+    assert {(r.trader_id, r.detector) for r in got.collect()} == final
+
+
 def test_late_events_beyond_the_watermark_are_dropped(spark):
-    from conftest import order, raw_df
     d = _scratch(spark)
     hour = 3_600_000
-    b1 = [order(cl_ord_id=f"a{i}", transact_time=hour + i * 1000) for i in range(5)]
-    b2 = [order(cl_ord_id="late", transact_time=hour - 20 * 60_000),      # 20 min behind: dropped
-          order(cl_ord_id="ok", transact_time=hour + 30_000)]               # inside the watermark
-    raw_df(spark, b1).coalesce(1).write.parquet(f"{d}/in/b=1")
+    first = [fix("new", f"a{i}", hour + i * 1000) for i in range(5)]
+    second = [fix("new", "late", hour - 20 * 60_000), fix("new", "in time", hour + 30_000)]
+    raw_df(spark, first).coalesce(1).write.parquet(f"{d}/in/b=1")
 
     def run():
-        from pyspark.sql.types import IntegerType, StructField, StructType
         schema = StructType(RAW_FIX_SCHEMA.fields + [StructField("b", IntegerType())])
         s = spark.readStream.schema(schema).parquet(f"{d}/in").drop("b")
         q = (SM.stream_gold(SM.stream_silver(s, "10 minutes")).writeStream.outputMode("update")
@@ -127,12 +163,10 @@ def test_late_events_beyond_the_watermark_are_dropped(spark):
         q.awaitTermination(120)
 
     run()
-    raw_df(spark, b2).coalesce(1).write.parquet(f"{d}/in/b=2")
+    raw_df(spark, second).coalesce(1).write.parquet(f"{d}/in/b=2")
     run()
-    out = spark.read.parquet(f"{d}/out")
-    latest = out.groupBy("window_start").agg(F.max("n_orders").alias("n"))
-    got = {r["window_start"]: r["n"] for r in latest.collect()}
-    assert got == {hour: 6}  # the on-time event joined its window; the late one opened none
+    latest = spark.read.parquet(f"{d}/out").groupBy("window_start").agg(F.max("n_orders").alias("n"))
+    assert {r["window_start"]: r["n"] for r in latest.collect()} == {hour: 6}
 
 
 def test_json_value_stream_to_alerts_equals_batch(spark):
@@ -140,9 +174,9 @@ def test_json_value_stream_to_alerts_equals_batch(spark):
     source has the same shape as a Kafka value) parsed by from_json_column."""
     from surveil.sources import raw as R
     d = _scratch(spark)
-    R.to_event_json(M.raw(spark, SF_SMALL)).select("event_json").repartition(4).write.text(f"{d}/json")
+    R.to_event_json(M.raw(spark, SF_SMALL).unionByName(_far(spark))).select("event_json").repartition(4).write.text(f"{d}/json")
     stream = R.from_json_column(spark.readStream.text(f"{d}/json"), "value")
-    got = _drain(SM.stream_alerts(stream).drop("shap_top_features"), "update", d, "json_alerts")
+    got = _drain(SM.stream_alerts(stream).drop("shap_top_features"), "append", d, "json_alerts")
     want = M.alerts(spark, SF_SMALL).drop("shap_top_features")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
@@ -152,7 +186,7 @@ def test_feed_adapter_runs_on_streams(spark):
     d = _scratch(spark)
     spark.read.parquet(f"{SF_SMALL}/orders.parquet").write.parquet(f"{d}/orders")
     orders = spark.readStream.schema(spark.read.parquet(f"{d}/orders").schema).parquet(f"{d}/orders")
-    sc = feed.scenario_events(feed.spread(feed.scenario_params(orders)), dims.templates(spark))
+    sc = feed.scenario_events(feed.scenario_params(orders), dims.templates(spark))
     got = _drain(sc, "append", d, "scen_stream")
     (batch_orders,) = feed.read_tables(spark, SF_SMALL, "orders")
     assert got.count() == feed.scenario_events(feed.scenario_params(batch_orders), dims.templates(spark)).count()
