@@ -1,10 +1,9 @@
 """Language-model scores by stupid backoff, computed from count tables partitioned by hash.
 
-Each word is scored by the corpus without its own document:
-  S(w | v) = (c(v w) - own) / (c(v .) - own)      if another document has the bigram v w,
-           = ALPHA * (c(w) - own + 1) / (N - n + 1)  otherwise,
-with counts over all documents, own the document's own counts, N all words and n the document's.
-A document's first word has the start mark as context.
+With counts over all documents, N all words, and own(v w) the document's own count of a bigram,
+  S(w | v) = (c(v w) - own(v w)) / c(v .)   if another document has the bigram v w,
+           = ALPHA * c(w) / N               otherwise:
+a document's own bigrams are no evidence for it. Its first word has the start mark as context.
 
 1. Word table: word -> (count, count as a context), pre-aggregated per task.
 2. Exploded bigrams (document, v, w, tf) meet the bigram table in one shuffle: they are dealt by the
@@ -35,7 +34,7 @@ from surveil.llm import text as X
 from surveil.session import stored
 
 ALPHA = 0.4
-FLUSH = 3_000_000        # words a task holds before it sends blocks
+FLUSH = 1_500_000        # words a task holds before it sends blocks
 PER_PARTITION = 3_000_000
 FIXED = 1 << 24          # fixed-point scale of log terms
 START = np.uint64(1)     # context of a document's first word
@@ -115,9 +114,9 @@ def _word_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bigram_blocks(parts: int, hot: np.ndarray):
-    """(part, block) with columns v, w, document ref, tf, own count of v as context, own count of w."""
+    """(part, block) with columns v, w (both as differences), document, tf; ids holds the documents."""
     def flush(held: list) -> Iterator[tuple[int, bytes, bytes]]:
-        v, w, ref, tf, octx, own = (np.concatenate(c) for c in zip(*held))
+        v, w, ref, tf = (np.concatenate(c) for c in zip(*held))
         p = np.where(np.isin(v, hot), _mix_of(v, w), _mix_of(v)) % np.uint64(parts)
         order = np.lexsort((ref, w, v, p))
         cut = np.searchsorted(p[order], np.arange(parts + 1).astype(np.uint64))
@@ -125,8 +124,7 @@ def _bigram_blocks(parts: int, hot: np.ndarray):
             at = order[cut[i]:cut[i + 1]]
             if len(at):
                 ids, of = np.unique(ref[at], return_inverse=True)
-                x = v[at]
-                yield i, pack(np.diff(x, prepend=0), w[at], of, tf[at], octx[at], own[at]), pack(ids)
+                yield i, pack(np.diff(v[at], prepend=0), np.diff(w[at], prepend=0), of, tf[at]), pack(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -146,12 +144,7 @@ def _bigram_blocks(parts: int, hot: np.ndarray):
                 order, at = _groups(doc, v, w)                          # one entry per document and bigram
                 tf = np.diff(np.append(at, len(w)))
                 d, v, x = doc[order][at], v[order][at], w[order][at]
-                _, s = _groups(d, v)                                    # already in this order
-                octx = _spread(np.add.reduceat(tf, s), s, len(d))
-                o, s = _groups(d, x)
-                own = np.empty(len(d), np.int64)
-                own[o] = _spread(np.add.reduceat(tf[o], s), s, len(d))
-                held.append((v, x, refs[a:a + 512][d], tf, octx, own))
+                held.append((v, x, refs[a:a + 512][d], tf))
                 size += len(w)
                 if size >= FLUSH:
                     yield table(flush(held))
@@ -166,7 +159,7 @@ def _fixed(x: np.ndarray) -> np.ndarray:
 
 
 def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
-    """Blocks of whole partitions -> per document (ref, sum, seen) and blocks of unseen words."""
+    """Blocks of whole partitions -> blocks of sums per document (n set) and of unseen words."""
     keys = np.array(sorted(hot), np.int64)
     count = np.array([hot[k][0] for k in keys.tolist()], np.int64)
     context = np.array([hot[k][1] for k in keys.tolist()], np.int64)
@@ -175,16 +168,17 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
         i = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
         return (keys[i] == x) if len(keys) else np.zeros(len(x), bool), i
 
-    def part(blocks: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def part(now_part: int, blocks: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         cols, refs = [], []
         for data, ids in blocks:
-            v, w, of, tf, octx, own = unpack(data)
-            cols.append((np.cumsum(v), w, tf, octx, own))
+            v, w, of, tf = unpack(data)
+            cols.append((np.cumsum(v), np.cumsum(w), tf))
             refs.append(unpack(ids)[0][of])
-        v, w, tf, octx, own = (np.concatenate(c) for c in zip(*cols))
+        v, w, tf = (np.concatenate(c) for c in zip(*cols))
         ref = np.concatenate(refs)
+        del cols, refs
         order, s = _groups(v, w)
-        v, w, tf, octx, own, ref = (x[order] for x in (v, w, tf, octx, own, ref))
+        v, w, tf, ref = (x[order] for x in (v, w, tf, ref))
         c2 = _spread(np.add.reduceat(tf, s), s, len(v))
         _, s = _groups(v)
         ctx = _spread(np.add.reduceat(tf, s), s, len(v))
@@ -192,19 +186,18 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
         if len(keys):
             ctx = np.where(is_hot, context[i], ctx)
         seen = c2 > tf
-        # (log of a count of 0 is never taken: a seen bigram has another document's context too)
-        term = np.where(seen, np.log(np.maximum(c2 - tf, 1)) - np.log(np.maximum(ctx - octx, 1)), math.log(ALPHA))
+        term = np.where(seen, np.log(np.maximum(c2 - tf, 1)) - np.log(ctx), math.log(ALPHA))
         w_hot, i = known(w)
         now = ~seen & w_hot
         if now.any():
-            term = np.where(now, term + np.log(count[i] - own + 1.0), term)
+            term = np.where(now, term + np.log(count[i]), term)
         value = _fixed(term) * tf
         order, s = _groups(ref)
         r = ref[order][s]
-        yield _sums(r, np.add.reduceat(value[order], s), np.add.reduceat((tf * seen)[order], s))
+        yield _sums(now_part, r, np.add.reduceat(value[order], s), np.add.reduceat((tf * seen)[order], s))
         ask = ~seen & ~w_hot
         if ask.any():
-            w, ref, tf, own = w[ask], ref[ask], tf[ask], own[ask]
+            w, ref, tf = w[ask], ref[ask], tf[ask]
             p = _mix_of(w) % np.uint64(parts)
             order = np.lexsort((ref, w, p))
             cut = np.searchsorted(p[order], np.arange(parts + 1).astype(np.uint64))
@@ -213,22 +206,22 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
                 at = order[cut[i]:cut[i + 1]]
                 if len(at):
                     ids, of = np.unique(ref[at], return_inverse=True)
-                    out.append((i, pack(np.diff(w[at], prepend=0), of, tf[at], own[at]), pack(ids)))
+                    out.append((i, pack(np.diff(w[at], prepend=0), of, tf[at]), pack(ids)))
             p, data, ids = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(data, pa.binary()), pa.array(ids, pa.binary()),
                                               pa.nulls(len(p), pa.int64())], ["part", "data", "ids", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blocks in _by_part(batches):
-            yield from part(blocks)
+        for p, blocks in _by_part(batches):
+            yield from part(p, blocks)
     return run
 
 
-def _sums(ref: np.ndarray, value: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-    """Sums per document as one block row (part null)."""
+def _sums(part: int, ref: np.ndarray, value: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    """Sums per document as one block row (n set); the next stage passes it through."""
     order = np.argsort(ref)
-    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([pack(value[order], seen[order])], pa.binary()),
-                                       pa.array([pack(ref[order])], pa.binary()), pa.array([len(ref)], pa.int64())], ["part", "data", "ids", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(value[order], seen[order])], pa.binary()),
+                                       pa.array([pack(np.diff(ref[order], prepend=0))], pa.binary()), pa.array([len(ref)], pa.int64())], ["part", "data", "ids", "n"])
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
@@ -255,31 +248,34 @@ def _vocabulary_blocks(parts: int):
             rows = [(i, pack(np.diff(w[at], prepend=0), n[at])) for i in range(parts) if len(at := order[cut[i]:cut[i + 1]])]
             if rows:
                 p, data = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(data, pa.binary()), pa.nulls(len(p), pa.binary())], ["part", "data", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(data, pa.binary()), pa.nulls(len(p), pa.binary()),
+                                                  pa.nulls(len(p), pa.int64())], ["part", "data", "ids", "n"])
     return run
 
 
 def _scored_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vocabulary blocks (no ids) and unseen-word blocks of whole partitions -> sums per document."""
+    """Vocabulary blocks (no ids), unseen-word blocks and sums of whole partitions -> sums per document."""
     for _, blocks in _by_part(batches):
-        words = [unpack(d) for d, ids in blocks if ids is None]
-        asks = [(unpack(d), unpack(ids)[0]) for d, ids in blocks if ids is not None]
+        for d, ids, n in blocks:
+            if n is not None:
+                yield _opened(d, ids)
+        words = [unpack(d) for d, ids, _ in blocks if ids is None]
+        asks = [(unpack(d), unpack(ids)[0]) for d, ids, n in blocks if ids is not None and n is None]
         if not asks:
             continue
-        vocab, n = (np.concatenate(c) for c in zip(*[(np.cumsum(w), c) for w, c in words]))
+        vocab, count = (np.concatenate(c) for c in zip(*[(np.cumsum(w), c) for w, c in words]))
         order = np.argsort(vocab)
-        vocab, n = vocab[order], n[order]
-        w, ref, tf, own = (np.concatenate(c) for c in zip(*[(np.cumsum(w), ids[of], tf, own) for (w, of, tf, own), ids in asks]))
-        value = _fixed(np.log(n[np.searchsorted(vocab, w)] - own + 1.0)) * tf
+        vocab, count = vocab[order], count[order]
+        w, ref, tf = (np.concatenate(c) for c in zip(*[(np.cumsum(w), ids[of], tf) for (w, of, tf), ids in asks]))
+        value = _fixed(np.log(count[np.searchsorted(vocab, w)])) * tf
         order, s = _groups(ref)
-        yield _sums(ref[order][s], np.add.reduceat(value[order], s), np.zeros(len(s), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ref[order][s]), pa.array(np.add.reduceat(value[order], s)),
+                                          pa.array(np.zeros(len(s), np.int64))], ["ref", "value", "seen"])
 
 
-def _open_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for data, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            value, seen = unpack(data)
-            yield pa.RecordBatch.from_arrays([pa.array(unpack(ids)[0]), pa.array(value), pa.array(seen)], ["ref", "value", "seen"])
+def _opened(data: bytes, ids: bytes) -> pa.RecordBatch:
+    value, seen = unpack(data)
+    return pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpack(ids)[0])), pa.array(value), pa.array(seen)], ["ref", "value", "seen"])
 
 
 def score(docs: DataFrame, per_partition: int = PER_PARTITION) -> DataFrame:
@@ -299,19 +295,17 @@ def score(docs: DataFrame, per_partition: int = PER_PARTITION) -> DataFrame:
     frequent = table.filter((F.greatest("n", "ctx") > max(1, total // (4 * parts))))
     hot = {r.word: (r.n, r.ctx) for r in frequent.collect()}
     blocks = docs.select("ref", "text").mapInArrow(_bigram_blocks(parts, np.array(sorted(hot), np.int64)), "part int, data binary, ids binary")
-    first = stored(blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
-        _scored_bigrams(parts, hot), "part int, data binary, ids binary, n long"), "bigrams")
-    asks = first.filter("part is not null").select("part", "data", "ids")
-    words = table.filter("n > 0").select("word", "n").mapInArrow(_vocabulary_blocks(parts), "part int, data binary, ids binary")
-    second = asks.union(words).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
-        _scored_words, "part int, data binary, ids binary, n long")
-    sums = (first.filter("part is null").union(second).select("data", "ids").mapInArrow(_open_sums, "ref long, value long, seen long")
-            .groupBy("ref").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen")))
+    kind = "part int, data binary, ids binary, n long"
+    first = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_scored_bigrams(parts, hot), kind)
+    words = table.filter("n > 0").select("word", "n").mapInArrow(_vocabulary_blocks(parts), kind)
+    second = first.union(words).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
+        _scored_words, "ref long, value long, seen long")
+    sums = second.groupBy("ref").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     rows = docs.select("doc_id", "ref", F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("n_words"))
     copies = rows.groupBy("ref").agg(F.count("*").alias("copies"))
     out = rows.join(copies, "ref").join(sums, "ref", "left")
     unseen = F.col("n_words") - F.col("seen") / F.col("copies")
-    log = F.col("value") / F.col("copies") / float(FIXED) - unseen * F.log(F.lit(float(total + 1)) - F.col("n_words"))
+    log = F.col("value") / F.col("copies") / float(FIXED) - unseen * F.lit(math.log(max(1, total)))
     out = out.withColumn("log_score", F.when(F.col("n_words") > 0, log))
     return out.select("doc_id", "n_words", F.coalesce((F.col("seen") / F.col("copies")).cast("long"), F.lit(0).cast("long")).alias("n_seen"),
                       "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

@@ -28,10 +28,10 @@ def brute(rows):
         s, seen = 0.0, 0
         for v, x in zip([None, *w], w):
             if bi[v, x] > b[v, x]:
-                s += math.log((bi[v, x] - b[v, x]) / (ctx[v] - c[v]))
+                s += math.log((bi[v, x] - b[v, x]) / ctx[v])
                 seen += 1
             else:
-                s += math.log(L.ALPHA * (uni[x] - u[x] + 1) / (total - len(w) + 1))
+                s += math.log(L.ALPHA * uni[x] / total)
         out.append((d, len(w), seen, s if w else None))
     return out
 
