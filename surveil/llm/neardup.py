@@ -121,9 +121,9 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def _sketch(m: int, bands: int, rows: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), X.as_bytes(batch.column(1))
-            for a in range(0, len(texts), 512):
-                sets = X.shingle_sets(texts[a:a + 512], n)
+            ids = batch.column(0)
+            for a in range(0, batch.num_rows, 512):
+                sets = X.shingle_sets(X.as_bytes(batch.column(1).slice(a, 512)), n)
                 regs = registers(sets, m)
                 size = np.array([len(s) for s in sets], np.int64)
                 with np.errstate(over="ignore"):
@@ -140,9 +140,9 @@ def _sketch(m: int, bands: int, rows: int, n: int):
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), X.as_bytes(batch.column(1))
-            for a in range(0, len(texts), 512):
-                sets = X.shingle_sets(texts[a:a + 512], n)
+            ids = batch.column(0)
+            for a in range(0, batch.num_rows, 512):
+                sets = X.shingle_sets(X.as_bytes(batch.column(1).slice(a, 512)), n)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, len(sets)), X.list_column(sets)], ["rep", "shingles"])
     return run
 

@@ -96,9 +96,8 @@ def _word_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(w[order][at]), pa.array(np.add.reduceat(one[order], at)),
                                            pa.array(np.add.reduceat(ctx[order], at))], ["word", "n", "ctx"])
     for batch in batches:
-        texts = X.as_bytes(batch.column(0))
-        for a in range(0, len(texts), 512):
-            w, off = _words(texts[a:a + 512])
+        for a in range(0, batch.num_rows, 512):
+            w, off = _words(X.as_bytes(batch.column(0).slice(a, 512)))
             if not len(w):
                 continue
             ctx = np.ones(len(w), np.int64)
@@ -133,9 +132,9 @@ def _bigram_blocks(parts: int, hot: np.ndarray):
             part, data, ids = zip(*blocks)
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary()), pa.array(ids, pa.binary())], ["part", "data", "ids"])
         for batch in batches:
-            refs, texts = batch.column(0).to_numpy(), X.as_bytes(batch.column(1))
-            for a in range(0, len(texts), 512):
-                w, off = _words(texts[a:a + 512])
+            refs = batch.column(0).to_numpy()
+            for a in range(0, batch.num_rows, 512):
+                w, off = _words(X.as_bytes(batch.column(1).slice(a, 512)))
                 if not len(w):
                     continue
                 doc = np.repeat(np.arange(len(off) - 1), np.diff(off))

@@ -143,13 +143,14 @@ def find(docs: DataFrame, window: int = 40, min_score: float = 0.6, text_out: bo
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            spans = [scored_spans(t, window, min_score) if t else [] for t in texts]
-            yield pa.RecordBatch.from_arrays([
-                ids,
-                pa.array([[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in x] for x in spans], _SPANS),
-                pa.array([(redact(t, x) if x else t) if text_out else None for t, x in zip(texts, spans)], pa.string())],
-                ["doc_id", "spans", "redacted"])
+            for i in range(0, batch.num_rows, 1024):
+                texts = batch.column(1).slice(i, 1024).to_pylist()
+                spans = [scored_spans(t, window, min_score) if t else [] for t in texts]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(i, 1024),
+                    pa.array([[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in x] for x in spans], _SPANS),
+                    pa.array([(redact(t, x) if x else t) if text_out else None for t, x in zip(texts, spans)], pa.string())],
+                    ["doc_id", "spans", "redacted"])
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
              "spans array<struct<kind:string,start:bigint,end:bigint,score:double>>, redacted string")
@@ -159,7 +160,11 @@ def redacted(docs: DataFrame, window: int = 40, min_score: float = 0.6, text_col
     """``docs`` with personal data in ``text_col`` replaced by ``<KIND>``; ``size_col``, if present, is recounted."""
     @F.arrow_udf("string")
     def clean(text: pa.Array) -> pa.Array:
-        return pa.array([redact(t, x) if t and (x := scored_spans(t, window, min_score)) else t for t in text.to_pylist()], pa.string())
+        parts = []
+        for i in range(0, len(text), 256):               # Python copies of a few texts at a time
+            part = text.slice(i, 256).to_pylist()
+            parts.append(pa.array([redact(t, x) if t and (x := scored_spans(t, window, min_score)) else t for t in part], pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     out = docs.withColumn(text_col, clean(docs[text_col]))
     if size_col in docs.columns:

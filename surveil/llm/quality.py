@@ -148,7 +148,8 @@ class Model:
 
         @F.arrow_udf("struct<n:bigint,weight:double,score:double,key:double>")
         def score(text: pa.Array, noise: pa.Array) -> pa.Array:
-            w, n = weights(X.as_bytes(text), ratio)
+            parts = [weights(X.as_bytes(text.slice(i, 512)), ratio) for i in range(0, len(text), 512)]
+            w, n = (np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0), np.empty(0, np.int64))
             u = ((noise.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(11)) + 0.5) / 2.0**53
             mean = w / np.maximum(n, 1)
             none = n == 0
@@ -166,11 +167,12 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One histogram per task: (bucket, raw count, target count)."""
     raw, target = np.zeros(SURFACE + SHAPE, np.int64), np.zeros(SURFACE + SHAPE, np.int64)
     for batch in batches:
-        texts, good = X.as_bytes(batch.column(0)), batch.column(1).to_pylist()
-        rest = histogram([t for t, g in zip(texts, good) if not g])
-        mine = histogram([t for t, g in zip(texts, good) if g])
-        raw += rest + mine
-        target += mine
+        for i in range(0, batch.num_rows, 512):
+            texts, good = X.as_bytes(batch.column(0).slice(i, 512)), batch.column(1).slice(i, 512).to_pylist()
+            rest = histogram([t for t, g in zip(texts, good) if not g])
+            mine = histogram([t for t, g in zip(texts, good) if g])
+            raw += rest + mine
+            target += mine
     used = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SEPARATORS = (9, 10, 11, 12, 13, 32)
-CHUNK = 1 << 21          # bytes hashed at a time: bounds the temporary arrays, never the text
+CHUNK = 1 << 19          # bytes hashed at a time: bounds the temporary arrays, never the text
 _POWERS = 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
