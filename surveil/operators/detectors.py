@@ -28,6 +28,8 @@ def _d(x: float) -> Column:
     return F.lit(float(x))
 
 
+# The weights, limits and order of operations of the five scores are the contract.
+
 def spoofing_score() -> Column:
     ott = F.least(c("order_to_trade_ratio") / _d(10.0), _d(1.0))
     s = F.greatest(_d(0.0), F.least(_d(1.0), _d(0.7) * c("cancel_ratio") + _d(0.3) * ott))

@@ -118,18 +118,6 @@ def build_templates(layers: int = 4, wash_qty: int = 1000, client_qty: int = 10_
 TEMPLATES, LABEL_TEMPLATES = build_templates()
 
 
-def instruments(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(INSTRUMENTS, "symbol string, exchange_id string, mid_cents bigint, tick_cents bigint")
-
-
-def traders(spark: SparkSession) -> DataFrame:
-    """Benign and abusive trader ids with their accounts."""
-    rows = [(f"T-{i:03d}", False) for i in range(N_BENIGN_TRADERS)] + \
-           [(f"A-{i:03d}", True) for i in range(N_ABUSIVE_TRADERS)]
-    return (spark.createDataFrame(rows, "trader_id string, abusive boolean")
-            .withColumn("account", F.concat(F.lit("ACC-"), F.col("trader_id"))))
-
-
 def templates(spark: SparkSession, **params) -> DataFrame:
     """Event templates (defaults, or archetype parameters such as layers=6, waves=5)."""
     return spark.createDataFrame(build_templates(**params)[0] if params else TEMPLATES, TEMPLATE_DDL)
