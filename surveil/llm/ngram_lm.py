@@ -12,7 +12,8 @@ a document's own bigrams are no evidence for it. Its first word has the start ma
    context counts come from the word table (fewer than 4 x partitions words can be that frequent,
    which bounds the broadcast).
 3. Bigrams that no other document has go on to the word table, dealt by the hash of w.
-4. Terms are fixed-point integers, so sums per document do not depend on task order.
+4. Terms are summed per document in every task, dealt by the hash of the document and summed again.
+   They are fixed-point integers, so the sums do not depend on task order.
 
 Between stages entries travel as sorted, byte-plane, zstd-compressed blocks (one per task and
 partition) instead of a row per n-gram. The number of partitions follows the number of words.
@@ -167,7 +168,7 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
         i = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
         return (keys[i] == x) if len(keys) else np.zeros(len(x), bool), i
 
-    def part(now_part: int, blocks: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def part(blocks: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         cols, refs = [], []
         for data, ids in blocks:
             v, w, of, tf = unpack(data)
@@ -191,9 +192,7 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
         if now.any():
             term = np.where(now, term + np.log(count[i]), term)
         value = _fixed(term) * tf
-        order, s = _groups(ref)
-        r = ref[order][s]
-        yield _sums(now_part, r, np.add.reduceat(value[order], s), np.add.reduceat((tf * seen)[order], s))
+        yield _sum_blocks(ref, value, tf * seen, parts)
         ask = ~seen & ~w_hot
         if ask.any():
             w, ref, tf = w[ask], ref[ask], tf[ask]
@@ -211,16 +210,27 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
                                               pa.nulls(len(p), pa.int64())], ["part", "data", "ids", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, blocks in _by_part(batches):
-            yield from part(p, blocks)
+        for _, blocks in _by_part(batches):
+            yield from part(blocks)
     return run
 
 
-def _sums(part: int, ref: np.ndarray, value: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-    """Sums per document as one block row (n set); the next stage passes it through."""
-    order = np.argsort(ref)
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(value[order], seen[order])], pa.binary()),
-                                       pa.array([pack(np.diff(ref[order], prepend=0))], pa.binary()), pa.array([len(ref)], pa.int64())], ["part", "data", "ids", "n"])
+def _sum_blocks(ref: np.ndarray, value: np.ndarray, seen: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Terms summed per document, as blocks dealt by the hash of the document (n set)."""
+    order, s = _groups(ref)
+    ref, value, seen = ref[order][s], np.add.reduceat(value[order], s), np.add.reduceat(seen[order], s)
+    p = (_mix_of(ref) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((ref, p))
+    cut = np.searchsorted(p[order], np.arange(parts + 1))
+    rows = [(i, pack(value[at], seen[at]), pack(np.diff(ref[at], prepend=0)), len(at)) for i in range(parts) if len(at := order[cut[i]:cut[i + 1]])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.int64()))],
+                                      ["part", "data", "ids", "n"])
+
+
+def _terms(blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(ref, value, seen) of the sum blocks among ``blocks``."""
+    cols = [(np.cumsum(unpack(ids)[0]), *unpack(d)) for d, ids, n in blocks if n is not None]
+    return tuple(np.concatenate(c) for c in zip(*cols)) if cols else None
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
@@ -252,29 +262,32 @@ def _vocabulary_blocks(parts: int):
     return run
 
 
-def _scored_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vocabulary blocks (no ids), unseen-word blocks and sums of whole partitions -> sums per document."""
+def _scored_words(parts: int):
+    """Vocabulary blocks (no ids) and unseen-word blocks of whole partitions -> sum blocks; sum blocks that
+    came along are merged."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blocks in _by_part(batches):
+            if terms := _terms(blocks):
+                yield _sum_blocks(*terms, parts)
+            words = [unpack(d) for d, ids, _ in blocks if ids is None]
+            asks = [(unpack(d), unpack(ids)[0]) for d, ids, n in blocks if ids is not None and n is None]
+            if not asks:
+                continue
+            vocab, count = (np.concatenate(c) for c in zip(*[(np.cumsum(w), c) for w, c in words]))
+            order = np.argsort(vocab)
+            vocab, count = vocab[order], count[order]
+            w, ref, tf = (np.concatenate(c) for c in zip(*[(np.cumsum(w), ids[of], tf) for (w, of, tf), ids in asks]))
+            yield _sum_blocks(ref, _fixed(np.log(count[np.searchsorted(vocab, w)])) * tf, np.zeros(len(ref), np.int64), parts)
+    return run
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum blocks of whole document partitions -> one row per document."""
     for _, blocks in _by_part(batches):
-        for d, ids, n in blocks:
-            if n is not None:
-                yield _opened(d, ids)
-        words = [unpack(d) for d, ids, _ in blocks if ids is None]
-        asks = [(unpack(d), unpack(ids)[0]) for d, ids, n in blocks if ids is not None and n is None]
-        if not asks:
-            continue
-        vocab, count = (np.concatenate(c) for c in zip(*[(np.cumsum(w), c) for w, c in words]))
-        order = np.argsort(vocab)
-        vocab, count = vocab[order], count[order]
-        w, ref, tf = (np.concatenate(c) for c in zip(*[(np.cumsum(w), ids[of], tf) for (w, of, tf), ids in asks]))
-        value = _fixed(np.log(count[np.searchsorted(vocab, w)])) * tf
+        ref, value, seen = _terms(blocks)
         order, s = _groups(ref)
         yield pa.RecordBatch.from_arrays([pa.array(ref[order][s]), pa.array(np.add.reduceat(value[order], s)),
-                                          pa.array(np.zeros(len(s), np.int64))], ["ref", "value", "seen"])
-
-
-def _opened(data: bytes, ids: bytes) -> pa.RecordBatch:
-    value, seen = unpack(data)
-    return pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpack(ids)[0])), pa.array(value), pa.array(seen)], ["ref", "value", "seen"])
+                                          pa.array(np.add.reduceat(seen[order], s))], ["ref", "value", "seen"])
 
 
 def score(docs: DataFrame, per_partition: int = PER_PARTITION) -> DataFrame:
@@ -297,9 +310,8 @@ def score(docs: DataFrame, per_partition: int = PER_PARTITION) -> DataFrame:
     kind = "part int, data binary, ids binary, n long"
     first = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_scored_bigrams(parts, hot), kind)
     words = table.filter("n > 0").select("word", "n").mapInArrow(_vocabulary_blocks(parts), kind)
-    second = first.union(words).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
-        _scored_words, "ref long, value long, seen long")
-    sums = second.groupBy("ref").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    second = first.union(words).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_scored_words(parts), kind)
+    sums = second.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_documents, "ref long, value long, seen long")
     rows = docs.select("doc_id", "ref", F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("n_words"))
     copies = rows.groupBy("ref").agg(F.count("*").alias("copies"))
     out = rows.join(copies, "ref").join(sums, "ref", "left")
