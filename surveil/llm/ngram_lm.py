@@ -308,10 +308,10 @@ def score(docs: DataFrame, per_partition: int = PER_PARTITION) -> DataFrame:
     hot = {r.word: (r.n, r.ctx) for r in frequent.collect()}
     blocks = docs.select("ref", "text").mapInArrow(_bigram_blocks(parts, np.array(sorted(hot), np.int64)), "part int, data binary, ids binary")
     kind = "part int, data binary, ids binary, n long"
-    first = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_scored_bigrams(parts, hot), kind)
+    first = blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_scored_bigrams(parts, hot), kind)
     words = table.filter("n > 0").select("word", "n").mapInArrow(_vocabulary_blocks(parts), kind)
-    second = first.union(words).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_scored_words(parts), kind)
-    sums = second.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_documents, "ref long, value long, seen long")
+    second = first.union(words).repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_scored_words(parts), kind)
+    sums = second.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_documents, "ref long, value long, seen long")
     rows = docs.select("doc_id", "ref", F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("n_words"))
     copies = rows.groupBy("ref").agg(F.count("*").alias("copies"))
     out = rows.join(copies, "ref").join(sums, "ref", "left")
