@@ -36,7 +36,7 @@ from surveil.session import stored
 
 ALPHA = 0.4
 FLUSH = 1_500_000        # words a task holds before it sends blocks
-PER_PARTITION = 3_000_000
+PER_PARTITION = 2_500_000
 FIXED = 1 << 24          # fixed-point scale of log terms
 START = np.uint64(1)     # context of a document's first word
 _SHIFT = np.uint64(8)    # words are 56-bit hashes
