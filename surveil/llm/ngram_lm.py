@@ -1,9 +1,10 @@
 """Language-model scores by stupid backoff, computed from count tables partitioned by hash.
 
-With counts over all documents, N all words, and own(v w) the document's own count of a bigram,
-  S(w | v) = (c(v w) - own(v w)) / c(v .)   if another document has the bigram v w,
-           = ALPHA * c(w) / N               otherwise:
-a document's own bigrams are no evidence for it. Its first word has the start mark as context.
+Each word is scored by the corpus without its own document:
+  S(w | v) = (c(v w) - own(v w)) / (c(v .) - own(v .))   if another document has the bigram v w,
+           = ALPHA * (c(w) - own(w) + 1) / (N - n + 1)   otherwise,
+with counts over all documents, own the document's own counts, N all words and n the document's.
+A document's first word has the start mark as context.
 
 1. Word table: word -> (count, count as a context), pre-aggregated per task.
 2. Exploded bigrams (document, v, w, tf) meet the bigram table in one shuffle: they are dealt by the
@@ -16,7 +17,9 @@ a document's own bigrams are no evidence for it. Its first word has the start ma
    They are fixed-point integers, so the sums do not depend on task order.
 
 Between stages entries travel as sorted, byte-plane, zstd-compressed blocks (one per task and
-partition) instead of a row per n-gram. The number of partitions follows the number of words.
+partition) instead of a row per n-gram. The number of partitions follows the number of words. A
+bigram entry carries its document's own counts of v as a context and of w as differences from tf,
+which are mostly zero and compress to almost nothing.
 """
 
 from __future__ import annotations
@@ -114,9 +117,10 @@ def _word_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bigram_blocks(parts: int, hot: np.ndarray):
-    """(part, block) with columns v, w (both as differences), document, tf; ids holds the documents."""
+    """(part, block) with columns v, w (both as differences), document, tf, own count of v as context and own
+    count of w (both less tf); ids holds the documents."""
     def flush(held: list) -> Iterator[tuple[int, bytes, bytes]]:
-        v, w, ref, tf = (np.concatenate(c) for c in zip(*held))
+        v, w, ref, tf, octx, own = (np.concatenate(c) for c in zip(*held))
         p = np.where(np.isin(v, hot), _mix_of(v, w), _mix_of(v)) % np.uint64(parts)
         order = np.lexsort((ref, w, v, p))
         cut = np.searchsorted(p[order], np.arange(parts + 1).astype(np.uint64))
@@ -124,7 +128,7 @@ def _bigram_blocks(parts: int, hot: np.ndarray):
             at = order[cut[i]:cut[i + 1]]
             if len(at):
                 ids, of = np.unique(ref[at], return_inverse=True)
-                yield i, pack(np.diff(v[at], prepend=0), np.diff(w[at], prepend=0), of, tf[at]), pack(ids)
+                yield i, pack(np.diff(v[at], prepend=0), np.diff(w[at], prepend=0), of, tf[at], octx[at], own[at]), pack(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -144,7 +148,12 @@ def _bigram_blocks(parts: int, hot: np.ndarray):
                 order, at = _groups(doc, v, w)                          # one entry per document and bigram
                 tf = np.diff(np.append(at, len(w)))
                 d, v, x = doc[order][at], v[order][at], w[order][at]
-                held.append((v, x, refs[a:a + 512][d], tf))
+                _, s = _groups(d, v)                                    # already in this order
+                octx = _spread(np.add.reduceat(tf, s), s, len(d))
+                o, s = _groups(d, x)
+                own = np.empty(len(d), np.int64)
+                own[o] = _spread(np.add.reduceat(tf[o], s), s, len(d))
+                held.append((v, x, refs[a:a + 512][d], *(c.astype(np.int32) for c in (tf, octx - tf, own - tf))))
                 size += len(w)
                 if size >= FLUSH:
                     yield table(flush(held))
@@ -171,14 +180,14 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
     def part(blocks: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         cols, refs = [], []
         for data, ids in blocks:
-            v, w, of, tf = unpack(data)
-            cols.append((np.cumsum(v), np.cumsum(w), tf))
+            v, w, of, tf, octx, own = unpack(data)
+            cols.append((np.cumsum(v), np.cumsum(w), tf, octx.astype(np.int32), own.astype(np.int32)))
             refs.append(unpack(ids)[0][of])
-        v, w, tf = (np.concatenate(c) for c in zip(*cols))
+        v, w, tf, octx, own = (np.concatenate(c) for c in zip(*cols))
         ref = np.concatenate(refs)
         del cols, refs
         order, s = _groups(v, w)
-        v, w, tf, ref = (x[order] for x in (v, w, tf, ref))
+        v, w, tf, ref, octx, own = (x[order] for x in (v, w, tf, ref, octx, own))
         c2 = _spread(np.add.reduceat(tf, s), s, len(v))
         _, s = _groups(v)
         ctx = _spread(np.add.reduceat(tf, s), s, len(v))
@@ -186,16 +195,18 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
         if len(keys):
             ctx = np.where(is_hot, context[i], ctx)
         seen = c2 > tf
-        term = np.where(seen, np.log(np.maximum(c2 - tf, 1)) - np.log(ctx), math.log(ALPHA))
+        # (log of a count of 0 is never taken: a seen bigram has another document's context too)
+        term = np.where(seen, np.log(np.maximum(c2 - tf, 1)) - np.log(np.maximum(ctx - tf - octx, 1)), math.log(ALPHA))
+        del c2, ctx, octx
         w_hot, i = known(w)
         now = ~seen & w_hot
         if now.any():
-            term = np.where(now, term + np.log(count[i]), term)
+            term = np.where(now, term + np.log(np.maximum(count[i] - tf - own + 1, 1)), term)
         value = _fixed(term) * tf
         yield _sum_blocks(ref, value, tf * seen, parts)
         ask = ~seen & ~w_hot
         if ask.any():
-            w, ref, tf = w[ask], ref[ask], tf[ask]
+            w, ref, tf, own = w[ask], ref[ask], tf[ask], own[ask]
             p = _mix_of(w) % np.uint64(parts)
             order = np.lexsort((ref, w, p))
             cut = np.searchsorted(p[order], np.arange(parts + 1).astype(np.uint64))
@@ -204,7 +215,7 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
                 at = order[cut[i]:cut[i + 1]]
                 if len(at):
                     ids, of = np.unique(ref[at], return_inverse=True)
-                    out.append((i, pack(np.diff(w[at], prepend=0), of, tf[at]), pack(ids)))
+                    out.append((i, pack(np.diff(w[at], prepend=0), of, tf[at], own[at]), pack(ids)))
             p, data, ids = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(data, pa.binary()), pa.array(ids, pa.binary()),
                                               pa.nulls(len(p), pa.int64())], ["part", "data", "ids", "n"])
@@ -276,8 +287,8 @@ def _scored_words(parts: int):
             vocab, count = (np.concatenate(c) for c in zip(*[(np.cumsum(w), c) for w, c in words]))
             order = np.argsort(vocab)
             vocab, count = vocab[order], count[order]
-            w, ref, tf = (np.concatenate(c) for c in zip(*[(np.cumsum(w), ids[of], tf) for (w, of, tf), ids in asks]))
-            yield _sum_blocks(ref, _fixed(np.log(count[np.searchsorted(vocab, w)])) * tf, np.zeros(len(ref), np.int64), parts)
+            w, ref, tf, own = (np.concatenate(c) for c in zip(*[(np.cumsum(w), ids[of], tf, own) for (w, of, tf, own), ids in asks]))
+            yield _sum_blocks(ref, _fixed(np.log(count[np.searchsorted(vocab, w)] - tf - own + 1)) * tf, np.zeros(len(ref), np.int64), parts)
     return run
 
 
@@ -316,7 +327,7 @@ def score(docs: DataFrame, per_partition: int = PER_PARTITION) -> DataFrame:
     copies = rows.groupBy("ref").agg(F.count("*").alias("copies"))
     out = rows.join(copies, "ref").join(sums, "ref", "left")
     unseen = F.col("n_words") - F.col("seen") / F.col("copies")
-    log = F.col("value") / F.col("copies") / float(FIXED) - unseen * F.lit(math.log(max(1, total)))
+    log = F.col("value") / F.col("copies") / float(FIXED) - unseen * F.log(F.lit(float(total + 1)) - F.col("n_words"))
     out = out.withColumn("log_score", F.when(F.col("n_words") > 0, log))
     return out.select("doc_id", "n_words", F.coalesce((F.col("seen") / F.col("copies")).cast("long"), F.lit(0).cast("long")).alias("n_seen"),
                       "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

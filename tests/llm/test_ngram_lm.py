@@ -28,10 +28,10 @@ def brute(rows):
         s, seen = 0.0, 0
         for v, x in zip([None, *w], w):
             if bi[v, x] > b[v, x]:
-                s += math.log((bi[v, x] - b[v, x]) / ctx[v])
+                s += math.log((bi[v, x] - b[v, x]) / (ctx[v] - c[v]))
                 seen += 1
             else:
-                s += math.log(L.ALPHA * uni[x] / total)
+                s += math.log(L.ALPHA * (uni[x] - u[x] + 1) / (total - len(w) + 1))
         out.append((d, len(w), seen, s if w else None))
     return out
 
@@ -66,3 +66,14 @@ def test_blocks_round_trip():
     b = a[::-1].copy()
     x, y = L.unpack(L.pack(a, b))
     assert (x == a).all() and (y == b).all() and L.unpack(L.pack(a[:0])) == []
+
+
+def test_own_repeats_give_no_score(spark):
+    """A document repeating words of its own scores no better per word the more it repeats."""
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice("a b c d e f".split()) for _ in range(50))) for i in range(40)]
+    rows += [(1000 + k, " ".join(f"own{i % 9}x{k}" for i in range(k))) for k in (30, 300, 3000)]
+    got = {x.doc_id: x.mean_log_score for x in L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    total = sum(len(t.split()) for _, t in rows)
+    for k in (30, 300, 3000):
+        assert got[1000 + k] == pytest.approx(math.log(L.ALPHA / (total - k + 1)), abs=1e-5)
