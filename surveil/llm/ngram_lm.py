@@ -11,7 +11,10 @@ A document's first word has the start mark as context.
    hash of the context v, so a task sees all of v's bigrams and sums c(v w) and c(v .) from them.
    Contexts with more than a quarter of a partition's words are dealt by the hash of (v, w); their
    context counts come from the word table (fewer than 4 x partitions words can be that frequent,
-   which bounds the broadcast).
+   which bounds the broadcast). A bigram with more than a quarter of a partition's words is not dealt
+   at all: its two words are that frequent too, so a pass over the frequent words counts such bigrams
+   (pre-aggregated per task, fewer than 4 x partitions of them), and each task scores its own entries
+   from the broadcast counts. So no task receives a group that grows with the corpus.
 3. Bigrams that no other document has go on to the word table, dealt by the hash of w.
 4. Terms are summed per document in every task, dealt by the hash of the document and summed again.
    They are fixed-point integers, so the sums do not depend on task order.
@@ -116,11 +119,82 @@ def _word_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _bigram_blocks(parts: int, hot: np.ndarray):
+def _bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, context, word) of each word."""
+    w, off = _words(texts)
+    v = np.concatenate([[0], w[:-1]])[:len(w)]
+    v[off[:-1][np.diff(off) > 0]] = int(START)
+    return np.repeat(np.arange(len(off) - 1), np.diff(off)), v, w
+
+
+def _frequent_pairs(hot: np.ndarray):
+    """(v, w, count) of the bigrams of two frequent words, per task and FLUSH words."""
+    def flush(held: list) -> pa.RecordBatch:
+        v, w, n = (np.concatenate(c) for c in zip(*held))
+        order, at = _groups(v, w)
+        return pa.RecordBatch.from_arrays([pa.array(v[order][at]), pa.array(w[order][at]), pa.array(np.add.reduceat(n[order], at))], ["v", "w", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                _, v, w = _bigrams(X.as_bytes(batch.column(0).slice(a, 512)))
+                both = _place(hot, v)[0] & _place(hot, w)[0]
+                v, w = v[both], w[both]
+                if len(v):
+                    order, at = _groups(v, w)
+                    held.append((v[order][at], w[order][at], np.diff(np.append(at, len(v)))))
+                    size += len(at)
+                if size >= FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+    return run
+
+
+def _place(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether x is among the sorted keys, where)."""
+    i = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
+    return (keys[i] == x) if len(keys) else np.zeros(len(x), bool), i
+
+
+def _bigram_blocks(parts: int, words: dict[int, tuple[int, int]], pairs: dict[tuple[int, int], int]):
     """(part, block) with columns v, w (both as differences), document, tf, own count of v as context and own
-    count of w (both less tf); ids holds the documents."""
-    def flush(held: list) -> Iterator[tuple[int, bytes, bytes]]:
-        v, w, ref, tf, octx, own = (np.concatenate(c) for c in zip(*held))
+    count of w (both less tf); ids holds the documents. Entries of ``pairs`` become sum blocks (n set)."""
+    hot = np.array(sorted(words), np.int64)
+    count, context = (np.array([words[k][j] for k in hot.tolist()], np.int64) for j in (0, 1))
+    pair = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    key = _mix_of(pair[:, 0], pair[:, 1])
+    pair, key = pair[np.argsort(key)], np.sort(key)
+    pair_count = np.array([pairs[v, w] for v, w in pair.tolist()], np.int64)
+    kind = [pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+
+    def known(v, w, ref, tf, octx, own):
+        """(entries of frequent bigrams, their sum blocks)."""
+        at = np.flatnonzero(_place(hot, v)[0] & _place(hot, w)[0]) if len(key) else np.zeros(0, np.int64)
+        found, i = _place(key, _mix_of(v[at], w[at]))
+        found &= (pair[i, 0] == v[at]) & (pair[i, 1] == w[at]) if len(key) else False
+        at, i = at[found], i[found]
+        if not len(at):
+            return at, None
+        tf = tf[at].astype(np.int64)
+        others = pair_count[i] - tf
+        c, u = context[_place(hot, v[at])[1]] - tf - octx[at], count[_place(hot, w[at])[1]] - tf - own[at] + 1
+        term = np.where(others > 0, np.log(np.maximum(others, 1)) - np.log(np.maximum(c, 1)), math.log(ALPHA) + np.log(np.maximum(u, 1)))
+        return at, _sum_blocks(ref[at], _fixed(term) * tf, tf * (others > 0), parts)
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate(c) for c in zip(*held)]
+        done, sums = known(*cols)
+        if sums is not None:
+            yield sums
+            cols = [np.delete(c, done) for c in cols]
+        if blocks := list(dealt(*cols)):
+            part, data, ids = zip(*blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((part, data, ids, [None] * len(part)), kind)], ["part", "data", "ids", "n"])
+
+    def dealt(v, w, ref, tf, octx, own) -> Iterator[tuple[int, bytes, bytes]]:
         p = np.where(np.isin(v, hot), _mix_of(v, w), _mix_of(v)) % np.uint64(parts)
         order = np.lexsort((ref, w, v, p))
         cut = np.searchsorted(p[order], np.arange(parts + 1).astype(np.uint64))
@@ -132,19 +206,12 @@ def _bigram_blocks(parts: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def table(blocks):
-            part, data, ids = zip(*blocks)
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary()), pa.array(ids, pa.binary())], ["part", "data", "ids"])
         for batch in batches:
             refs = batch.column(0).to_numpy()
             for a in range(0, batch.num_rows, 512):
-                w, off = _words(X.as_bytes(batch.column(1).slice(a, 512)))
+                doc, v, w = _bigrams(X.as_bytes(batch.column(1).slice(a, 512)))
                 if not len(w):
                     continue
-                doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-                v = np.concatenate([[0], w[:-1]])
-                v[off[:-1][np.diff(off) > 0]] = int(START)
                 order, at = _groups(doc, v, w)                          # one entry per document and bigram
                 tf = np.diff(np.append(at, len(w)))
                 d, v, x = doc[order][at], v[order][at], w[order][at]
@@ -156,10 +223,10 @@ def _bigram_blocks(parts: int, hot: np.ndarray):
                 held.append((v, x, refs[a:a + 512][d], *(c.astype(np.int32) for c in (tf, octx - tf, own - tf))))
                 size += len(w)
                 if size >= FLUSH:
-                    yield table(flush(held))
+                    yield from flush(held)
                     held, size = [], 0
         if held:
-            yield table(flush(held))
+            yield from flush(held)
     return run
 
 
@@ -168,15 +235,12 @@ def _fixed(x: np.ndarray) -> np.ndarray:
 
 
 def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
-    """Blocks of whole partitions -> blocks of sums per document (n set) and of unseen words."""
+    """Blocks of whole partitions -> blocks of sums per document (n set) and of unseen words; sum blocks that
+    came along are merged."""
     keys = np.array(sorted(hot), np.int64)
     count = np.array([hot[k][0] for k in keys.tolist()], np.int64)
     context = np.array([hot[k][1] for k in keys.tolist()], np.int64)
 
-    def known(x):
-        i = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
-        return (keys[i] == x) if len(keys) else np.zeros(len(x), bool), i
-
     def part(blocks: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         cols, refs = [], []
         for data, ids in blocks:
@@ -191,14 +255,14 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
         c2 = _spread(np.add.reduceat(tf, s), s, len(v))
         _, s = _groups(v)
         ctx = _spread(np.add.reduceat(tf, s), s, len(v))
-        is_hot, i = known(v)
+        is_hot, i = _place(keys, v)
         if len(keys):
             ctx = np.where(is_hot, context[i], ctx)
         seen = c2 > tf
         # (log of a count of 0 is never taken: a seen bigram has another document's context too)
         term = np.where(seen, np.log(np.maximum(c2 - tf, 1)) - np.log(np.maximum(ctx - tf - octx, 1)), math.log(ALPHA))
         del c2, ctx, octx
-        w_hot, i = known(w)
+        w_hot, i = _place(keys, w)
         now = ~seen & w_hot
         if now.any():
             term = np.where(now, term + np.log(np.maximum(count[i] - tf - own + 1, 1)), term)
@@ -222,7 +286,11 @@ def _scored_bigrams(parts: int, hot: dict[int, tuple[int, int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blocks in _by_part(batches):
-            yield from part(blocks)
+            if terms := _terms(blocks):
+                yield _sum_blocks(*terms, parts)
+                del terms
+            if entries := [(data, ids) for data, ids, n in blocks if n is None]:
+                yield from part(entries)
     return run
 
 
@@ -315,10 +383,14 @@ def score(docs: DataFrame, per_partition: int = PER_PARTITION) -> DataFrame:
     total = int(table.agg(F.sum("n")).first()[0] or 0)
     parts = max(1, math.ceil(total / per_partition))
     # fewer than 4 x partitions words (and the start mark) can hold such a share
-    frequent = table.filter((F.greatest("n", "ctx") > max(1, total // (4 * parts))))
+    share = max(1, total // (4 * parts))
+    frequent = table.filter((F.greatest("n", "ctx") > share))
     hot = {r.word: (r.n, r.ctx) for r in frequent.collect()}
-    blocks = docs.select("ref", "text").mapInArrow(_bigram_blocks(parts, np.array(sorted(hot), np.int64)), "part int, data binary, ids binary")
+    both = docs.select("text").mapInArrow(_frequent_pairs(np.array(sorted(hot), np.int64)), "v long, w long, n long")
+    # both words of such a bigram are frequent, so fewer than 4 x partitions bigrams are left
+    pairs = {(r.v, r.w): r.n for r in both.groupBy("v", "w").agg(F.sum("n").alias("n")).filter(F.col("n") > share).collect()} if hot else {}
     kind = "part int, data binary, ids binary, n long"
+    blocks = docs.select("ref", "text").mapInArrow(_bigram_blocks(parts, hot, pairs), kind)
     first = blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_scored_bigrams(parts, hot), kind)
     words = table.filter("n > 0").select("word", "n").mapInArrow(_vocabulary_blocks(parts), kind)
     second = first.union(words).repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_scored_words(parts), kind)

@@ -77,3 +77,26 @@ def test_own_repeats_give_no_score(spark):
     total = sum(len(t.split()) for _, t in rows)
     for k in (30, 300, 3000):
         assert got[1000 + k] == pytest.approx(math.log(L.ALPHA / (total - k + 1)), abs=1e-5)
+
+
+def test_bigram_of_every_document_is_not_gathered(spark, monkeypatch):
+    """A stock phrase in every row, rows repeated under one id included, does not fill a partition."""
+    r = random.Random(9)
+    rows = [(i, "stock phrase here " + " ".join(f"w{r.randrange(50)}" for _ in range(4))) for i in range(400)]
+    rows += [(7, "stock phrase")] * 100 + [(900 + i, "stock phrase") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    seen = {}
+    blocks = L._bigram_blocks
+
+    def spy(parts, *a):
+        seen.update(parts=parts, run=blocks(parts, *a))
+        return seen["run"]
+    monkeypatch.setattr(L, "_bigram_blocks", spy)
+    check(L.score(df, 300).collect(), brute(rows))
+    batch = L.pa.RecordBatch.from_arrays([L.pa.array(range(len(rows))), L.pa.array([t for _, t in rows])], ["ref", "text"])
+    sizes = Counter()
+    for b in seen["run"](iter([batch])):
+        for p, data, n in zip(*(b.column(c).to_pylist() for c in ("part", "data", "n"))):
+            if n is None:
+                sizes[p] += len(L.unpack(data)[0])
+    assert max(sizes.values()) <= 2 * 300
