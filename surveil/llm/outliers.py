@@ -9,8 +9,12 @@ the half of the group with the smallest distances, recompute mean and covariance
 Each step is one aggregate of sums and products per group (pre-aggregated before the shuffle) and
 one histogram of distances per group, from which the half's cut is read; no group is ever gathered.
 Statistics are kept on an integer grid, so all sums are exact and do not depend on task order.
-``FLOOR`` is added to the variances, so a statistic that hardly varies in a group (most documents
-have no symbols at all) neither makes the scatter singular nor rejects tiny deviations.
+The estimate is then reweighted: mean and covariance of all rows within the 0.975 quantile of it, and
+rows beyond the 0.999 quantile of that are rejected. ``FLOOR`` is added to the variances, so a statistic that does not vary in the half (most documents have
+no symbols, repeated lines or repeated phrases at all) does not make the scatter singular. It is at most
+a fifth of each statistic's variance over all documents of sf0.1 (0.011, 0.105, 0.0058, 0.0053). From a
+centre of zero, one statistic alone rejects beyond 0.07 symbols a word, 1.9 % repeated lines or 1.9 %
+words in repeated phrases.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from surveil.session import stored
 
 STATS = ("z_length", "z_symbols", "z_lines", "z_repeats")
 SCALE = (0.25, 0.25, 0.25, 0.25)      # scales of the first distances
-FLOOR = 0.02                           # variance added to each statistic (0.14 squared)
+FLOOR = 0.001                          # variance added to each statistic (0.032 squared)
 CONSISTENCY = 1.0 / 0.4                # half of a 4-variate normal understates its variance by about this
 STEPS = 4
 GRID = 1 << 16                         # steps of the statistics per unit
-LIMIT = 33.4                           # chi-square, 4 degrees of freedom, upper tail 1e-6
+NEAR = 11.143                          # chi-square, 4 degrees of freedom, 0.975: rows of the reweighted estimate
+REWEIGHTED = 1.065                     # rows below NEAR understate a 4-variate normal's variance by about this
+LIMIT = 18.467                         # chi-square, 4 degrees of freedom, 0.999
 LEAST = 10                             # groups with a smaller half borrow the estimate of their language, then of all
 BINS = 64                              # distance bins per factor of e
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -153,7 +159,13 @@ def _mcd(good: DataFrame, keys: list[str]) -> DataFrame:
     est = stored(start, "mcd")
     for _ in range(STEPS):
         est = stored(_estimate(_half(_with_distance(good, est, keys), keys), keys, CONSISTENCY), "mcd")
-    return est
+    return _reweighted(good, est, keys)
+
+
+def _reweighted(good: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean and Cholesky factor from all rows within NEAR of the estimate; n stays the size of the half."""
+    near = _with_distance(good, est, keys).filter(F.col("d2") <= NEAR)
+    return _estimate(near, keys, REWEIGHTED).drop("n").join(est.select(*keys, "n"), keys)
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -81,3 +81,23 @@ def test_estimate_matches_numpy(spark):
 def test_no_python_in_the_plan(spark):
     plan = O.transformed(O.statistics(spark.read.parquet(f"{SF_SMALL}/documents.parquet")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_moderate_outliers_go(spark):
+    """One statistic off by a moderate amount is enough in a uniform group."""
+    r = random.Random(12)
+
+    def prose(n):
+        return ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n)]
+
+    def lines(w):
+        return "\n".join(" ".join(w[a:a + 5]) for a in range(0, len(w), 5))
+    rows = [(i, lines(prose(200)), "en", "s") for i in range(200)]
+    for i in range(5):
+        w = prose(200)
+        rows.append((1000 + i, lines([x + " |" if k % 7 == 0 else x for k, x in enumerate(w)]), "en", "s"))     # 0.14 symbols a word
+        rows.append((2000 + i, lines(w + w[:20]), "en", "s"))                                                   # 4 of 44 lines again, 18 % repeated
+        rows.append((3000 + i, lines(w) + "\nab cd" * 6, "en", "s"))                                            # 5 of 46 lines again
+    got = {x.doc_id: x for x in O.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(200))
+    assert not any(x.base_failed or x.kept for d, x in got.items() if d >= 1000)
