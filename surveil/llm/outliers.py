@@ -4,8 +4,10 @@ Base rules come from word, symbol, line and repetition counts of the whole text.
 them are judged against their (lang, source) group: four transformed statistics, a minimum-
 covariance-determinant estimate of location and scatter, and rejection by Mahalanobis distance.
 
-The estimate is found by concentration steps: from the coordinate-wise median (fixed scales), take
-the half of the group with the smallest distances, recompute mean and covariance from it, repeat.
+The estimate is found by concentration steps: from a start (fixed scales), take the half of the group
+with the smallest distances, recompute mean and covariance from it, repeat. Each group has STARTS
+starts, the coordinate-wise median and rows drawn by hash; after two steps the FOLLOWED starts with the
+smallest determinants go on until the determinant stops falling, and the smallest one found is kept.
 Each step is one aggregate of sums and products per group (pre-aggregated before the shuffle) and
 one histogram of distances per group, from which the half's cut is read; no group is ever gathered.
 Statistics are kept on an integer grid, so all sums are exact and do not depend on task order.
@@ -30,7 +32,9 @@ STATS = ("z_length", "z_symbols", "z_lines", "z_repeats")
 SCALE = (0.25, 0.25, 0.25, 0.25)      # scales of the first distances
 FLOOR = 0.001                          # variance added to each statistic (0.032 squared)
 CONSISTENCY = 1.0 / 0.4                # half of a 4-variate normal understates its variance by about this
-STEPS = 4
+STARTS = 6
+FOLLOWED = 2
+FALL = 1e-4                            # a smaller fall of the log determinant ends a start
 GRID = 1 << 16                         # steps of the statistics per unit
 NEAR = 11.143                          # chi-square, 4 degrees of freedom, 0.975: rows of the reweighted estimate
 REWEIGHTED = 1.065                     # rows below NEAR understate a 4-variate normal's variance by about this
@@ -115,11 +119,12 @@ def _cholesky(est: DataFrame) -> DataFrame:
                 s = s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             # FLOOR on the diagonal keeps every pivot positive
             est = est.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(FLOOR / 4))) if i == j else s / F.col(f"l_{j}_{j}"))
+    est = est.withColumn("det", reduce(lambda a, b: a + b, [2 * F.log(F.col(f"l_{i}_{i}")) for i in range(len(STATS))]))
     return est.drop(*[_cov(i, j) for i in range(len(STATS)) for j in range(i + 1)])
 
 
 def _estimate(members: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """Mean, Cholesky factor and size per group."""
+    """Mean, Cholesky factor, log determinant and size per group."""
     p = range(len(STATS))
     sums = members.groupBy(*keys).agg(
         F.count("*").alias("n"), *[F.sum(F.col(s).cast("decimal(38,0)")).alias(f"m_{i}") for i, s in enumerate(STATS)],
@@ -136,7 +141,7 @@ def _with_distance(docs: DataFrame, est: DataFrame, keys: list[str]) -> DataFram
     p = range(len(STATS))
     d = _distance([F.col(f"m_{i}") for i in p], {(i, j): F.col(f"l_{i}_{j}") for i in p for j in range(i + 1)})
     cols = [c for c in est.columns if c not in keys]
-    return docs.join(est, keys).withColumn("d2", d).drop(*[c for c in cols if c != "n"])
+    return docs.join(est, keys).withColumn("d2", d).drop(*[c for c in cols if c not in ("n", "start")])
 
 
 def _half(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,17 +154,36 @@ def _half(docs: DataFrame, keys: list[str]) -> DataFrame:
     return docs.withColumn("bin", bin_).join(cut, keys).filter("bin <= cut").drop("bin", "cut", "d2", "n")
 
 
+def _starts(good: DataFrame, keys: list[str]) -> DataFrame:
+    """Centres with fixed scales, STARTS per group: the median and the rows with the smallest hashes. The
+    median is taken on a grid of 1/64, so its buffer holds a bounded number of distinct values."""
+    p = range(len(STATS))
+    row = F.struct(*[(F.col(s) / float(GRID)).alias(f"m_{i}") for i, s in enumerate(STATS)])
+    middle = F.struct(*[(F.median(F.floor(F.col(s) / (GRID / 64))) / 64).alias(f"m_{i}") for i, s in enumerate(STATS)])
+    centres = F.array(middle, *[F.min(F.struct(F.xxhash64(*STATS, F.lit(k)).alias("h"), row.alias("r")))["r"] for k in range(1, STARTS)])
+    start = good.groupBy(*keys).agg(F.count("*").alias("n"), centres.alias("c"))
+    start = start.select(*keys, "n", F.posexplode("c").alias("start", "c")).select(*keys, "start", "n", "c.*")
+    return start.withColumns({f"l_{i}_{j}": F.lit(SCALE[i] if i == j else 0.0) for i in p for j in range(i + 1)} | {"det": F.lit(float("inf"))})
+
+
 def _mcd(good: DataFrame, keys: list[str]) -> DataFrame:
-    """Concentration steps from the median start; one estimate per group. The median is taken on a
-    grid of 1/64, so its buffer holds a bounded number of distinct values."""
-    start = good.groupBy(*keys).agg(F.count("*").alias("n"), *[(F.median(F.floor(F.col(s) / (GRID / 64))) / 64).alias(f"m_{i}") for i, s in enumerate(STATS)])
-    for i in range(len(STATS)):
-        for j in range(i + 1):
-            start = start.withColumn(f"l_{i}_{j}", F.lit(SCALE[i] if i == j else 0.0))
-    est = stored(start, "mcd")
-    for _ in range(STEPS):
-        est = stored(_estimate(_half(_with_distance(good, est, keys), keys), keys, CONSISTENCY), "mcd")
-    return _reweighted(good, est, keys)
+    """The estimate with the smallest determinant per group that concentration steps from all starts find."""
+    each = [*keys, "start"]
+    now, steps = stored(_starts(good, keys), "mcd"), []
+    while True:
+        # a start goes on only while its determinant falls, and FLOOR bounds it from below: this ends
+        step = _estimate(_half(_with_distance(good, now, keys), each), each, CONSISTENCY)
+        steps.append(stored(step.join(now.select(*each, F.col("det").alias("was")), each), "mcd"))
+        now = steps[-1].filter(F.col("det") < F.col("was") - FALL).drop("was")
+        if len(steps) == 2:
+            by_det = Window.partitionBy(*keys).orderBy("det", "start")         # at most STARTS rows
+            best = steps[-1].select("*", F.row_number().over(by_det).alias("place")).filter(F.col("place") <= FOLLOWED)
+            now = best.filter(F.col("det") < F.col("was") - FALL).drop("was", "place")
+        if now.isEmpty():
+            break
+    rest = [c for c in steps[0].columns if c not in (*each, "det", "was")]
+    found = reduce(DataFrame.union, [x.select(*each, "det", *rest) for x in steps])
+    return found.groupBy(*keys).agg(F.min(F.struct("det", "start", *rest)).alias("e")).select(*keys, *[f"e.{c}" for c in rest], "e.det")
 
 
 def _reweighted(good: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
@@ -179,7 +203,13 @@ def judge(docs: DataFrame) -> DataFrame:
         "g_lang": F.coalesce("lang", F.lit("(none)")), "g_source": F.coalesce("source", F.lit("(none)")), "g_all": F.lit(0)}), "statistics")
     good = stats.filter("not base_failed")
     levels = (["g_lang", "g_source"], ["g_lang"], ["g_all"])
-    est = [stored(_mcd(good.select(*keys, *STATS), keys), "mcd") for keys in levels]
+    names = ["g_lang", "g_source", "g_all"]
+    # one search for the groups of all levels; what a level does not use is empty
+    member = [F.struct(F.lit(k).alias("level"), *[F.col(c).cast("string").alias(c) if c in keys else F.lit("").alias(c) for c in names]) for k, keys in enumerate(levels)]
+    members = good.select(F.explode(F.array(*member)).alias("g"), *STATS).select("g.*", *STATS)
+    keys = ["level", *names]
+    found = stored(_reweighted(members, stored(_mcd(members, keys), "mcd"), keys).drop("det"), "mcd")
+    est = [found.filter(F.col("level") == k).drop("level", *[c for c in names if c not in keys]) for k, keys in enumerate(levels)]
     out = stats
     p = range(len(STATS))
     for k, (keys, e) in enumerate(zip(levels, est)):
