@@ -12,11 +12,18 @@ the whole corpus is first searched for those shingles (a set lookup per shingle
 windows are laid only around the hits. Retrieved templates are confirmed by exact containment: the
 distinct template shingles within the window widened by half a window on both sides, at least
 CONTAINED of all.
+
+The shipped table holds notices and their variants, and whole license texts (``license_texts``) cut into
+sections of SECTION words, ids ``<license>-text-<n>``: any section that stands in a document is found,
+also with a changed word, and all sections share one class. Short notices need every word, so each
+wording is a template of its own.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +33,7 @@ from surveil.session import stored
 HASHES = 20
 CONTAINED = 0.8
 MAX_TEMPLATES = 5_000    # the template table is broadcast; larger ones are refused
+SECTION = 64             # words of a section of a license text
 WORD = "[\\p{L}\\p{N}]+"
 
 # fixed values: notices of common licenses and the opening sentences of license texts
@@ -45,6 +53,44 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 
+# further wordings; none of them stands in a notice above
+VARIANTS = {
+    "mit-notice-2": "Released under MIT License", "mit-notice-3": "Licensed under the MIT License", "mit-notice-4": "This project is MIT licensed",
+    "mit-notice-5": "Distributed under the MIT License", "mit-notice-6": "Licensed under MIT License",
+    "apache-2.0-notice-2": "Licensed under the Apache License 2.0", "apache-2.0-notice-3": "Released under the Apache License, Version 2.0",
+    "apache-2.0-notice-4": "Released under the Apache License 2.0", "apache-2.0-notice-5": "Licensed under Apache 2.0",
+    "gpl-2.0-notice": "GNU General Public License, version 2", "gpl-2.0-notice-2": "Licensed under the GPL v2", "gpl-2.0-notice-3": "Licensed under the GPLv2",
+    "gpl-3.0-notice-2": "Licensed under the GPL v3", "gpl-3.0-notice-3": "Licensed under the GPLv3", "gpl-3.0-notice-4": "GNU General Public License v3.0",
+    "lgpl-notice": "GNU Lesser General Public License", "agpl-notice": "GNU Affero General Public License",
+    "mpl-2.0-notice": "Mozilla Public License, Version 2.0", "mpl-2.0-notice-2": "Mozilla Public License, v. 2.0",
+    "bsd-notice": "Licensed under the BSD License", "bsd-notice-2": "Released under the BSD License", "isc-notice": "Licensed under the ISC License",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+           "provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0-notice": "CC0 1.0 Universal", "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.", "cc-by-nc-sa-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-4.0-notice-2": "Creative Commons Attribution 4.0", "cc-by-sa-4.0-notice-2": "Creative Commons Attribution-ShareAlike 4.0",
+    "cc-by-nc-4.0-notice-2": "Creative Commons Attribution-NonCommercial 4.0", "copyright-notice": "Copyright (c)",
+    **{f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}" for x in (
+        "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0",
+        "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense")},
+}
+
+
+@cache
+def _sections() -> dict[str, str]:
+    """Sections of the license texts; the last one of a text ends with it."""
+    out = {}
+    for f in sorted(resources.files("surveil.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        w = re.findall(r"[^\W_]+", f.read_text(encoding="utf-8"))
+        for k, a in enumerate(range(0, len(w), SECTION)):
+            a = max(0, min(a, len(w) - SECTION))
+            out[f"{f.name.removesuffix('.txt')}-text-{k + 1:03d}"] = " ".join(w[a:a + SECTION])
+    return out
+
+
+def shipped() -> dict[str, str]:
+    return TEMPLATES | VARIANTS | _sections()
+
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
@@ -78,8 +124,8 @@ def _minimal(sh: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
-    """(license, text) of the given templates; those without words are left out by ``scan``."""
-    rows = list((TEMPLATES if templates is None else templates).items())
+    """(license, text) of the given templates, or of all shipped ones; those without words are left out by ``scan``."""
+    rows = list((shipped() if templates is None else templates).items())
     return spark.createDataFrame(rows, "license string, text string")
 
 

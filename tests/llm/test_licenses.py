@@ -72,3 +72,22 @@ def test_no_python_in_the_scan(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     plan = L.scan(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_whole_texts_and_wordings(spark):
+    """Any part of a license text is found, with changed words too, and so are other wordings of notices."""
+    rows, want = [], {}
+    for i, (name, text) in enumerate(sorted(L._sections().items())):
+        if i % 9 == 0 or name.startswith(("mit", "bsd")):
+            w = text.split()
+            w[20] = w[40] = "changed"
+            rows.append((i, "some words before " + " ".join(w) + " and after"))
+            want[i] = name
+    for i, (name, text) in enumerate(L.VARIANTS.items()):
+        rows.append((10_000 + i, f"Some words before. {text} and after"))
+        want[10_000 + i] = name
+    got = {r.doc_id: r.licenses.split(",") for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: n for d, n in want.items() if n not in got[d]} == {}
+    prefixes = ("mit", "apache", "gpl-2.0", "gpl-3.0", "lgpl", "agpl", "mpl", "isc", "cc0", "cc-by-sa", "unlicense", "spdx", "copyright", "bsd")
+    assert all(any(n.startswith(p) for n in want.values()) for p in prefixes)
+    assert len(L.shipped()) < L.MAX_TEMPLATES
