@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveil.llm import licenses, mixing, mtree, neardup, ngram_lm, outliers, packing, passages, pii, quality
+from surveil.llm import collocations, licenses, mixing, mtree, neardup, ngram_lm, outliers, packing, passages, pii, quality
 
 
 def tokenizer_path() -> str:
@@ -60,13 +60,18 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(_read(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline              # stands at the repository top; it imports this module
     return corpus_pipeline.run(spark, sf_dir)
 
 
 OPERATORS = {f.__name__: f for f in (
-    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality, op6_repeated_passages, op7_quality_rules, op8_top_k, op9_licenses, op10_lm_scores)}
+    op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality, op6_repeated_passages, op7_quality_rules, op8_top_k, op9_licenses, op10_lm_scores,
+    op13_collocations)}
 
 
 #: DuckDB SQL where SQL can express an operator over its whole table; the others have brute-force tests.
@@ -83,6 +88,44 @@ s AS (
   FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op13_collocations": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (
+  SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+u AS (SELECT lang, piece, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+v AS MATERIALIZED (
+  SELECT lang, x, lead(x) OVER (PARTITION BY piece ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY piece ORDER BY i) AS z FROM u),
+g AS (
+  SELECT lang, 1 AS words, x AS phrase FROM v
+  UNION ALL SELECT lang, 2, x || ' ' || y FROM v WHERE y IS NOT NULL
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z FROM v WHERE z IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND a >= 10),
+h AS MATERIALIZED (SELECT lang || chr(31) || phrase AS part, a FROM f WHERE a >= 10),
+k AS (SELECT lang, phrase, a, w, unnest(range(1, words)) AS k FROM c),
+m AS MATERIALIZED (
+  SELECT lang, phrase, a, k, lang || chr(31) || array_to_string(w[1:k], ' ') AS lp,
+         lang || chr(31) || array_to_string(w[k + 1:], ' ') AS rp FROM k),
+s AS (
+  SELECT m.lang, m.phrase, m.a, m.k, x.a AS l, y.a AS r,
+         CAST((1000000::HUGEINT * m.a * m.a) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM m JOIN h AS x ON x.part = m.lp JOIN h AS y ON y.part = m.rp),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM s),
+inside AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a AS f FROM c WHERE words = 3) AS t
+  GROUP BY ALL),
+r AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b LEFT JOIN inside USING (lang, phrase)
+  WHERE i = 1 AND (f IS NULL OR 100 * f < 50 * a))
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score FROM r JOIN n USING (lang) WHERE r.rank <= 2000
 """,
 }
 

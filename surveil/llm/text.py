@@ -63,6 +63,16 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
         yield group
 
 
+def run_hashes(body: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each of the consecutive words of ``size`` bytes that make up ``body`` (A-Z hashed as a-z)."""
+    first = np.cumsum(size) - size
+    pos = np.arange(len(body)) - np.repeat(first, size)
+    weight = _R[pos & (_POWERS - 1)]
+    if size.max() > _POWERS:
+        weight = weight * (np.uint64(2) * (pos >> 16).astype(np.uint64) + np.uint64(1))
+    return mix(np.add.reduceat(_BYTE[body] * weight, first) + size.astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, offsets of length documents + 1)."""
     counts = np.zeros(len(texts), np.int64)
@@ -75,13 +85,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not len(starts):
             continue
         size = ends - starts
-        first = np.cumsum(size) - size
-        body = buf[~sep]
-        pos = np.arange(len(body)) - np.repeat(first, size)
-        weight = _R[pos & (_POWERS - 1)]
-        if size.max() > _POWERS:
-            weight = weight * (np.uint64(2) * (pos >> 16).astype(np.uint64) + np.uint64(1))
-        out.append(mix(np.add.reduceat(_BYTE[body] * weight, first) + size.astype(np.uint64)))
+        out.append(run_hashes(buf[~sep], size))
         at = np.cumsum([1] + [len(p) + 1 for _, p in group])
         per = np.diff(np.searchsorted(starts, at))
         np.add.at(counts, [i for i, _ in group], per)
