@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveil.llm import collocations, licenses, mixing, mtree, neardup, negatives, ngram_lm, outliers, packing, passages, pii, quality
+from surveil.llm import collocations, html_text, licenses, mixing, mtree, neardup, negatives, ngram_lm, outliers, packing, passages, pii, quality
 
 
 def tokenizer_path() -> str:
@@ -65,6 +65,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_read(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = {f.__name__: f for f in (
     op1_pii, op2_near_duplicates, op3_mixing, op4_packing, op5_quality, op6_repeated_passages, op7_quality_rules, op8_top_k, op9_licenses, op10_lm_scores,
-    op11_hard_negatives, op13_collocations)}
+    op11_hard_negatives, op12_main_text, op13_collocations)}
 
 
 #: DuckDB SQL where SQL can express an operator over its whole table; the others have brute-force tests.
