@@ -307,3 +307,38 @@ def merkle_ctes(block: int = MERKLE_BLOCK) -> list[str]:
         out.append(f"mk{k} AS (SELECT chain_id, block, first_seq, last_seq, n_leaves, {lvl} AS a FROM mk{k - 1})")
     out.append(f"merkle AS (SELECT chain_id, block, n_leaves, first_seq, last_seq, a[1] AS merkle_root FROM mk{depth})")
     return out
+
+
+def inclusion_ctes(block: int = MERKLE_BLOCK) -> list[str]:
+    """The sibling path of every entry, out of the levels of ``merkle_ctes``."""
+    depth = max(1, (block - 1).bit_length())
+    at = lambda k: f"((seq - first_seq) >> {k})"
+    sib = [f"CASE WHEN {at(k)} % 2 = 1 THEN 'L' || mk{k}.a[{at(k)}] WHEN {at(k)} + 2 <= len(mk{k}.a) THEN 'R' || mk{k}.a[{at(k)} + 2] END" for k in range(depth)]
+    joins = " ".join(f"JOIN (SELECT chain_id, block, a FROM mk{k}) mk{k} USING (chain_id, block)" for k in range(1, depth))
+    return [f"leaf AS (SELECT chain_id, seq, CAST((seq - 1) // {block} AS BIGINT) AS block FROM chain)",
+            f"proofs AS (SELECT chain_id, seq, block, merkle_root, array_to_string(list_filter([{', '.join(sib)}], lambda x: x IS NOT NULL), ',') AS path "
+            f"FROM leaf JOIN (SELECT chain_id, block, first_seq, a FROM mk0) mk0 USING (chain_id, block) "
+            + joins + " JOIN (SELECT chain_id, block, merkle_root FROM merkle) r USING (chain_id, block))"]
+
+
+def consistency_ctes(depth: int = 20) -> list[str]:
+    """Ranges of a consistency proof by level, and roots of ranges by halving lists of hashes."""
+    up = ("list_transform(range(0, CAST(ceil(len(a) / 2) AS BIGINT)), lambda i: CASE WHEN 2 * i + 1 < len(a) "
+          "THEN sha256(a[2 * i + 1] || a[2 * i + 2]) ELSE a[2 * i + 1] END)")
+    out = [
+        "cl AS MATERIALIZED (SELECT chain_id, list(entry_hash ORDER BY seq) AS a, count(*) AS n, CAST(floor(count(*) * 2 / 3) AS BIGINT) + 1 AS m FROM chain GROUP BY 1)",
+        "lv AS (SELECT chain_id, m, n, k, 1 << k AS u, (m - 1) >> k AS mine, (n - 1) >> k AS last, m % (1 << k) = 0 AS whole "
+        f"FROM cl, (SELECT unnest(range(0, {depth})) AS k) t WHERE n >= m)",
+        # the subtree that ends at m is the largest power of two that divides it
+        "rg AS (SELECT chain_id, m, n, -1 AS step, m - max(u) AS lo, m AS hi FROM lv WHERE whole GROUP BY chain_id, m, n "
+        "UNION ALL SELECT lv.chain_id, lv.m, lv.n, k, CASE WHEN mine % 2 = 1 THEN (mine - 1) * u ELSE (mine + 1) * u END, "
+        "CASE WHEN mine % 2 = 1 THEN mine * u ELSE least(lv.n, (mine + 2) * u) END FROM lv "
+        "JOIN (SELECT chain_id, max(u) AS t FROM lv WHERE whole GROUP BY 1) s USING (chain_id) WHERE u >= t AND (mine % 2 = 1 OR mine < last) "
+        "UNION ALL SELECT chain_id, m, n, -2, 0, m FROM cl UNION ALL SELECT chain_id, m, n, -3, 0, n FROM cl)",
+        "h0 AS MATERIALIZED (SELECT rg.chain_id, rg.m, rg.n, step, cl.a[lo + 1:hi] AS a FROM rg JOIN cl USING (chain_id))",
+    ]
+    for k in range(1, depth // 2 + 1):
+        out.append(f"h{k} AS MATERIALIZED (SELECT chain_id, m, n, step, {up} AS a FROM h{k - 1})")
+    out.append(f"consistency AS (SELECT chain_id, m, n, max(CASE WHEN step = -2 THEN a[1] END) AS old_root, max(CASE WHEN step = -3 THEN a[1] END) AS new_root, "
+               f"array_to_string(list(a[1] ORDER BY step) FILTER (WHERE step >= -1), ',') AS proof FROM h{depth // 2} GROUP BY 1, 2, 3)")
+    return out

@@ -246,18 +246,20 @@ def orphan_cancels(spark, sf):
     return L.orphan_cancels(M.stored_silver(spark, sf))
 
 
-@query("order_exec_join", _sql(
+@query("order_exec_join", O.with_ctes(_BASE + [
+    "on_ AS MATERIALIZED (SELECT cl_ord_id, trader_id, symbol, side, transact_time, order_qty, price FROM silver WHERE event_kind = 'NEW')",
+    "xs AS MATERIALIZED (SELECT cl_ord_id, transact_time, exec_id, last_qty, last_px FROM silver WHERE event_kind = 'EXEC')"],
     "SELECT * FROM (SELECT o.cl_ord_id, o.trader_id, o.symbol, o.side, o.transact_time AS order_time, x.transact_time AS exec_time, "
     "x.exec_id, x.transact_time - o.transact_time AS fill_latency_ms, o.order_qty, o.price, x.last_qty, x.last_px "
-    "FROM (SELECT * FROM silver WHERE event_kind = 'NEW') o JOIN (SELECT * FROM silver WHERE event_kind = 'EXEC') x "
-    "ON o.cl_ord_id = x.cl_ord_id) WHERE fill_latency_ms BETWEEN 0 AND 60000"))
+    "FROM on_ o JOIN xs x ON o.cl_ord_id = x.cl_ord_id) WHERE fill_latency_ms BETWEEN 0 AND 60000"))
 def order_exec_join(spark, sf):
     return L.order_exec_join(M.stored_silver(spark, sf), 60_000)
 
 
-@query("uncancelled_orders", O.with_ctes(_BASE + _LINK_CTES,
-       "SELECT s.cl_ord_id, s.trader_id, s.symbol, s.side, s.transact_time, s.order_qty, s.price, s.scenario_type "
-       "FROM silver s WHERE s.event_kind = 'NEW' AND NOT EXISTS (SELECT 1 FROM lc WHERE lc.orig_cl_ord_id = s.cl_ord_id)"))
+@query("uncancelled_orders", O.with_ctes(_BASE + [
+    "un AS MATERIALIZED (SELECT cl_ord_id, trader_id, symbol, side, transact_time, order_qty, price, scenario_type FROM silver WHERE event_kind = 'NEW')",
+    "uc AS MATERIALIZED (SELECT DISTINCT orig_cl_ord_id FROM silver WHERE event_kind = 'CANCEL' AND orig_cl_ord_id IS NOT NULL)"],
+       "SELECT un.* FROM un ANTI JOIN uc ON uc.orig_cl_ord_id = un.cl_ord_id"))
 def uncancelled_orders(spark, sf):
     return L.uncancelled_orders(M.stored_silver(spark, sf)).select(
         "cl_ord_id", "trader_id", "symbol", "side", "transact_time", "order_qty", "price", "scenario_type")
@@ -540,6 +542,67 @@ def merkle_roots(spark, sf):
     return AU.merkle_roots(_chain(spark, sf), O.MERKLE_BLOCK).withColumn("n_leaves", F.col("n_leaves").cast("long"))
 
 
+@query("merkle_inclusion", O.with_ctes(_CHAIN + O.merkle_ctes() + O.inclusion_ctes(), "SELECT * FROM proofs", recursive=True))
+def merkle_inclusion(spark, sf):
+    """The sibling path of every audit entry up to its block's root."""
+    from surveil.operators import merkle as MK
+    p = MK.inclusion_proofs(_chain(spark, sf), O.MERKLE_BLOCK)
+    side = lambda x: F.concat(F.when(x["left"], F.lit("L")).otherwise(F.lit("R")), x["hash"])
+    return p.select("chain_id", "seq", "block", "merkle_root", F.array_join(F.transform("path", side), ",").alias("path"))
+
+
+@query("merkle_inclusion_check", O.with_ctes(_CHAIN + O.merkle_ctes() + O.inclusion_ctes(),
+       "SELECT chain_id, seq, (path = '' OR seq % 5 > 1) AND seq % 5 <> 2 AS ok FROM proofs", recursive=True))
+def merkle_inclusion_check(spark, sf):
+    """Paths checked against the stored roots after every fifth was given a foreign hash, turned around, or moved to another entry."""
+    from surveil.operators import audit as AU
+    from surveil.operators import merkle as MK
+    from surveil.session import cut_lineage
+    chain = cut_lineage(_chain(spark, sf))
+    p = MK.inclusion_proofs(chain, O.MERKLE_BLOCK)
+    kind = F.col("seq") % 5
+    foreign = F.transform("path", lambda x, i: F.struct(x["left"].alias("left"), F.when(i == 0, F.sha2(x["hash"], 256)).otherwise(x["hash"]).alias("hash")))
+    turned = F.transform("path", lambda x: F.struct((~x["left"]).alias("left"), x["hash"].alias("hash")))
+    p = p.withColumns({"path": F.when(kind == 0, foreign).when(kind == 1, turned).otherwise(F.col("path")),
+                       "entry_hash": F.when(kind == 2, F.sha2("entry_hash", 256)).otherwise(F.col("entry_hash"))})
+    return MK.check_inclusion(p, AU.merkle_roots(chain, O.MERKLE_BLOCK))
+
+
+def _heads(chain):
+    """Anchors at two thirds of each chain, and the sizes of both trees."""
+    anchors = chain.groupBy("chain_id").agg((F.floor(F.max("seq") * 2 / 3) + 1).cast("long").alias("n_entries"))
+    return anchors, anchors.select("chain_id", F.col("n_entries").alias("n")), chain.groupBy("chain_id").agg(F.max("seq").alias("n"))
+
+
+@query("merkle_consistency", O.with_ctes(_CHAIN + O.consistency_ctes(), "SELECT * FROM consistency", recursive=True))
+def merkle_consistency(spark, sf):
+    """Proofs that each chain's tree begins with the tree anchored at two thirds of it, with both heads."""
+    from surveil.operators import merkle as MK
+    from surveil.session import cut_lineage
+    chain = cut_lineage(_chain(spark, sf))
+    anchors, old, new = _heads(chain)
+    p = MK.consistency_proofs(chain, anchors)
+    return (p.join(MK.tree_heads(chain, old).toDF("chain_id", "m", "old_root"), ["chain_id", "m"])
+            .join(MK.tree_heads(chain, new).toDF("chain_id", "n", "new_root"), ["chain_id", "n"])
+            .select("chain_id", "m", "n", "old_root", "new_root", F.array_join("proof", ",").alias("proof")))
+
+
+@query("merkle_consistency_check", O.with_ctes(_CHAIN + O.consistency_ctes(),
+       "SELECT chain_id, m, n, chain_id % 4 = 3 AS ok FROM consistency", recursive=True))
+def merkle_consistency_check(spark, sf):
+    """Consistency checked after some chains had an early entry rewritten and rechained, a proof hash forged, or one dropped."""
+    from surveil.operators import merkle as MK
+    from surveil.session import cut_lineage
+    chain = cut_lineage(_chain(spark, sf))
+    anchors, old, new = _heads(chain)
+    kind = F.col("chain_id") % 4
+    rewritten = chain.withColumn("entry_hash", F.when((kind == 0) & (F.col("seq") == 1), F.sha2("entry_hash", 256)).otherwise(F.col("entry_hash")))
+    p = MK.consistency_proofs(rewritten, anchors)
+    forged = F.transform("proof", lambda h, i: F.when(i == F.size("proof") - 1, F.sha2(h, 256)).otherwise(h))
+    p = p.withColumn("proof", F.when(kind == 1, forged).when(kind == 2, F.slice("proof", F.lit(1), F.size("proof") - 1)).otherwise(F.col("proof")))
+    return MK.check_consistency(p, MK.tree_heads(chain, old), MK.tree_heads(rewritten, new))
+
+
 # ---------------------------------------------------------------------------
 # Streaming spike, batch equivalent: per-instrument running quantity by day
 # ---------------------------------------------------------------------------

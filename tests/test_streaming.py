@@ -7,10 +7,11 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from conftest import SF_SMALL, fix, raw_df
 from surveil.operators import links as L
+from surveil.operators import audit as AU
 from surveil.plans import medallion as M
 from surveil.schemas import RAW_FIX_SCHEMA
 from surveil.streaming import medallion as SM
-from surveil.streaming import running
+from surveil.streaming import audit_stream, running
 
 
 def _scratch(spark):
@@ -79,7 +80,6 @@ def test_stream_stream_order_exec_join_equals_batch(spark):
 
 def test_streaming_chain_append_continues_across_batches(spark):
     from surveil.operators import audit as AU
-    from surveil.streaming import audit_stream
     d = _scratch(spark)
     schema = "subsystem string, action string, ref_id string, ts long, payload array<string>"
     rows = [("ml", "ML_SCORED", f"r{i:03d}", 100 + i, [str(i)]) for i in range(30)]
@@ -102,6 +102,30 @@ def test_streaming_chain_append_continues_across_batches(spark):
     assert got.exceptAll(batch).count() == 0
 
 
+def test_stream_takes_over_a_batch_log(spark):
+    """Batch, then stream, then verify: the streamed entries go on from the anchored heads, also after a restart."""
+    d = _scratch(spark)
+    schema = "subsystem string, action string, ref_id string, ts long, payload array<string>"
+    rows = [("pipeline", "TABLE_WRITTEN", f"ref-{i:03d}", 1000 + i, [f"p{i}", None]) for i in range(45)]
+    batch = AU.append(AU.assign_chains(spark.createDataFrame(rows[:20], schema), n_chains=5))
+    batch.write.parquet(f"{d}/log")
+    AU.anchor(spark.read.parquet(f"{d}/log"), 5).write.parquet(f"{d}/anchors")
+
+    def run():
+        s = spark.readStream.schema(schema + ", b int").parquet(f"{d}/in").drop("b")
+        q = (audit_stream.append_stream(s, anchors=spark.read.parquet(f"{d}/anchors")).writeStream.outputMode("append")
+             .option("checkpointLocation", f"{d}/ck").foreachBatch(running.write_updates(f"{d}/out")).trigger(availableNow=True).start())
+        q.awaitTermination(120)
+    for b, part in enumerate((rows[20:33], rows[33:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{d}/in/b={b}")
+        run()
+    whole = spark.read.parquet(f"{d}/log").unionByName(spark.read.parquet(f"{d}/out").select(*AU.CHAIN_COLUMNS))
+    report = AU.verify(whole, spark.read.parquet(f"{d}/anchors")).collect()
+    assert all(r.verified for r in report) and sum(r.n_entries for r in report) == 45
+    at_once = AU.append(AU.assign_chains(spark.createDataFrame(rows, schema), n_chains=5))
+    assert whole.exceptAll(at_once.select(*AU.CHAIN_COLUMNS)).count() == 0
+
+
 FAR = 4_102_444_800_000        # an event this late moves the watermark past every window
 
 
