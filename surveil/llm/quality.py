@@ -6,9 +6,12 @@ log p_target - log p_raw. N-grams are taken from two views of the token stream,
 buckets: surface tokens (1- and 2-grams) and token shapes (1-, 2- and 3-grams of kind, case, length
 class and "repeats one of the last three words"), so that unseen words still carry evidence.
 
-Resampling keeps k documents by Gumbel top-k on keys ``sharpness * weight per n-gram + Gumbel noise``;
-the noise is drawn from a seeded hash of the doc_id, so a rerun draws the same sample. k is the
-number of documents at or above a cut that is fitted on labelled rows (see ``fit``).
+Resampling keeps k documents by Gumbel top-k on keys ``sharpness * weight per n-gram + Gumbel noise``,
+which draws without replacement in proportion to exp(sharpness * weight). The noise comes from a seeded
+hash of the doc_id, so a rerun draws the same sample. k is a parameter; by default it is the number of
+documents at or above a cut that is fitted on labelled rows (see ``fit``). The default sharpness draws
+among documents within a few tenths of the cut and leaves those far from it alone, as a filter of a
+corpus should; a sharpness of order 1 with a given k resamples the whole corpus.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ SURFACE = 1 << 14        # buckets of the surface view
 SHAPE = 1 << 12          # buckets of the shape view
 SMOOTH = 1.0             # added to every bucket
 LABELLED = 20_000        # most labelled rows used to fit (broadcast: 20 000 x 16 bytes)
-SHARPNESS = 200.0        # weight per n-gram -> Gumbel location; noise then matters near the cut only
+SHARPNESS = 20.0         # weight per n-gram -> Gumbel location: a document 0.15 below the cut is drawn with odds of e**-3
 
 _KIND = np.full(256, 2, np.uint8)                      # other bytes: punctuation
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -41,32 +44,36 @@ _LOWER[97:123] = 1
 _DIGIT[48:58] = 1
 
 
-def _tokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, hash, shape) of the tokens of a byte buffer: runs of one kind, punctuation apart from words."""
+def _tokens(buf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, hash, kind, size, case) of the tokens of a byte buffer: runs of one kind, punctuation apart from words."""
     kind = _KIND[buf]
     cut = np.flatnonzero(kind[1:] != kind[:-1]) + 1
     starts = np.concatenate([[0], cut])
     ends = np.concatenate([cut, [len(buf)]])
     k = kind[starts]
     starts, ends, k = starts[k > 0], ends[k > 0], k[k > 0]
-    if not len(starts):
-        return starts, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    inside = kind > 0
-    body = buf[inside]
     size = ends - starts
+    if not len(starts):
+        return starts, np.empty(0, np.uint64), k, size, size
+    body = buf[kind > 0]
     first = np.cumsum(size) - size
     pos = np.arange(len(body)) - np.repeat(first, size)
     h = X.mix(np.add.reduceat(X._BYTE[body] * X._R[pos & 0xFFFF], first) + size.astype(np.uint64))
     up, low, dig = (np.add.reduceat(t[body], first) for t in (_UPPER, _LOWER, _DIGIT))
     case = np.where(dig > 0, 3, np.where((up >= 2) & (low == 0), 2, np.where(up > 0, 1, 0)))
+    return starts, h, k, size, case
+
+
+def _shapes(h: np.ndarray, k: np.ndarray, size: np.ndarray, case: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Shape of each token; a word's repetition is looked up among the last three words of its own document."""
     again = np.zeros(len(h), bool)
     words = np.flatnonzero(k == 1)
-    w = h[words]
+    w, d = h[words], doc[words]
     for lag in (1, 2, 3):
-        again[words[lag:]] |= w[lag:] == w[:-lag]
+        again[words[lag:]] |= (w[lag:] == w[:-lag]) & (d[lag:] == d[:-lag])
     shape = np.where(k == 2, 64 + np.minimum(size, 8) + (h % np.uint64(32)).astype(np.int64) * 16,
                      case * 8 + np.minimum(size // 4, 3) + 4 * again)
-    return starts, h, shape.astype(np.uint64) + np.uint64(1)
+    return shape.astype(np.uint64) + np.uint64(1)
 
 
 def _buckets(h: np.ndarray, shape: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +90,32 @@ def _buckets(h: np.ndarray, shape: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
 
 
 def ngrams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of (bucket, index of the text); long texts come in pieces cut between words."""
-    for group in X._pieces(texts):
-        buf = np.frombuffer(b" ".join(p for _, p in group) + b" ", np.uint8)
-        at = np.cumsum([0] + [len(p) + 1 for _, p in group])
-        starts, h, shape = _tokens(buf)
-        piece = np.searchsorted(at, starts, side="right") - 1
-        yield _buckets(h, shape, np.array([i for i, _ in group], np.int64)[piece])
+    """Batches of (bucket, index of the text). A long text's bytes are read in pieces cut between words, its tokens
+    are then put together: no n-gram is lost, and none depends on the other texts of a batch."""
+    short: list[tuple[int, bytes]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if len(t) > X.CHUNK:
+            parts = [_tokens(np.frombuffer(p, np.uint8))[1:] for group in X._pieces([t]) for _, p in group]
+            h, k, n, case = (np.concatenate(c) for c in zip(*parts))
+            doc = np.full(len(h), i, np.int64)
+            yield _buckets(h, _shapes(h, k, n, case, doc), doc)
+            continue
+        short.append((i, t))
+        size += len(t)
+        if size >= X.CHUNK:
+            yield _short_ngrams(short)
+            short, size = [], 0
+    if short:
+        yield _short_ngrams(short)
+
+
+def _short_ngrams(group: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    buf = np.frombuffer(b" ".join(p for _, p in group) + b" ", np.uint8)
+    at = np.cumsum([0] + [len(p) + 1 for _, p in group])
+    starts, h, k, size, case = _tokens(buf)
+    doc = np.array([i for i, _ in group], np.int64)[np.searchsorted(at, starts, side="right") - 1]
+    return _buckets(h, _shapes(h, k, size, case, doc), doc)
 
 
 def histogram(texts: list[bytes]) -> np.ndarray:
@@ -134,17 +160,17 @@ def best_cut(score: np.ndarray, good: np.ndarray) -> float:
 
 
 class Model:
-    """Log ratio per bucket, cut on the mean weight, and the seed of the Gumbel draw."""
+    """Log ratio per bucket, cut on the mean weight, and the seed and sharpness of the Gumbel draw."""
 
-    def __init__(self, ratio: np.ndarray, cut: float, seed: int = 0):
-        self.ratio, self.cut, self.seed = ratio, cut, seed
+    def __init__(self, ratio: np.ndarray, cut: float, seed: int = 0, sharpness: float = SHARPNESS):
+        self.ratio, self.cut, self.seed, self.sharpness = ratio, cut, seed, sharpness
 
     def scorer(self):
         """Arrow UDF (text, hash of the doc_id) -> struct<n, weight, score, key>.
 
         ``score`` is the weight per n-gram; ``key`` adds the Gumbel noise. A text without n-grams
         (null, empty, only separators) has a null score and key."""
-        ratio = self.ratio.astype(np.float32)
+        ratio, sharpness = self.ratio.astype(np.float32), self.sharpness
 
         @F.arrow_udf("struct<n:bigint,weight:double,score:double,key:double>")
         def score(text: pa.Array, noise: pa.Array) -> pa.Array:
@@ -154,7 +180,7 @@ class Model:
             mean = w / np.maximum(n, 1)
             none = n == 0
             return pa.StructArray.from_arrays(
-                [pa.array(n), pa.array(w), pa.array(mean, mask=none), pa.array(SHARPNESS * mean - np.log(-np.log(u)), mask=none)],
+                [pa.array(n), pa.array(w), pa.array(mean, mask=none), pa.array(sharpness * mean - np.log(-np.log(u)), mask=none)],
                 ["n", "weight", "score", "key"])
         return score
 
@@ -177,7 +203,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, labelled: int = LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, labelled: int = LABELLED, sharpness: float = SHARPNESS) -> Model:
     """Raw counts over every row of ``docs``; target counts and the cut from at most ``labelled``
     labelled documents (the first by a seeded hash of doc_id; quality 1 is the target).
 
@@ -193,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, labelled: int = LABEL
               .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())
     raw, target = np.zeros(SURFACE + SHAPE), np.zeros(SURFACE + SHAPE)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
-    model = Model(log_ratio(target, raw), -math.inf, seed)
+    model = Model(log_ratio(target, raw), -math.inf, seed, sharpness)
     sample = text.join(F.broadcast(lab), "doc_id")
     scored = (sample.select("doc_id", "good", model.column(sample).alias("s")).filter("s.score is not null")
               .groupBy("doc_id").agg(F.avg("s.score").alias("score"), F.max("good").alias("good")).toPandas())
@@ -208,20 +234,25 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         F.col("s.score").alias("score"), F.col("s.key").alias("key"))
 
 
-def threshold(scores: DataFrame, model: Model) -> float:
-    """Key of the last document that Gumbel top-k keeps; k = documents scoring at or above the cut."""
-    k = scores.filter(F.col("score") >= model.cut).count()
-    return math.inf if not k else kth_largest(scores, "key", k)
+def threshold(scores: DataFrame, model: Model, k: int | None = None) -> float:
+    """Key of the last document that Gumbel top-k keeps; by default k = documents scoring at or above the cut."""
+    if k is None:
+        k = scores.filter(F.col("score") >= model.cut).count()
+    if not k:
+        return math.inf
+    last = kth_largest(scores, "key", k)
+    return -math.inf if last is None else last          # fewer documents than k: all of them
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, k: int | None = None, sharpness: float = SHARPNESS) -> DataFrame:
     """``scored`` plus ``kept``. Rows with a null score are not kept; ties at the last key all are.
 
     Only doc_id and text are read, so other columns may have any name. Null doc_ids draw the noise
-    of a null and are never labelled. An empty table gives an empty result."""
-    model = fit(docs, labels, seed)
+    of a null and are never labelled. Texts of any length are read whole, and a document's score and key depend
+    on nothing but its text, its doc_id and the model. An empty table gives an empty result."""
+    model = fit(docs, labels, seed, sharpness=sharpness)
     scores = stored(scored(docs, model), "scores")
-    last = threshold(scores, model)
+    last = threshold(scores, model, k)
     return scores.withColumn("kept", F.coalesce(F.col("key") >= F.lit(last), F.lit(False)))
 
 

@@ -1,7 +1,9 @@
 import math
 import random
+import re
 
 import numpy as np
+import pytest
 
 from surveil.llm import quality as Q
 from surveil.llm.selection import kth_largest
@@ -40,11 +42,89 @@ def test_histogram_and_weights_match_plain_counts():
     assert n[1] == 21
 
 
-def test_long_text_in_pieces_keeps_counts(monkeypatch):
-    t = " ".join(f"w{i}" for i in range(5000)).encode()
-    whole = Q.histogram([t]).sum()
+def test_long_text_in_pieces_loses_nothing(monkeypatch):
+    t = " ".join(f"w{i % 900} x{i % 7},," for i in range(5000)).encode()
+    whole = Q.histogram([t])
     monkeypatch.setattr(Q.X, "CHUNK", 1000)
-    assert 0.99 * whole < Q.histogram([t]).sum() <= whole
+    assert (Q.histogram([t]) == whole).all() and (Q.histogram([b"a b", t, b"c"]) == whole + Q.histogram([b"a b"]) + Q.histogram([b"c"])).all()
+
+
+def _plain(text):
+    """Buckets of all n-grams of one text, token by token."""
+    toks = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x09-\x0d\x20]+", text)
+    h = [int(Q._tokens(np.frombuffer(t, np.uint8))[1][0]) for t in toks]
+    shapes, words = [], []
+    for t, x in zip(toks, h):
+        if not re.match(rb"[0-9A-Za-z\x80-\xff]", t):
+            shapes.append(64 + min(len(t), 8) + x % 32 * 16 + 1)
+            continue
+        up, low, dig = (len(re.findall(p, t)) for p in (rb"[A-Z]", rb"[a-z]", rb"[0-9]"))
+        case = 3 if dig else 2 if up >= 2 and not low else 1 if up else 0
+        shapes.append(case * 8 + min(len(t) // 4, 3) + 4 * (x in words[-3:]) + 1)
+        words.append(x)
+    out = []
+    for values, orders, base, size in ((h, (1, 2), 0, Q.SURFACE), (shapes, (1, 2, 3), Q.SURFACE, Q.SHAPE)):
+        for n in orders:
+            for i in range(len(values) - n + 1):
+                out.append(base + int(Q.X.gram_hashes(np.array(values[i:i + n], np.uint64), n)[0]) % size)
+    return out
+
+
+def _brute(rows, lab, noise, k=None, sharpness=Q.SHARPNESS):
+    """{doc_id: (score, kept)} of the whole query; noise: {doc_id: hash}."""
+    grams = {d: _plain((t or "").encode()) for d, t in rows}
+    good = {d: min(q for e, q in lab if e == d) == 1 for d, _ in lab if d in grams}
+    raw, target = np.zeros(Q.SURFACE + Q.SHAPE), np.zeros(Q.SURFACE + Q.SHAPE)
+    for d, g in grams.items():
+        for b in g:
+            raw[b] += 1
+            target[b] += good.get(d, False)
+    ratio = np.zeros(len(raw))
+    for part in (slice(0, Q.SURFACE), slice(Q.SURFACE, None)):
+        t, r = target[part] + Q.SMOOTH, raw[part] + Q.SMOOTH
+        ratio[part] = np.log(t / t.sum()) - np.log(r / r.sum())
+    ratio = ratio.astype(np.float32)
+    score = {d: float(np.sum(ratio[g].astype(float))) / len(g) for d, g in grams.items() if g}
+    known = sorted((score[d], y) for d, y in good.items() if d in score)
+    best = max(range(len(known) + 1), key=lambda i: (sum(y for _, y in known[i:]) / sum(y for _, y in known) + sum(not y for _, y in known[:i]) / sum(not y for _, y in known), -i))
+    cut = -math.inf if best == 0 else (known[best - 1][0] + known[min(best, len(known) - 1)][0]) / 2
+    key = {d: sharpness * s - math.log(-math.log((((noise[d] % 2**64) >> 11) + .5) / 2.0**53)) for d, s in score.items()}
+    k = sum(s >= cut for s in score.values()) if k is None else k
+    last = sorted(key.values(), reverse=True)[min(k, len(key)) - 1]
+    return {d: (score.get(d), d in key and key[d] >= last) for d in grams}
+
+
+@pytest.mark.parametrize("k,sharpness", [(None, Q.SHARPNESS), (60, 1.0)])
+def test_whole_query_matches_brute_force(spark, k, sharpness):
+    from pyspark.sql import functions as F
+    rows, lab = _corpus(160)
+    rows = [(d, t) for d, t, _ in rows] + [(900, None), (901, "  ")]
+    lab = [(d, q) for d, q, _ in lab] + [(1, 1), (900, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(lab, "doc_id long, quality int")
+    noise = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(0))).collect()}
+    want = _brute(rows, lab, noise, k, sharpness)
+    for parts in (1, 7):
+        got = {r.doc_id: (r.score, r.kept) for r in Q.resample(docs.repartition(parts), labels, k=k, sharpness=sharpness).collect()}
+        assert {d: kept for d, (_, kept) in got.items()} == {d: kept for d, (_, kept) in want.items()}
+        assert all((a is None) == (want[d][0] is None) and (a is None or math.isclose(a, want[d][0], rel_tol=1e-6, abs_tol=1e-6)) for d, (a, _) in got.items())
+
+
+def test_draw_decides(spark):
+    """Seed and sharpness change the sample; better documents are drawn more often."""
+    rows, lab = _corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    labels = spark.createDataFrame(lab, "doc_id long, quality int, text string")
+    a, b, c = ({r.doc_id for r in Q.resample(docs, labels, seed=s, k=150, sharpness=t).collect() if r.kept} for s, t in ((0, 1.0), (1, 1.0), (0, 1000.0)))
+    assert len(a) == len(b) == len(c) == 150 and a != b and a != c
+    assert len(a & c) > 75
+
+
+def test_scores_do_not_depend_on_the_batch():
+    texts = [b"one two three", b"three one one", b"one", b"Two three!! three"]
+    ratio = np.random.default_rng(0).normal(size=Q.SURFACE + Q.SHAPE)
+    together, _ = Q.weights(texts, ratio)
+    assert np.allclose(together, [Q.weights([t], ratio)[0][0] for t in texts])
 
 
 def _corpus(n, seed=0):
