@@ -1,17 +1,23 @@
 """Exact top-k by inner product with M-trees: paged metric nodes, best-first search.
 
 Rows are dealt to the nearest of a bounded sample of routing vectors, and each routing cell is split
-by a hash into blocks of about ``block`` rows (a cell of equal vectors as well). Every pair of a
-data block and a query block is one task group, so no task holds more than two blocks and the
-queries are never broadcast. Inside a group an M-tree is bulk-loaded over the block: inner nodes
-keep routing vectors, covering radii and distances to the parent's routing vector, leaf pages keep
-their rows and distances to the page's routing vector.
+by a hash into blocks of about ``block`` rows (a cell of equal vectors as well). A small table keeps
+each block's largest norm and largest angle to its routing vector. Every query first searches the
+blocks of its own cell, which gives it a k-th score; then it is sent only to the other blocks whose
+cone and norm leave room for a better one. A task group is one data block and one block of queries, so
+no task holds more than two blocks, queries are never broadcast, and a block's tree is built once per
+block of queries. Inside a group an M-tree is bulk-loaded over the block: inner nodes keep routing
+vectors, covering radii and distances to the parent's routing vector, leaf pages keep their rows and
+distances to the page's routing vector.
 
 For a query q and a ball with centre c and radius r, <q, x> <= <q, c> + |q| r. With the stored
 distance d(c, p) to the parent and the known <q, p>, <q, c> <= <q, p> + |q| d(c, p) bounds a
 child, or a single row of a leaf, without touching its vector. Nodes are visited in the order of
-their bounds until none can beat the k-th score; scores are exact integers. Groups return their
-k best per query, which are merged by one grouped selection.
+their bounds until none can beat the k-th score, the one from the query's own cell included; scores are
+exact integers. Groups return their k best per query, which are merged by one grouped selection.
+
+Where vectors have no neighbourhoods (random directions in many dimensions) the bounds cannot cut,
+and nearly every vector is compared: the tree then costs its building, the pages keep the rest vectorised.
 """
 
 from __future__ import annotations
@@ -25,21 +31,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveil.llm.blocks import CELLS, deal, integer_vectors, search, stack, unit
 from surveil.session import stored
 
-PAGE = 64                # rows of a leaf page
+PAGE = 256               # rows of a leaf page
 FAN = 8                  # children of an inner node
 PIVOTS = 64              # routing vectors sampled to deal rows into cells
 SLACK = 1e-6             # relative float slack of the bounds
 
 
-def integer_vector(embedding: Column) -> Column:
-    """floor(256 x) of each component as long; null if the vector or a component is null or not finite."""
-    ok = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(F.coalesce(ok, F.lit(False)) & (F.size(embedding) > 0),
-                  F.transform(embedding, lambda x: F.floor(x.cast("double") * 256)))
-
-
 class Tree:
     """M-tree over the rows of one block."""
 
@@ -71,8 +71,8 @@ class Tree:
         parts = [rows[cell == k] for k in range(len(seeds))]
         return node | {"kids": [self._build(p, centre) for p in parts if len(p)]}
 
-    def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to smaller ids, without the row of id ``own``."""
+    def search(self, q: np.ndarray, own: int, k: int, need: float = -math.inf) -> list[tuple[int, int]]:
+        """The k best (score, id), ties to smaller ids, without the row of id ``own``; scores below ``need`` are not looked for."""
         qf = q.astype(np.float64)
         length = math.sqrt(float(qf @ qf))
         best: list[tuple[int, int]] = []                               # heap of (score, -id)
@@ -81,7 +81,7 @@ class Tree:
         heap = [(-(top + length * self.root["r"]), next(tick), self.root, top)]
         while heap:
             bound, _, node, at = heapq.heappop(heap)
-            floor_ = best[0][0] if len(best) == k else -math.inf
+            floor_ = max(best[0][0], need) if len(best) == k else need
             if -bound + SLACK * (1 + abs(bound)) < floor_:
                 break
             if "rows" in node:
@@ -89,9 +89,8 @@ class Tree:
                 rows = node["rows"][may + SLACK * (1 + np.abs(may)) >= floor_]
                 self.computed += len(rows)
                 scores, ids = self.v[rows] @ q, self.ids[rows]
-                if len(best) == k:
-                    keep = scores >= floor_
-                    scores, ids = scores[keep], ids[keep]
+                keep = scores >= floor_
+                scores, ids = scores[keep], ids[keep]
                 order = np.lexsort((ids, -scores))
                 taken = 0
                 for i in order:
@@ -120,10 +119,11 @@ def _search_block(k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
+            dim = int(rows["dim"].iloc[0])
             rows = rows.sort_values("vec_id")
-            tree = Tree(rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()).astype(np.int64))
-            for own, q in zip(queries["vec_id"], queries["v"]):
-                out += [(own, i, s) for s, i in tree.search(np.asarray(q, np.int64), own, k)]
+            tree = Tree(rows["vec_id"].to_numpy(np.int64), stack(rows["v"], dim))
+            for own, q, need in zip(queries["vec_id"], stack(queries["v"], dim), queries["need"]):
+                out += [(own, i, s) for s, i in tree.search(q, own, k, need)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
     return run
 
@@ -133,38 +133,33 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, block: int = 4096, id_c
 
     Score: inner product of the integer vectors; ties to the smaller id. Rows with a null id, or a
     vector that is null, empty or holds null or non-finite components take no part, neither as
-    queries nor as candidates. Repeated rows count once; if an id has several vectors the smallest
-    one (array order) stands for it. Vectors are compared with vectors of the same length only.
+    queries nor as candidates. Repeated rows count once; if an id has several vectors the
+    smallest (length, bytes of the integers) stands for it. Vectors are compared with vectors of the same length only.
     A query without candidates gives no rows; an empty table gives an empty result.
     """
-    v = (rows.filter(F.col(id_col).isNotNull()).withColumn("__q", is_query)
-         .select(F.col(id_col).cast("long").alias("vec_id"), integer_vector(F.col(vector)).alias("v"), F.col("__q").alias("q"))
-         .filter("v is not null").groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-         .withColumn("dim", F.size("v")))
+    v = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("label"), F.coalesce(is_query, F.lit(False)).alias("anchor"),
+                    F.col(vector).cast("array<double>").alias("v")).mapInArrow(integer_vectors, "vec_id long, label long, anchor boolean, dim int, v binary")
+    v = v.filter("dim > 0").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("s"), F.max("anchor").alias("anchor")).select(
+        "vec_id", F.lit(0).cast("long").alias("label"), "anchor", "s.dim", "s.v")
     v = stored(v, "vectors")
-    pivots = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select(F.collect_list("v").alias("p"))
-    table = [list(x) for x in (pivots.first() or [[]])[0]]             # at most PIVOTS vectors
-    if table:
-        near = [F.when(F.col("dim") == len(p), F.aggregate(F.zip_with("v", F.array(*map(F.lit, p)), lambda a, b: (a - b) * (a - b)),
-                                                           F.lit(0).cast("long"), lambda s, x: s + x)) for p in table]
-        cell = F.array_position(F.array(*near), F.least(*near)) if len(table) > 1 else F.lit(1)
-        cell = F.coalesce(cell, F.lit(0))
-    else:
-        cell = F.lit(0)
-    cells = stored(v.withColumn("cell", cell.cast("long")), "cells")
+    pivots: dict[int, list[bytes]] = {}
+    for r in v.filter("anchor").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("dim", "v").collect():
+        pivots.setdefault(r.dim, []).append(bytes(r.v))
+    cells = stored(v.mapInArrow(deal({dim: unit(stack(p, dim))[0] for dim, p in pivots.items()}), CELLS), "cells")
     blocks = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
-    dealt = cells.join(blocks, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    groups = blocks.select("dim", "cell", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("part"))
-    asks = cells.filter("q").select("dim", "vec_id", "v")
+    dealt = cells.join(blocks, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks")
+    known = stored(dealt.groupBy("dim", "cell", "part").agg(F.max("norm").alias("longest"), F.max("angle").alias("widest")), "blocks")
+    asks = cells.filter("anchor")
     n = asks.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(block)).alias("asks"))
-    asks = asks.join(n, "dim").withColumn("ask", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("asks"))).drop("asks")
-    # each data block meets each query block of its dimension
-    left = dealt.join(n, "dim").withColumn("ask", F.explode(F.expr("sequence(0L, asks - 1)"))).select("dim", "cell", "part", "ask", "vec_id", "v")
-    right = asks.join(groups, "dim").select(*[F.col(c).alias(f"{c}_") for c in ("dim", "cell", "part", "ask", "vec_id", "v")])
-    right = right.toDF("dim", "cell", "part", "ask", "vec_id", "v")
-    keys = ["dim", "cell", "part", "ask"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _search_block(k), "query_id long, vec_id long, score long")
+    asks = asks.join(n, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("asks"))).drop("asks")
+    kind = "query_id long, vec_id long, score long"
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+
+    def top(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    nothing = F.lit(float("-inf"))
+    near = stored(top(search(dealt, known, asks.withColumn("need", nothing), _search_block(k), kind, ["need"], True)), "near")
+    least = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    needs = asks.join(least, "vec_id", "left").withColumn("need", F.when(F.col("n") >= k, F.col("least").cast("double")).otherwise(nothing)).drop("n", "least")
+    far = search(dealt, known, needs, _search_block(k), kind, ["need"], False)
+    return top(near.drop("rank").unionByName(far)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

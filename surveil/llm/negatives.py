@@ -16,81 +16,20 @@ Positives come first. Their scores give the window of each (anchor, positive) fo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveil.llm.blocks import CELLS, SLACK, angles_between, deal, integer_vectors, search, stack, unit
 from surveil.session import stored
 
 PIVOTS = 64              # routing vectors, sampled from the anchors
 SHARD = 4096             # rows of a shard
 BLOCK = 4096             # anchors of a block
 STEP = 512               # rows of a list walked at a time
-SLACK = 1e-6             # float slack of the bounds, times |q| |x|
-
-CELLS = "vec_id long, label long, anchor boolean, dim int, v binary, norm double, cell int, angle double, angles array<double>"
-
-
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, anchor, dim, v): integer vectors as bytes, without rows that take no part."""
-    for batch in batches:
-        column = batch.column(3)
-        ok = np.array(column.is_valid()) & np.array(batch.column(0).is_valid()) & np.array(batch.column(1).is_valid())
-        keep = batch.filter(pa.array(ok))
-        column = keep.column(3)
-        size = np.asarray(column.value_lengths()).astype(np.int64)
-        flat = column.flatten()
-        x = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64)
-        at = np.concatenate([[0], np.cumsum(size)])
-        bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
-        good = bad[at[1:]] == bad[at[:-1]]
-        with np.errstate(invalid="ignore"):
-            e = np.floor(x * 256)
-        e = np.where(np.isfinite(e), np.clip(e, -2.0**62, 2.0**62), 0).astype(np.int64)
-        rows = [e[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-        out = pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), keep.column(2), pa.array(size.astype(np.int32)), pa.array(rows, pa.binary())],
-                                         ["vec_id", "label", "anchor", "dim", "v"])
-        yield out.filter(pa.array(good))
-
-
-def _stack(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.int64).reshape(len(column), dim)
-
-
-def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Directions (the zero vector's is zero) and norms."""
-    f = v.astype(np.float64)
-    norm = np.sqrt((f * f).sum(1))
-    return f / np.where(norm > 0, norm, 1)[:, None], norm
-
-
-def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
-
-
-def _deal(pivots: dict[int, np.ndarray]):
-    """Adds norm, the nearest routing vector and its angle; for anchors, the angles to all routing vectors of their length."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(3).to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                unit, norm = _unit(_stack(part.column(4).to_pylist(), int(dim)))
-                if int(dim) in pivots:
-                    angles = _angles(unit, pivots[int(dim)])
-                    cell = angles.argmin(1)
-                else:                                      # no anchor has this length: nobody asks for these rows
-                    angles, cell = np.full((len(norm), 1), np.pi), np.zeros(len(norm), np.int64)
-                asks = part.column(2).to_pylist()
-                own = [row.tolist() if ask else None for row, ask in zip(angles, asks)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(norm), pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell]), pa.array(own, pa.list_(pa.float64()))],
-                    ["vec_id", "label", "anchor", "dim", "v", "norm", "cell", "angle", "angles"])
-    return run
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,9 +71,9 @@ class Best:
 def _walk(rows: pd.DataFrame, asks: pd.DataFrame, dim: int, wanted: Callable, step: int, seen: list | None = None) -> None:
     """Walks the shard's list once for each cluster of anchors. ``wanted(members)`` gives (need, take): ``need()`` is
     the score each member still needs, ``take(active, block, scores)`` takes the scores of the active members."""
-    x, q = _stack(rows["v"], dim), _stack(asks["v"], dim)
-    unit, norm = _unit(x)
-    mine, length = _unit(q)
+    x, q = stack(rows["v"], dim), stack(asks["v"], dim)
+    way, norm = unit(x)
+    mine, length = unit(q)
     kind = _exact(x, q)
     x, q = x.astype(kind), q.astype(kind)
     cells = asks["cell"].to_numpy()
@@ -142,8 +81,8 @@ def _walk(rows: pd.DataFrame, asks: pd.DataFrame, dim: int, wanted: Callable, st
         members = np.flatnonzero(cells == cell)
         centre = mine[members].sum(0)
         centre = (centre / (np.sqrt((centre * centre).sum()) or 1))[None]
-        cone = _angles(mine[members], centre).max()
-        bound = norm * np.cos(np.maximum(0.0, _angles(unit, centre)[:, 0] - cone))     # once for all members
+        cone = angles_between(mine[members], centre).max()
+        bound = norm * np.cos(np.maximum(0.0, angles_between(way, centre)[:, 0] - cone))     # once for all members
         order = np.argsort(-bound, kind="stable")
         bound = bound[order]
         slack = SLACK * (1 + length[members] * norm.max(initial=0.0))
@@ -173,7 +112,7 @@ def _positives(k: int, step: int):
             return pd.DataFrame(columns=["anchor_id", "vec_id", "score"], dtype="int64")
         ids, labels = rows["vec_id"].to_numpy(), rows["label"].to_numpy()
         own, label, dim = asks["vec_id"].to_numpy(), asks["label"].to_numpy(), int(rows["dim"].iloc[0])
-        kind = _exact(_stack(rows["v"], dim), _stack(asks["v"], dim))
+        kind = _exact(stack(rows["v"], dim), stack(asks["v"], dim))
         best = Best(len(asks), k, kind)
         told = asks["need"].to_numpy()
 
@@ -200,7 +139,7 @@ def _negatives(k: int, low: int, step: int):
             return pd.DataFrame(columns=["anchor_id", "positive", "vec_id", "score"], dtype="int64")
         ids, labels = rows["vec_id"].to_numpy(), rows["label"].to_numpy()
         own, label, dim = asks["vec_id"].to_numpy(), asks["label"].to_numpy(), int(rows["dim"].iloc[0])
-        kind = _exact(_stack(rows["v"], dim), _stack(asks["v"], dim))
+        kind = _exact(stack(rows["v"], dim), stack(asks["v"], dim))
         most = asks["high"].map(len).max()
         high = np.stack([np.pad(np.asarray(h, np.int64), (0, most - len(h)), constant_values=-1) for h in asks["high"]])
         least = -(-low * high // 100)                       # 100 score >= low high, in integers
@@ -232,22 +171,6 @@ def _negatives(k: int, low: int, step: int):
     return run
 
 
-def _search(rows: DataFrame, shards: DataFrame, asks: DataFrame, function, kind: str, extra: list[str], home: bool | None = None) -> DataFrame:
-    """Each block of anchors against each shard that may hold what an anchor of it needs; ``home``: in the anchors' own cell, or all others."""
-    s = shards.select("dim", F.col("cell").alias("s_cell"), "part", "longest", "widest")
-    angle = F.greatest(F.lit(0.0), F.get("angles", F.col("s_cell")) - F.col("widest") - F.lit(SLACK))
-    reach = F.col("norm") * F.col("longest") * (F.cos(F.least(angle, F.lit(np.pi))) + F.lit(SLACK)) + F.lit(SLACK)
-    pairs = asks.join(s, "dim").filter(reach >= F.col("need"))
-    if home is not None:
-        pairs = pairs.filter((F.col("s_cell") == F.col("cell")) == F.lit(home))
-    pairs = pairs.select("dim", "s_cell", "part", "block", "vec_id", "label", "v", "cell", *extra)
-    blocks = pairs.select("dim", F.col("s_cell").alias("cell"), "part", "block").distinct()
-    left = rows.join(blocks, ["dim", "cell", "part"]).select("dim", "cell", "part", "block", "vec_id", "label", "v")
-    # fresh column ids: both sides come from the same table
-    right = pairs.select(*[F.col(c).alias(f"{c}_") for c in pairs.columns]).toDF(*pairs.columns)
-    return left.groupBy("dim", "cell", "part", "block").cogroup(right.groupBy("dim", "s_cell", "part", "block")).applyInPandas(function, kind)
-
-
 def mine(rows: DataFrame, is_anchor: Column, label: Column, positives: int = 5, negatives: int = 5, low: int = 80,
          id_col: str = "vec_id", vector: str = "embedding", shard: int = SHARD, block: int = BLOCK, step: int = STEP) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score).
@@ -264,15 +187,15 @@ def mine(rows: DataFrame, is_anchor: Column, label: Column, positives: int = 5,
     rounded and end there. An empty table gives an empty result."""
     taken = rows.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"),
                         F.coalesce(is_anchor, F.lit(False)).alias("anchor"), F.col(vector).cast("array<double>").alias("v"))
-    v = taken.mapInArrow(_vectors, "vec_id long, label long, anchor boolean, dim int, v binary")
+    v = taken.mapInArrow(integer_vectors, "vec_id long, label long, anchor boolean, dim int, v binary")
     v = v.groupBy("vec_id").agg(F.min(F.struct("label", "dim", "v")).alias("s"), F.max("anchor").alias("anchor")).select(
         "vec_id", "s.label", "anchor", "s.dim", "s.v")
     v = stored(v, "vectors")
     pivots: dict[int, list[bytes]] = {}
     for r in v.filter("anchor").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("dim", "v").collect():
         pivots.setdefault(r.dim, []).append(bytes(r.v))
-    table = {dim: _unit(_stack(vs, dim))[0] for dim, vs in pivots.items()}
-    cells = stored(v.mapInArrow(_deal(table), CELLS), "cells")
+    table = {dim: unit(stack(vs, dim))[0] for dim, vs in pivots.items()}
+    cells = stored(v.mapInArrow(deal(table), CELLS), "cells")
     parts = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(shard)).alias("parts"))
     dealt = cells.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts")
     shards = stored(dealt.groupBy("dim", "cell", "part").agg(F.max("norm").alias("longest"), F.max("angle").alias("widest")), "shards")
@@ -286,17 +209,17 @@ def mine(rows: DataFrame, is_anchor: Column, label: Column, positives: int = 5,
     def top(found: DataFrame) -> DataFrame:
         return found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= positives)
     nothing = F.lit(float("-inf"))
-    near = stored(top(_search(dealt, shards, asks.withColumn("need", nothing), _positives(positives, step), kind, ["need"], True)), "near")
+    near = stored(top(search(dealt, shards, asks.withColumn("need", nothing), _positives(positives, step), kind, ["need"], True)), "near")
     least = near.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
     needs = asks.join(least, "vec_id", "left").withColumn("need", F.when(F.col("n") >= positives, F.col("least").cast("double")).otherwise(nothing)).drop("n", "least")
-    far = _search(dealt, shards, needs, _positives(positives, step), kind, ["need"], False)
+    far = search(dealt, shards, needs, _positives(positives, step), kind, ["need"], False)
     chosen = stored(top(near.drop("at").unionByName(far)), "positives")
 
     highs = chosen.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.array_sort(F.collect_list(F.struct("at", "score"))).alias("p"))
     highs = highs.select("vec_id", F.transform("p", lambda x: x["score"]).alias("high"))
     worst = F.array_min(F.filter("high", lambda s: s >= 0))
     wants = asks.join(highs, "vec_id").withColumn("need", low * worst.cast("double") / 100).filter("need is not null")
-    found = _search(dealt, shards, wants, _negatives(negatives, low, step), "anchor_id long, positive long, vec_id long, score long", ["high"])
+    found = search(dealt, shards, wants, _negatives(negatives, low, step), "anchor_id long, positive long, vec_id long, score long", ["high"])
     order = Window.partitionBy("anchor_id", "positive").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
     named = chosen.select("anchor_id", F.col("at").cast("long").alias("positive"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
