@@ -22,7 +22,7 @@ wording is a template of its own.
 from __future__ import annotations
 
 import re
-from functools import cache, reduce
+from functools import cache
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,10 +167,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, contained: float =
     x = x.select("doc_id", "h", "n_words", *[F.col(f"at{n}") for n in sizes],
                  *[F.when(F.size(f"at{n}") > 0, F.col(f"sh{n}")).alias(f"sh{n}") for n in sizes])
     base = stored(x, "shingles")
-    found = [_class_matches(base, n, s, c, contained) for (n, s), c in sorted(classes.items())]
-    if not found:
+    if not classes:
         return base.select("doc_id", "n_words", F.lit(0).alias("n_licenses"), F.lit("").alias("licenses"), F.lit("").alias("matches"))
-    best = (reduce(DataFrame.union, found).groupBy("doc_id", "h", "license", "total")
+    best = (_matches(base, classes, contained).groupBy("doc_id", "h", "license", "total")
             .agg(F.max(F.struct("shared", (-F.col("start")).alias("neg"))).alias("b")))
     per = best.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct(      # at most one row per template
         "license", F.format_string("%s:%d:%d/%d", "license", -F.col("b.neg"), F.col("b.shared"), F.col("total")).alias("m")))).alias("l"))
@@ -181,21 +180,42 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, contained: float =
                     F.coalesce(F.array_join("l.m", ","), F.lit("")).alias("matches")))
 
 
-def _class_matches(base: DataFrame, n: int, s: int, c: dict, contained: float) -> DataFrame:
-    """(doc_id, h, license, total, shared, start) of the confirmed windows of one class."""
+def _hits(n: int, widest: int):
+    """Hit position -> (n, p, shingle there, first shingle of its surroundings, the surroundings)."""
+    def one(p: Column) -> Column:
+        low = F.greatest(p - 2 * widest, F.lit(0))
+        return F.struct(F.lit(n).alias("n"), p.cast("int").alias("p"), F.get(f"sh{n}", p).alias("x"), low.cast("int").alias("low"),
+                        F.slice(f"sh{n}", low + 1, F.lit(4 * widest + 1)).alias("near"))
+    return F.transform(f"at{n}", one)
+
+
+def _matches(base: DataFrame, classes: dict[tuple[int, int], dict], contained: float) -> DataFrame:
+    """(doc_id, h, license, total, shared, start) of the confirmed windows of all classes, in one plan.
+
+    The class is a column: a hit belongs to the classes that have its shingle among their minimal ones."""
     spark = base.sparkSession
-    step = max(1, s // 4)
-    sigs = spark.createDataFrame([(i, k, v) for i, (_, _, sig) in enumerate(c["rows"]) for k, v in enumerate(sig)], "t int, k int, v long")
-    sets = spark.createDataFrame([(i, lic, sh) for i, (lic, sh, _) in enumerate(c["rows"])], "t int, license string, want array<long>")
-    hits = base.select("doc_id", "h", F.col(f"sh{n}").alias("sh"), F.explode(f"at{n}").alias("p"))
-    first = F.greatest(F.ceil((F.col("p") - (s - 1)) / F.lit(step)) * step, F.lit(0)).cast("int")
-    wins = hits.select("doc_id", "h", "sh", F.explode(F.sequence(first, (F.floor(F.col("p") / F.lit(step)) * step).cast("int"), F.lit(step))).alias("start"))
-    half = s // 2
-    low = F.greatest(F.col("start") - half, F.lit(0))
-    wins = wins.select("doc_id", "h", "start", F.slice("sh", F.col("start") + 1, F.lit(s)).alias("win"),
-                       F.slice("sh", low + 1, F.col("start") + s + half - low).alias("wide")).dropDuplicates(["doc_id", "h", "start"])
-    wins = wins.select("doc_id", "h", "start", "wide", F.posexplode(signature(F.col("win"))).alias("k", "v"))
-    # both template tables hold at most MAX_TEMPLATES x HASHES rows
-    got = wins.join(F.broadcast(sigs), ["k", "v"]).select("doc_id", "h", "start", "wide", "t").dropDuplicates(["doc_id", "h", "start", "t"])
-    got = got.join(F.broadcast(sets), "t").withColumn("shared", F.size(F.array_intersect("wide", "want"))).withColumn("total", F.size("want"))
+    minimal, sigs, sets, t = [], [], [], 0
+    for (n, s), c in sorted(classes.items()):
+        minimal += [(n, x, s) for x in sorted(c["min"])]
+        for lic, sh, sig in c["rows"]:
+            sigs += [(n, s, k, v, t) for k, v in enumerate(sig)]
+            sets.append((t, lic, sh))
+            t += 1
+    # these tables hold at most MAX_TEMPLATES x HASHES rows
+    minimal = F.broadcast(spark.createDataFrame(minimal, "n int, x long, s int"))
+    sigs = F.broadcast(spark.createDataFrame(sigs, "n int, s int, k int, v long, t int"))
+    sets = F.broadcast(spark.createDataFrame(sets, "t int, license string, want array<long>"))
+    widest = {n: max(s for m, s in classes if m == n) for n, _ in classes}
+    hits = base.select("doc_id", "h", F.explode(F.flatten(F.array(*[F.coalesce(_hits(n, w), F.array()) for n, w in sorted(widest.items())]))).alias("e"))
+    hits = hits.select("doc_id", "h", "e.*").join(minimal, ["n", "x"])
+    s, step = F.col("s"), F.greatest(F.floor(F.col("s") / 4), F.lit(1)).cast("int")
+    first = F.greatest(F.ceil((F.col("p") - (s - 1)) / step) * step, F.lit(0)).cast("int")
+    wins = hits.select("doc_id", "h", "n", "s", "low", "near", F.explode(F.sequence(first, (F.floor(F.col("p") / step) * step).cast("int"), step)).alias("start"))
+    half = F.floor(s / 2).cast("int")
+    left = F.greatest(F.col("start") - half, F.lit(0))
+    wins = wins.select("doc_id", "h", "n", "s", "start", F.slice("near", F.col("start") - F.col("low") + 1, s).alias("win"),
+                       F.slice("near", left - F.col("low") + 1, F.col("start") + s + half - left).alias("wide")).dropDuplicates(["doc_id", "h", "n", "s", "start"])
+    wins = wins.select("doc_id", "h", "n", "s", "start", "wide", F.posexplode(signature(F.col("win"))).alias("k", "v"))
+    got = wins.join(sigs, ["n", "s", "k", "v"]).select("doc_id", "h", "start", "wide", "t").dropDuplicates(["doc_id", "h", "start", "t"])
+    got = got.join(sets, "t").withColumn("shared", F.size(F.array_intersect("wide", "want"))).withColumn("total", F.size("want"))
     return got.filter(F.col("shared") >= F.ceil(F.col("total") * F.lit(contained) - F.lit(1e-9))).select("doc_id", "h", "license", "total", "shared", "start")
