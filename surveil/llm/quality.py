@@ -221,8 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, labelled: int = LABEL
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
     model = Model(log_ratio(target, raw), -math.inf, seed, sharpness)
     sample = text.join(F.broadcast(lab), "doc_id")
-    scored = (sample.select("doc_id", "good", model.column(sample).alias("s")).filter("s.score is not null")
-              .groupBy("doc_id").agg(F.avg("s.score").alias("score"), F.max("good").alias("good")).toPandas())
+    # no filter on the score here: it would be pushed below the join and score every document
+    scored = (sample.select("doc_id", "good", model.column(sample).alias("s"))
+              .groupBy("doc_id").agg(F.avg("s.score").alias("score"), F.max("good").alias("good")).toPandas().dropna(subset=["score"]))
     model.cut = best_cut(scored["score"].to_numpy(float), scored["good"].to_numpy(bool))
     return model
 
