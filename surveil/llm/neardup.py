@@ -11,8 +11,10 @@
    A likelihood ratio over all registers (three outcomes per register: left larger, right larger,
    equal; set sizes known) drops pairs that are far from the threshold; the rest are confirmed on
    the full shingle sets.
-5. Buckets whose other members still lie in different components are compared in blocks of bounded
-   size. Inside a block, pairs of one component are skipped, and only confirmed links leave the task.
+5. Buckets whose other members still lie in different components are compared in blocks bounded in
+   rows and in bytes of shingles. First by the stored registers and sizes alone: only members with a
+   partner that the likelihood allows go on. Then their shingle sets are fetched and confirmed; pairs
+   of one component are skipped, and only confirmed links leave the task.
 6. Components of all confirmed links.
 
 No bucket is capped. No task receives more than two blocks of a bucket.
@@ -103,14 +105,21 @@ def may_reach(regs_a, regs_b, n_a, n_b, threshold: float) -> np.ndarray:
         pa_, pb = p(u - v * j), p(v - u * j)
         return more * np.log(pa_) + less * np.log(pb) + same * np.log(np.clip(1 - pa_ - pb, 1e-12, 1))
 
+    limit = np.minimum(threshold, top)
+    at_limit = loglik(limit)
+    # the likelihood has one peak in J: a better J below the limit puts the peak there as well
+    guess = np.minimum(same / regs_a.shape[1], top)
+    keep = (top >= threshold - 1e-9) & ~((guess < limit) & (loglik(guess) - at_limit > LLR))
+    left = np.flatnonzero(keep)
+    more, less, same, u, v, top, at_limit = (x[left] for x in (more, less, same, u, v, top, at_limit))
     low, high = np.zeros_like(u), top.copy()
-    for _ in range(40):                      # the likelihood has one peak in J
+    for _ in range(40):
         x, y = low + (high - low) / 3, high - (high - low) / 3
         up = loglik(x) < loglik(y)
         low, high = np.where(up, x, low), np.where(up, high, y)
     best = (low + high) / 2
-    limit = np.minimum(threshold, top)
-    return (top >= threshold - 1e-9) & ((best >= threshold) | (loglik(best) - loglik(limit) <= LLR))
+    keep[left] = (best >= threshold) | (loglik(best) - at_limit <= LLR)
+    return keep
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -160,26 +169,56 @@ def _plausible(threshold: float):
     return run
 
 
-def _block_links(num: int, den: int, m: int, bands: int, rows: int):
+class _Block:
+    """Members of one pair of blocks of one bucket, in order of size; yields the pairs worth a check."""
+
+    def __init__(self, key, group: pd.DataFrame, threshold: float, bands: int, rows: int):
+        bucket, low, high = (int(k) for k in key)
+        self.group = group = group.sort_values(["n_shingles", "rep"], kind="stable", ignore_index=True)
+        self.threshold, self.within = threshold, low == high
+        self.comp, self.block = group["comp"].to_numpy().copy(), group["block"].to_numpy()
+        self.size = group["n_shingles"].to_numpy()
+        self.regs = np.frombuffer(b"".join(group["regs"]), np.uint16).reshape(len(group), bands * rows)
+        self.keys = band_keys(self.regs, bands, rows).view(np.int64)
+        self.mine = int((self.keys == bucket).sum(0).argmax())
+
+    def partners(self, i: int) -> np.ndarray:
+        """Larger members of another component that member i may be linked with.
+
+        Each pair is handled by the first band in which it agrees."""
+        end = np.searchsorted(self.size, self.size[i] / self.threshold * (1 + 1e-9), "right")
+        j = np.arange(i + 1, end)
+        j = j[self.comp[j] != self.comp[i]]
+        if not self.within:
+            j = j[self.block[j] != self.block[i]]
+        if len(j):
+            j = j[may_reach(np.broadcast_to(self.regs[i], (len(j), self.regs.shape[1])), self.regs[j],
+                            np.full(len(j), self.size[i]), self.size[j], self.threshold)]
+        return j[~(self.keys[j, :self.mine] == self.keys[i, :self.mine]).any(1)]
+
+
+def _block_rows(threshold: float, bands: int, rows: int):
+    """The members of a pair of blocks that have a partner worth a check."""
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        b = _Block(key, group, threshold, bands, rows)
+        hit = np.zeros(len(group), bool)
+        for i in range(len(group) - 1):
+            j = b.partners(i)
+            hit[j] = True
+            hit[i] |= len(j) > 0
+        return b.group[hit]
+    return run
+
+
+def _block_links(num: int, den: int, bands: int, rows: int):
     """Confirmed links between different components inside one pair of blocks of one bucket."""
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        bucket, low, high = (int(k) for k in key)
-        group = group.sort_values("rep", kind="stable")
-        reps, comp, block = group["rep"].to_numpy(), group["comp"].to_numpy().copy(), group["block"].to_numpy()
-        sets = [np.asarray(s, np.int64).view(np.uint64) for s in group["shingles"]]
-        size = np.array([len(s) for s in sets])
-        regs = registers(sets, m)
-        keys = band_keys(regs, bands, rows).view(np.int64)
-        mine = int((keys == bucket).sum(0).argmax())
+        b = _Block(key, group, num / den, bands, rows)
+        reps, comp = b.group["rep"].to_numpy(), b.comp
+        sets = [np.asarray(s, np.int64).view(np.uint64) for s in b.group["shingles"]]
         out = []
         for i in range(len(reps) - 1):
-            j = np.arange(i + 1, len(reps))
-            j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) if low != high else True)]
-            # each pair is handled by the first band in which it agrees
-            j = j[~(keys[j][:, :mine] == keys[i, :mine]).any(1)] if mine else j
-            if len(j):
-                j = j[may_reach(np.broadcast_to(regs[i], (len(j), m)), regs[j], np.full(len(j), size[i]), size[j], num / den)]
-            for k in j:
+            for k in b.partners(i):
                 if comp[k] != comp[i] and _linked(sets[i], sets[k], num, den):
                     out.append((reps[i], reps[k]))
                     comp[comp == comp[k]] = comp[i]
@@ -188,14 +227,16 @@ def _block_links(num: int, den: int, m: int, bands: int, rows: int):
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, shingle: int = 5, rows: int = 5,
-                    miss: float = 1e-6, block: int = 1024) -> DataFrame:
+                    miss: float = 1e-6, block: int = 1024, block_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text; others ignored).
 
     Two documents are linked if den * |A and B| >= num * |A or B| on their full shingle sets.
     component_id is the smallest doc_id reachable over links; kept = (doc_id is component_id).
     Defined cases: null or empty text has no shingles and is linked with nothing; fewer than
     ``shingle`` words are one shingle; rows with a null doc_id are linked with nothing, kept, and
-    have a null component_id; rows sharing a doc_id share a component and all get its answer.
+    have a null component_id; rows sharing a doc_id share a component and all get its answer; an empty
+    table gives an empty result; a text of any length counts whole. A block holds about ``block``
+    members and ``block_bytes`` of shingles, or a single longer document.
     """
     bands = bands_for(num / den, rows, miss)
     m = bands * rows
@@ -231,17 +272,24 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, shingle: int
     links = stored(same.union(stars), "links")
     comps = stored(components(links), "comps")
 
-    rest = (members.filter("rep != hub").join(comps.toDF("rep", "comp"), "rep", "left")
-            .withColumn("comp", F.coalesce("comp", "rep")))
-    open_ = (rest.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .filter("lo != hi").select("key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
-    rest = rest.select("key", "rep", "comp").join(open_, "key")
+    sized = reps.select(F.col("doc_id").alias("rep"), "n_shingles")
+    rest = (members.filter("rep != hub").select("key", "rep").join(comps.toDF("rep", "comp"), "rep", "left")
+            .withColumn("comp", F.coalesce("comp", "rep")).join(sized, "rep"))
+    open_ = (rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"),
+                                     F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .filter("lo != hi").select("key", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(
+                 F.col("total") * 8 / F.lit(block_bytes))).cast("int").alias("blocks")))
+    rest = rest.select("key", "rep", "comp", "n_shingles").join(open_, "key")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # every pair of blocks of a bucket is one task group; a bucket of one block is just itself
+    rest = rest.join(reps.select(F.col("doc_id").alias("rep"), "regs"), "rep")
     rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", "rep", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    more = (rest.join(sets, "rep").groupBy("key", "low", "high")
-            .applyInPandas(_block_links(num, den, m, bands, rows), "a long, b long"))
+        "key", "rep", "comp", "n_shingles", "regs", "block", F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"))
+    worth = stored(rest.groupBy("key", "low", "high").applyInPandas(
+        _block_rows(num / den, bands, rows), rest.schema), "worth")
+    more = (worth.join(sets, "rep").groupBy("key", "low", "high")
+            .applyInPandas(_block_links(num, den, bands, rows), "a long, b long"))
     more = stored(more, "links2")
     if more.isEmpty():
         final = comps
