@@ -6,7 +6,8 @@ a lost executor recomputes at most one layer from files, and every downstream re
 reads storage instead of re-running the feed.  The tagged feed is evaluated once; clean and
 quarantined rows are two partitions of that table.  With ``days`` only those event days are read
 and rewritten (dynamic partition overwrite): earlier days stay as they are.  Audit entries
-record each table write.
+record each table write.  With ``score`` a model is fitted and saved under ``root`` / ``MODEL``;
+later runs name it in ``model_path`` and score without fitting.
 
     spark-submit surveil/plans/batch.py <tables> <root> [first day, day after last]
 """
@@ -28,9 +29,12 @@ from surveil.session import stored
 from surveil.sources import catalog, feed
 
 
+MODEL = "ml/models/scorer"
+
+
 def run(spark: SparkSession, sf_dir: str, root: str, window_ms: int = 60_000, created_at: int = 0,
         n_chains: int = AU.N_CHAINS, prefix: str = "surveil", granularity: str = "day",
-        score: bool = False, ml_max_iter: int = 100,
+        score: bool = False, ml_max_iter: int = 100, model_path: str | None = None,
         days: tuple[str, str] | None = None) -> dict[str, str]:
     tables: dict[str, str] = {}
     writes: list[tuple[str, str, int, int]] = []
@@ -67,7 +71,13 @@ def run(spark: SparkSession, sf_dir: str, root: str, window_ms: int = 60_000, cr
     if score:
         from surveil.operators import labels as LB
         from surveil.operators import scorer as SC
-        model = SC.fit(LB.labelled_windows(gold, feed.labels(spark, sf_dir), window_ms), max_iter=ml_max_iter)
+        from surveil.operators.scorer_model import AbuseScorer, AbuseScorerModel
+        if model_path:
+            saved = AbuseScorerModel.load(model_path)
+        else:
+            saved = AbuseScorer(maxIter=ml_max_iter).fit(LB.labelled_windows(gold, feed.labels(spark, sf_dir), window_ms))
+            saved.write().overwrite().save(f"{root.rstrip('/')}/{MODEL}")
+        model = saved.scorer
         write(SC.score(model, gold, explain=False), "ml", "scores", time_col="window_start")
         enriched = write(SC.enrich_alerts(alerts, SC.score(model, SC.alerted_windows(gold, alerts))), "alerts", "alerts_scored", time_col="window_start")
         # scoring is its own audit entry, appended to the same chains (the emission digest is untouched)

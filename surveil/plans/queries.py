@@ -125,6 +125,37 @@ def gold_daily(spark, sf):
     return M.gold(spark, sf, M.DAILY_MS)
 
 
+def _states_sql() -> str:
+    sums = ["sum(CASE WHEN event_kind = 'NEW' THEN 1 ELSE 0 END) AS BIGINT) AS n_orders",
+            "sum(CASE WHEN event_kind = 'CANCEL' THEN 1 ELSE 0 END) AS BIGINT) AS n_cancels",
+            "sum(CASE WHEN event_kind = 'EXEC' THEN 1 ELSE 0 END) AS BIGINT) AS n_execs",
+            "sum(CASE WHEN event_kind = 'NEW' AND is_buy THEN order_qty ELSE 0 END) AS BIGINT) AS buy_qty",
+            "sum(CASE WHEN event_kind = 'NEW' AND NOT is_buy THEN order_qty ELSE 0 END) AS BIGINT) AS sell_qty"]
+    start = f"CAST(transact_time - {O.pmod('transact_time', 3_600_000)} AS BIGINT)"
+    return _sql(f"SELECT trader_id, symbol, {start} AS window_start, desk, asset_class, price, "
+                + ", ".join(f"CAST({s}" for s in sums) + ", min(transact_time) AS first_time, max(transact_time) AS last_time "
+                "FROM silver GROUP BY ALL")
+
+
+@query("gold_states_hourly", _states_sql())
+def gold_states_hourly(spark, sf):
+    """Minute states in two deliveries (by a hash of the order id), merged to hours."""
+    from surveil.operators import gold_states as GS
+    from surveil.session import stored
+    silver, half = M.stored_silver(spark, sf), F.pmod(F.xxhash64("cl_ord_id"), F.lit(2))
+    parts = [GS.to_states(silver.filter(half == i)) for i in (0, 1)]
+    return GS.merge(stored(parts[0].union(parts[1]), "states"), 3_600_000).select(
+        *GS.STATE_KEYS, "n_orders", "n_cancels", "n_execs", "buy_qty", "sell_qty", "first_time", "last_time")
+
+
+@query("gold_daily_from_states", _sql(f"SELECT {O.GOLD_COLS} FROM gold_d"))
+def gold_daily_from_states(spark, sf):
+    """Daily gold from stored minute states alone."""
+    from surveil.operators import gold_states as GS
+    from surveil.session import stored
+    return GS.to_gold(stored(GS.to_states(M.silver(spark, sf)), "states"), M.DAILY_MS)
+
+
 # ---------------------------------------------------------------------------
 # Detectors and alerts
 # ---------------------------------------------------------------------------

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from surveil.operators import bronze as B
 from surveil.operators import detectors as D
 from surveil.operators import gold as G
+from surveil.operators import gold_states as GS
 from surveil.operators import silver as S
 from surveil.schemas import DEDUP_KEY, DEFAULT_WINDOW_MS
 
@@ -47,6 +48,18 @@ def stream_gold(silver: DataFrame, window_ms: int = DEFAULT_WINDOW_MS) -> DataFr
     return G.derive(agg, window_ms)
 
 
+def stream_states(silver: DataFrame, step_ms: int = DEFAULT_WINDOW_MS) -> DataFrame:
+    """Mergeable gold states of a watermarked silver stream, for append mode: fixed-width state, no price set.
+
+    Coarser windows are merged from the written states (``gold_states.to_gold``)."""
+    G.check_window(step_ms)
+    g = silver.withColumn("_stc", G.secs_to_close(F.col("transact_time")))
+    w = F.window("event_ts", f"{step_ms} milliseconds")
+    agg = g.groupBy(w.alias("w"), *[k for k in GS.STATE_KEYS if k != "window_start"]) \
+        .agg(*[e.alias(n) for n, e in GS.state_exprs().items()])
+    return agg.withColumn("window_start", F.unix_millis(F.col("w.start"))).select(*GS.STATE_KEYS, *GS.state_exprs())
+
+
 def stream_order_exec_join(silver: DataFrame, max_latency_ms: int = 60_000) -> DataFrame:
     """Orders joined to their executions within [order, order + bound].
 
