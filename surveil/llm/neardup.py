@@ -38,6 +38,7 @@ from surveil.session import stored
 BASE = 1.001            # spacing of register values
 RATE = 20.0             # Exp(a) rate; P(register of a one-element set < 0) = e**-20
 LLR = 11.3              # log-likelihood ratio beyond which a pair is dropped (4.75 sigma)
+PAIRS = 1 << 15         # pairs whose registers are compared at once
 _LOG_BASE = math.log(BASE)
 
 
@@ -91,13 +92,18 @@ def may_reach(regs_a, regs_b, n_a, n_b, threshold: float) -> np.ndarray:
     With u = n_a / (n_a + n_b), v = 1 - u and p(x) = -log_b(1 - x (b-1)/b), a register of the first
     set is larger with probability p(u - vJ), of the second with p(v - uJ), equal otherwise.
     """
+    more = (regs_a > regs_b).sum(1)
+    less = (regs_a < regs_b).sum(1)
+    return _allowed(more, less, regs_a.shape[1] - more - less, n_a, n_b, threshold)
+
+
+def _allowed(more, less, same, n_a, n_b, threshold: float) -> np.ndarray:
+    """``may_reach`` on the counts of larger, smaller and equal registers."""
     n_a, n_b = np.asarray(n_a, float), np.asarray(n_b, float)
+    m = more + less + same
     u = n_a / (n_a + n_b)
     v = 1 - u
     top = np.minimum(u / v, v / u)
-    more = (regs_a > regs_b).sum(1)
-    less = (regs_a < regs_b).sum(1)
-    same = regs_a.shape[1] - more - less
 
     def loglik(j):
         def p(x):
@@ -108,7 +114,7 @@ def may_reach(regs_a, regs_b, n_a, n_b, threshold: float) -> np.ndarray:
     limit = np.minimum(threshold, top)
     at_limit = loglik(limit)
     # the likelihood has one peak in J: a better J below the limit puts the peak there as well
-    guess = np.minimum(same / regs_a.shape[1], top)
+    guess = np.minimum(same / m, top)
     keep = (top >= threshold - 1e-9) & ~((guess < limit) & (loglik(guess) - at_limit > LLR))
     left = np.flatnonzero(keep)
     more, less, same, u, v, top, at_limit = (x[left] for x in (more, less, same, u, v, top, at_limit))
@@ -182,19 +188,35 @@ class _Block:
         self.keys = band_keys(self.regs, bands, rows).view(np.int64)
         self.mine = int((self.keys == bucket).sum(0).argmax())
 
-    def partners(self, i: int) -> np.ndarray:
-        """Larger members of another component that member i may be linked with.
-
-        Each pair is handled by the first band in which it agrees."""
-        end = np.searchsorted(self.size, self.size[i] / self.threshold * (1 + 1e-9), "right")
-        j = np.arange(i + 1, end)
-        j = j[self.comp[j] != self.comp[i]]
-        if not self.within:
-            j = j[self.block[j] != self.block[i]]
-        if len(j):
-            j = j[may_reach(np.broadcast_to(self.regs[i], (len(j), self.regs.shape[1])), self.regs[j],
-                            np.full(len(j), self.size[i]), self.size[j], self.threshold)]
-        return j[~(self.keys[j, :self.mine] == self.keys[i, :self.mine]).any(1)]
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Chunks of pairs (i, k), k the larger member, of different components that may be linked.
+
+        Each pair is handled by the first band in which it agrees. The registers are compared for
+        many pairs at once: a call per member would cost more than its comparisons."""
+        ends = np.searchsorted(self.size, self.size / self.threshold * (1 + 1e-9), "right")
+        at, n = 0, len(self.size)
+        while at < n - 1:
+            left, right, count = [], [], 0
+            while at < n - 1 and count < PAIRS:
+                k = np.arange(at + 1, ends[at])
+                k = k[self.comp[k] != self.comp[at]]
+                if not self.within:
+                    k = k[self.block[k] != self.block[at]]
+                left.append(np.full(len(k), at))
+                right.append(k)
+                count += len(k)
+                at += 1
+            i, k = np.concatenate(left), np.concatenate(right)
+            for x in range(0, len(i), PAIRS):
+                yield self._plausible(i[x:x + PAIRS], k[x:x + PAIRS])
+
+    def _plausible(self, i: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = ~(self.keys[i, :self.mine] == self.keys[k, :self.mine]).any(1)
+        i, k = i[new], k[new]
+        if len(i):
+            keep = may_reach(self.regs[i], self.regs[k], self.size[i], self.size[k], self.threshold)
+            i, k = i[keep], k[keep]
+        return i, k
 
 
 def _block_rows(threshold: float, bands: int, rows: int):
@@ -202,10 +224,9 @@ def _block_rows(threshold: float, bands: int, rows: int):
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         b = _Block(key, group, threshold, bands, rows)
         hit = np.zeros(len(group), bool)
-        for i in range(len(group) - 1):
-            j = b.partners(i)
-            hit[j] = True
-            hit[i] |= len(j) > 0
+        for i, k in b.pairs():
+            hit[i] = True
+            hit[k] = True
         return b.group[hit]
     return run
 
@@ -217,8 +238,8 @@ def _block_links(num: int, den: int, bands: int, rows: int):
         reps, comp = b.group["rep"].to_numpy(), b.comp
         sets = [np.asarray(s, np.int64).view(np.uint64) for s in b.group["shingles"]]
         out = []
-        for i in range(len(reps) - 1):
-            for k in b.partners(i):
+        for chunk in b.pairs():
+            for i, k in zip(*chunk):
                 if comp[k] != comp[i] and _linked(sets[i], sets[k], num, den):
                     out.append((reps[i], reps[k]))
                     comp[comp == comp[k]] = comp[i]
