@@ -94,20 +94,25 @@ def register(det: Detector) -> None:
     REGISTRY[det.name] = det
 
 
-def score_all(gold: DataFrame, names: list[str] | None = None) -> DataFrame:
+def chosen(names: list[str | Detector] | None = None) -> list[Detector]:
+    """Detectors by registry name or given as such; all of the registry by default."""
+    return [n if isinstance(n, Detector) else REGISTRY[n] for n in names or list(REGISTRY)]
+
+
+def score_all(gold: DataFrame, names: list[str | Detector] | None = None) -> DataFrame:
     """Gold + one ``score_<detector>`` double column per detector."""
-    names = names or list(REGISTRY)
-    return gold.withColumns({f"score_{n.lower()}": REGISTRY[n].score() for n in names})
+    return gold.withColumns({f"score_{x.name.lower()}": x.score() for x in chosen(names)})
 
 
-def candidates(gold: DataFrame, names: list[str] | None = None) -> DataFrame:
+def candidates(gold: DataFrame, names: list[str | Detector] | None = None) -> DataFrame:
     """explode(array(struct(detector, score, threshold, refs))) over gold, scores >= threshold kept."""
-    names = names or list(REGISTRY)
-    arr = F.array(*[F.struct(F.lit(n).alias("detector"), REGISTRY[n].score().alias("rule_score"),
-                             F.lit(REGISTRY[n].threshold).alias("threshold"),
-                             F.array(*[F.lit(r) for r in REGISTRY[n].regulation_refs]).alias("regulation_refs"))
-                    for n in names])
-    return (gold.select("trader_id", "symbol", "window_start", "window_end", "desk", F.explode(arr).alias("d"))
+    arr = F.array(*[F.struct(F.lit(x.name).alias("detector"), x.score().alias("rule_score"),
+                             F.lit(x.threshold).alias("threshold"),
+                             F.array(*[F.lit(r) for r in x.regulation_refs]).alias("regulation_refs"))
+                    for x in chosen(names)])
+    # scores are projected before the generator: SQL functions may not stand inside it
+    scored = gold.select("trader_id", "symbol", "window_start", "window_end", "desk", arr.alias("d"))
+    return (scored.withColumn("d", F.explode("d"))
             .select("trader_id", "symbol", "window_start", "window_end", "desk", "d.*")
             .filter(c("rule_score") >= c("threshold")))
 
@@ -145,5 +150,5 @@ def alert_body(alerts: DataFrame) -> Column:
     return grammar.canonical_body([(c(n), types[n]) for n in ALERT_HASH_FIELD_ORDER])
 
 
-def detect(gold: DataFrame, names: list[str] | None = None, created_at: int | Column = 0) -> DataFrame:
+def detect(gold: DataFrame, names: list[str | Detector] | None = None, created_at: int | Column = 0) -> DataFrame:
     return emit(candidates(gold, names), created_at)

@@ -226,10 +226,13 @@ def f8(x: str) -> str:
     return f"printf('%.8f', {x})"
 
 
-def alert_ctes(src: str = "gold", name: str = "alerts", created_at: int = 0) -> list[str]:
+def alert_ctes(src: str = "gold", name: str = "alerts", created_at: int = 0,
+               rules: dict[str, tuple[str, float, list[str]]] | None = None) -> list[str]:
+    """Alerts of the five detectors and of further ``rules`` (name -> score, threshold, references)."""
+    rules = {n: (SCORES[n], THRESHOLDS[n], REFS[n]) for n in SCORES} | (rules or {})
     cand = " UNION ALL ".join(
-        f"SELECT trader_id, symbol, window_start, window_end, desk, '{n}' AS detector, {SCORES[n]} AS rule_score, "
-        f"{d(THRESHOLDS[n])} AS threshold, {_lit(REFS[n])} AS regulation_refs FROM {src}" for n in SCORES)
+        f"SELECT trader_id, symbol, window_start, window_end, desk, '{n}' AS detector, {score} AS rule_score, "
+        f"{d(least)} AS threshold, {_lit(refs)} AS regulation_refs FROM {src}" for n, (score, least, refs) in rules.items())
     aid_body = f"detector || {US} || trader_id || {US} || symbol || {US} || CAST(window_start AS VARCHAR) || {US} || " \
                f"CAST(window_end AS VARCHAR)"
     return [

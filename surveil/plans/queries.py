@@ -20,6 +20,7 @@ from surveil.operators import silver as S
 from surveil.plans import medallion as M
 from surveil.plans import oracle as O
 from surveil.schemas import DETECTORS
+from surveil.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,6 +181,21 @@ def alerts_all(spark, sf):
     return M.alerts_report(M.alerts(spark, sf))
 
 
+_CHURN = ("CASE WHEN n_orders < 2 OR n_execs > n_cancels THEN 0D "
+          "ELSE least(1D, 0.4D + 0.6D * least(order_to_trade_ratio / 6D, 1D)) END")
+_CHURN_SQL = (f"CASE WHEN n_orders < 2 OR n_execs > n_cancels THEN {O.d(0)} ELSE least({O.d(1)}, {O.d(0.4)} + {O.d(0.6)} * "
+              f"least(order_to_trade_ratio / {O.d(6)}, {O.d(1)})) END")
+
+
+@query("alerts_sql_rule", O.with_ctes(O.feed_ctes() + O.medallion_ctes() + O.alert_ctes(
+    "gold_d", "alerts_r", rules={"ORDER_CHURN": (_CHURN_SQL, 0.7, ["UMIR_2.2"])}), f"SELECT {O.ALERT_REPORT} FROM alerts_r"))
+def alerts_sql_rule(spark, sf):
+    """Daily alerts of the five detectors and of a rule that exists as SQL text only."""
+    from surveil.operators import rules as RU
+    churn = RU.define(spark, "ORDER_CHURN", ["n_orders", "n_execs", "n_cancels", "order_to_trade_ratio"], _CHURN, 0.7, ("UMIR_2.2",))
+    return M.alerts_report(M.alerts(spark, sf, M.DAILY_MS, [*DETECTORS, churn]))
+
+
 @query("alerts_daily", _sql(f"SELECT {O.ALERT_REPORT} FROM alerts_d"))
 def alerts_daily(spark, sf):
     return M.alerts_report(M.alerts(spark, sf, M.DAILY_MS))
@@ -249,6 +265,66 @@ def event_json(spark, sf):
     return R.to_event_json(M.raw(spark, sf))
 
 
+# Seven faults, by the event time modulo this; the other events stay as they are.
+FAULT_EVERY = 13
+
+
+def _faulty(spark, sf):
+    """The feed as JSON texts, some of them damaged."""
+    from surveil.sources import raw as R
+    j, fault = F.col("event_json"), F.pmod(F.col("transact_time"), F.lit(FAULT_EVERY))
+    text = (F.when(fault == 0, F.substring_index(j, ",", 3))
+            .when(fault == 1, F.concat(F.lit("["), j, F.lit("]")))
+            .when(fault == 2, F.regexp_replace(j, r"^\{", '{"venue_note":"late",'))
+            .when(fault == 3, F.regexp_replace(j, r'"order_qty":(\d+)', '"order_qty":"$1"'))
+            .when(fault == 4, F.regexp_replace(j, '"price":', '"price":"n/a","px_old":'))
+            .when(fault == 5, F.regexp_replace(j, '"symbol":"', '"symbol":7,"was":"'))
+            .when(fault == 6, F.regexp_replace(j, r'"order_qty":(\d+)', '"order_qty":$1.5')).otherwise(j))
+    return stored(R.to_event_json(M.raw(spark, sf)).select(text.alias("value")), "texts")
+
+
+def _faulty_ctes() -> list[str]:
+    kv = ", ".join(f"CASE WHEN {n} IS NOT NULL THEN '\"{n}\":' || CAST(to_json({n}) AS VARCHAR) END" for n in O.RAW_COLS)
+    fault = O.pmod("transact_time", FAULT_EVERY)
+    qty = "'\"order_qty\":(\\d+)'"
+    numbers = {"order_qty": "('UBIGINT', 'BIGINT', 'NULL')", "transact_time": "('UBIGINT', 'BIGINT', 'NULL')",
+               "last_qty": "('UBIGINT', 'BIGINT', 'NULL')", "price": "('UBIGINT', 'BIGINT', 'DOUBLE', 'NULL')",
+               "last_px": "('UBIGINT', 'BIGINT', 'DOUBLE', 'NULL')"}
+    fits = {c: f"json_type(value, '$.{c}') IN {numbers.get(c, chr(40) + chr(39) + 'VARCHAR' + chr(39) + ', ' + chr(39) + 'NULL' + chr(39) + chr(41))}"
+            for c in O.RAW_COLS}
+    clash = ", ".join(f"CASE WHEN NOT ({f}) THEN 'type:{c}' END" for c, f in fits.items())
+    known = "[" + ", ".join(f"'{c}'" for c in O.RAW_COLS) + "]"
+    # a number in a text field is read as its digits, any other clash as NULL
+    read = {c: f"json_extract_string(value, '$.{c}') IS NULL" + (f" OR NOT ({fits[c]})" if c in numbers else "") for c in O.REQUIRED}
+    missing = ", ".join(f"CASE WHEN {r} THEN 'missing:{c}' END" for c, r in read.items())
+    return [
+        f"js AS (SELECT transact_time, {fault} AS fault, '{{' || concat_ws(',', {kv}) || '}}' AS j FROM feed)",
+        f"""texts AS MATERIALIZED (SELECT CASE fault WHEN 0 THEN array_to_string(string_split(j, ',')[1:3], ',') WHEN 1 THEN '[' || j || ']'
+  WHEN 2 THEN '{{"venue_note":"late",' || substr(j, 2) WHEN 3 THEN regexp_replace(j, {qty}, '"order_qty":"\\1"')
+  WHEN 4 THEN replace(j, '"price":', '"price":"n/a","px_old":') WHEN 5 THEN replace(j, '"symbol":"', '"symbol":7,"was":"')
+  WHEN 6 THEN regexp_replace(j, {qty}, '"order_qty":\\1.5') ELSE j END AS value FROM js)""",
+        f"""judged AS MATERIALIZED (SELECT value, CASE WHEN NOT json_valid(value) THEN ['unparseable']
+  WHEN json_type(value) <> 'OBJECT' THEN ['not_object'] ELSE list_filter(list_concat(list_concat([{clash}],
+    list_transform(list_sort(list_filter(json_keys(value), lambda k: NOT list_contains({known}, k))), lambda k: 'unknown:' || k)),
+    [{missing}]), lambda r: r IS NOT NULL) END AS reasons FROM texts)"""]
+
+
+@query("ingest_quarantine", O.with_ctes(O.feed_ctes() + _faulty_ctes(),
+       "SELECT value AS event_text, array_to_string(reasons, ',') AS reasons FROM judged WHERE len(reasons) > 0"))
+def ingest_quarantine(spark, sf):
+    """Events that could not be read as they stand, with their text and all reasons."""
+    from surveil.operators import ingest as I
+    q = I.quarantined(I.parse(_faulty(spark, sf)), allow_unknown=False)
+    return q.select(F.col(I.RAW_TEXT).alias("event_text"), F.array_join(I.REASONS, ",").alias("reasons"))
+
+
+@query("ingest_reasons", O.with_ctes(O.feed_ctes() + _faulty_ctes(),
+       "SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM judged) GROUP BY reason"))
+def ingest_reasons(spark, sf):
+    from surveil.operators import ingest as I
+    return I.reason_counts(I.parse(_faulty(spark, sf)))
+
+
 # ---------------------------------------------------------------------------
 # Links
 # ---------------------------------------------------------------------------
