@@ -39,3 +39,12 @@ def test_dedup_of_needed_columns_keeps_the_same_survivors(spark):
     assert sorted(G.to_gold(whole).collect(), key=str) == sorted(G.to_gold(part).collect(), key=str)
     plan = M.gold(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "cancel_reason" not in plan.split("Exchange hashpartitioning(cl_ord_id")[1].split("SortAggregate")[1].split("\n")[0]
+
+
+def test_calibration_of_counted_pairs_is_that_of_the_rows(spark):
+    rows = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(37)) / 37.0).alias("raw_score"),
+                                    (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0).cast("int").alias("label"))
+    plain = IsotonicRegression(featuresCol="raw_score", labelCol="label", predictionCol="_cal").fit(rows)
+    mine = SC.calibrator(rows)
+    assert np.allclose(mine.boundaries.toArray(), plain.boundaries.toArray()) and np.allclose(mine.predictions.toArray(), plain.predictions.toArray())
+    assert mine.transform(rows.limit(5)).columns[-1] == "_cal"
