@@ -48,3 +48,14 @@ def test_calibration_of_counted_pairs_is_that_of_the_rows(spark):
     mine = SC.calibrator(rows)
     assert np.allclose(mine.boundaries.toArray(), plain.boundaries.toArray()) and np.allclose(mine.predictions.toArray(), plain.predictions.toArray())
     assert mine.transform(rows.limit(5)).columns[-1] == "_cal"
+
+
+def test_wanted_nodes_need_few_groups_of_the_tree(spark):
+    chain = spark.range(1, 70_001).select((F.col("id") % 2).alias("chain_id"), F.floor((F.col("id") + 1) / 2).cast("long").alias("seq"),
+                                          F.sha2(F.col("id").cast("string"), 256).alias("entry_hash"))
+    want = spark.createDataFrame([(1, 0, 5), (1, 7, 3), (1, 8, 0), (1, 8, 130), (0, 3, 4000), (0, 15, 0)], "chain_id long, level int, index long")
+    key = ["chain_id", "level", "index"]
+    whole, few = MK.nodes(chain).cache(), MK.nodes(chain, want).cache()
+    got = lambda t: sorted(map(tuple, t.join(want, key).select(*key, "hash").collect()))
+    assert got(whole) == got(few) and len(got(few)) == 6
+    assert few.count() < whole.count() / 50
