@@ -41,6 +41,12 @@ def test_dedup_of_needed_columns_keeps_the_same_survivors(spark):
     assert "cancel_reason" not in plan.split("Exchange hashpartitioning(cl_ord_id")[1].split("SortAggregate")[1].split("\n")[0]
 
 
+@pytest.mark.parametrize("name", ["alerts_enriched_fixed", "ml_alerts", "ml_scores", "train_cal_split", "conformal_set"])
+def test_queries_that_read_windows_repeatedly_read_stored_ones(spark, name):
+    read = Q.QUERIES[name](spark, SF_SMALL).inputFiles()
+    assert read and not any(f"/{t}.parquet" in f for f in read for t in ("events", "orders"))
+
+
 def test_calibration_of_counted_pairs_is_that_of_the_rows(spark):
     rows = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(37)) / 37.0).alias("raw_score"),
                                     (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0).cast("int").alias("label"))
@@ -59,3 +65,18 @@ def test_wanted_nodes_need_few_groups_of_the_tree(spark):
     got = lambda t: sorted(map(tuple, t.join(want, key).select(*key, "hash").collect()))
     assert got(whole) == got(few) and len(got(few)) == 6
     assert few.count() < whole.count() / 50
+
+
+def test_pattern_lookup_gives_the_summed_attributions(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, d, nf = 40, 4, 6
+    m = rng.integers(0, d + 1, n)
+    feat, lo, hi, z = -np.ones((n, d), int), np.full((n, d), -np.inf), np.full((n, d), np.inf), np.ones((n, d))
+    for i in range(n):
+        feat[i, :m[i]] = np.sort(rng.choice(nf, m[i], replace=False))
+        lo[i, :m[i]], z[i, :m[i]] = rng.random(m[i]), rng.random(m[i])
+    leaves, X = SC.Leaves(rng.normal(size=n), m, feat, lo, hi, z), rng.random((200, nf))
+    X[0] = np.nan
+    fast = SC.tree_shap(X, leaves, nf)
+    monkeypatch.setattr(SC, "PATTERN_BITS", 0)
+    assert np.allclose(fast, SC.tree_shap(X, leaves, nf), rtol=1e-12, atol=1e-12)
