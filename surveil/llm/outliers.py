@@ -42,6 +42,7 @@ LIMIT = 18.467                         # chi-square, 4 degrees of freedom, 0.999
 LEAST = 10                             # groups with a smaller half borrow the estimate of their language, then of all
 BINS = 64                              # distance bins per factor of e
 WORD = "[^\\x20\\x09-\\x0D]+"
+SYMBOL = "[#*$%&|<>]"
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -52,28 +53,24 @@ def statistics(docs: DataFrame) -> DataFrame:
     x = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
                     F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"),
                     F.filter(F.split(text, "\n", -1), lambda s: s.rlike(WORD)).alias("lines"),
-                    (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-                    F.char_length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"))
-    n = F.size("w")
-    # 3-word windows as (hash, position), sorted: equal hashes stand side by side
-    pair = "array<struct<h:bigint,i:int>>"
-    less = F.greatest(n - 2, F.lit(0))
+                    F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"))
+    less = F.greatest(F.size("w") - 2, F.lit(0))
     windows = F.transform(
         F.arrays_zip(F.slice("w", 1, less).alias("a"), F.slice("w", 2, less).alias("b"), F.slice("w", 3, less).alias("c")),
-        lambda t, i: F.struct(F.xxhash64(t["a"], t["b"], t["c"]).alias("h"), i.alias("i")))
-    x = x.select("*", F.array_sort(windows).cast(pair).alias("s"))
-    none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    less = F.greatest(F.size("s") - 1, F.lit(0))
-    found = F.filter(
-        F.arrays_zip(F.col("s").alias("here"), F.concat(none, F.slice("s", 1, less)).alias("prev"),
-                     F.concat(F.slice("s", 2, less), none).alias("next")),
-        lambda t: F.coalesce(t["here"]["h"] == t["prev"]["h"], F.lit(False)) | F.coalesce(t["here"]["h"] == t["next"]["h"], F.lit(False)))
-    x = x.select("*", F.array_sort(F.transform(found, lambda t: t["here"]["i"])).alias("d"))
+        lambda t: F.xxhash64(t["a"], t["b"], t["c"]))
+    x = x.select("*", windows.alias("h"))
+    # 3-word windows as (hash, position), sorted: equal hashes stand side by side. Only texts in which a hash comes twice
+    # are sorted, by sort_array: array_sort would evaluate a comparison function for every pair it compares
+    placed = F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    x = x.select("*", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(placed)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("s"))
+    found = F.filter("s", lambda t, i: (t["h"] == F.get("s", i - 1)["h"]) | (t["h"] == F.get("s", i + 1)["h"]))
+    x = x.select("*", F.sort_array(F.transform(found, lambda t: t["i"])).alias("d"))
     # words covered by windows starting at the sorted positions d: each adds min(3, gap to the next)
     gaps = F.zip_with(F.slice("d", 2, F.greatest(F.size("d") - 1, F.lit(0))), F.slice("d", 1, F.greatest(F.size("d") - 1, F.lit(0))),
                       lambda b, a: F.least(b - a, F.lit(3)))
     covered = F.when(F.size("d") > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda s, g: s + g)).otherwise(F.lit(0).cast("long"))
-    return x.select("doc_id", "lang", "source", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
+    return x.select("doc_id", "lang", "source", F.size("w").cast("long").alias("n_words"),
+                    F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols",
                     F.size("lines").cast("long").alias("n_lines"),
                     (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                     covered.alias("n_repeat_words"))

@@ -120,3 +120,12 @@ def test_smallest_determinant_of_several_starts(spark, monkeypatch):
     monkeypatch.undo()
     est = O._mcd(df, keys)
     assert O._estimate(O._half(O._with_distance(df, est, keys), keys), keys, O.CONSISTENCY).first().det > best.det - O.FALL
+
+
+def test_windows_are_not_sorted_by_a_comparison_function(spark):
+    texts = ["a b c d e a b c", "a a a a", "a b c d", "a b", "", None, "p q r # p q r | p q r", "é🙂 \x85 x é🙂 \x85 x\x0b<>"]
+    stats = O.statistics(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"))
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "translate" not in plan and "array_distinct(h" in plan
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in stats.collect()}
+    assert got == {i: brute(t)[:5] for i, t in enumerate(texts)}
