@@ -63,8 +63,14 @@ def statistics(docs: DataFrame) -> DataFrame:
     # are sorted, by sort_array: array_sort would evaluate a comparison function for every pair it compares
     placed = F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     x = x.select("*", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(placed)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("s"))
-    found = F.filter("s", lambda t, i: (t["h"] == F.get("s", i - 1)["h"]) | (t["h"] == F.get("s", i + 1)["h"]))
-    x = x.select("*", F.sort_array(F.transform(found, lambda t: t["i"])).alias("d"))
+    none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
+    less = F.greatest(F.size("s") - 1, F.lit(0))
+    # neighbours by zipped slices: a filter pushed down to the scan would evaluate "s" anew for every element of a lambda that names it
+    found = F.filter(
+        F.arrays_zip(F.col("s").alias("here"), F.concat(none, F.slice("s", 1, less)).alias("prev"),
+                     F.concat(F.slice("s", 2, less), none).alias("next")),
+        lambda t: F.coalesce(t["here"]["h"] == t["prev"]["h"], F.lit(False)) | F.coalesce(t["here"]["h"] == t["next"]["h"], F.lit(False)))
+    x = x.select("*", F.sort_array(F.transform(found, lambda t: t["here"]["i"])).alias("d"))
     # words covered by windows starting at the sorted positions d: each adds min(3, gap to the next)
     gaps = F.zip_with(F.slice("d", 2, F.greatest(F.size("d") - 1, F.lit(0))), F.slice("d", 1, F.greatest(F.size("d") - 1, F.lit(0))),
                       lambda b, a: F.least(b - a, F.lit(3)))
