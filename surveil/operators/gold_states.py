@@ -36,11 +36,22 @@ def state_exprs() -> dict[str, Column]:
             "first_time": F.min(t), "last_time": F.max(t)}
 
 
-def to_states(silver: DataFrame, step_ms: int = DEFAULT_WINDOW_MS, close_ms_of_day: int = CLOSE_MS_OF_DAY) -> DataFrame:
-    """States of ``silver`` per step window."""
+def _keys(constant: dict[str, str] | None) -> list[str]:
+    """The state keys to group by, see ``gold.to_gold``."""
+    return [k for k in STATE_KEYS if k not in (constant or {})]
+
+
+def _with(df: DataFrame, constant: dict[str, str] | None) -> DataFrame:
+    return df.withColumns({c: F.lit(v) for c, v in (constant or {}).items()})
+
+
+def to_states(silver: DataFrame, step_ms: int = DEFAULT_WINDOW_MS, close_ms_of_day: int = CLOSE_MS_OF_DAY,
+              constant: dict[str, str] | None = None) -> DataFrame:
+    """States of ``silver`` per step window. ``constant``: keys with one value in every row, not grouped by."""
     G.check_window(step_ms)
-    return G.prepare(silver, step_ms, close_ms_of_day).groupBy(*STATE_KEYS).agg(
+    states = G.prepare(silver, step_ms, close_ms_of_day).groupBy(*_keys(constant)).agg(
         *[e.alias(n) for n, e in state_exprs().items()])
+    return _with(states, constant).select(*STATE_KEYS, *state_exprs())
 
 
 def _check(window_ms: int, step_ms: int) -> None:
@@ -58,22 +69,26 @@ def _coarser(states: DataFrame, window_ms: int) -> DataFrame:
     return states.withColumn("window_start", G.window_start(F.col("window_start"), window_ms))
 
 
-def merge(states: DataFrame, window_ms: int, step_ms: int = DEFAULT_WINDOW_MS) -> DataFrame:
+def merge(states: DataFrame, window_ms: int, step_ms: int = DEFAULT_WINDOW_MS, constant: dict[str, str] | None = None) -> DataFrame:
     """States per ``window_ms`` from states per ``step_ms``: a coarser step, or the compaction of repeated keys."""
     _check(window_ms, step_ms)
     aggs = {**_merged(), "first_time": F.min("first_time"), "last_time": F.max("last_time")}
-    return _coarser(states, window_ms).groupBy(*STATE_KEYS).agg(*[e.alias(n) for n, e in aggs.items()]) \
-        .select(*states.columns)
+    merged = _coarser(states, window_ms).groupBy(*_keys(constant)).agg(*[e.alias(n) for n, e in aggs.items()])
+    return _with(merged, constant).select(*states.columns)
 
 
-def to_gold(states: DataFrame, window_ms: int, step_ms: int = DEFAULT_WINDOW_MS) -> DataFrame:
-    """The gold table per ``window_ms``, equal to ``gold.to_gold`` over the events behind the states."""
-    _check(window_ms, step_ms)
+def to_gold(states: DataFrame, window_ms: int, step_ms: int = DEFAULT_WINDOW_MS, constant: dict[str, str] | None = None) -> DataFrame:
+    """The gold table per ``window_ms``, equal to ``gold.to_gold`` over the events behind the states.
+
+    First per (window, price), then per window, as there: rows of sums and times ride through the first shuffle
+    instead of the buffers of a distinct aggregate."""
     price = F.col("price")
+    merged = merge(states, window_ms, step_ms, constant)
 
     def order(time: str) -> Column:
         return F.when(price.isNotNull(), G.time_price_key(F.col(time) - F.col("window_start"), price))
-    aggs = {**{SUMS.get(n, n): e for n, e in _merged().items()}, "distinct_prices": F.count_distinct(price),
+    aggs = {**{SUMS.get(n, n): e for n, e in _merged().items()}, "distinct_prices": F.count(price),
             "_first_px": F.min_by(price, order("first_time")), "_last_px": F.max_by(price, order("last_time")),
             "_min_px": F.min(price), "_max_px": F.max(price)}
-    return G.derive(_coarser(states, window_ms).groupBy(*G.GROUP_KEYS).agg(*[e.alias(n) for n, e in aggs.items()]), window_ms)
+    keys = [k for k in _keys(constant) if k != "price"]
+    return G.derive(_with(merged.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()]), constant), window_ms)
